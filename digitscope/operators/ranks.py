@@ -104,7 +104,7 @@ def value_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     ranks = order_statistics(df, value, {
         "low": lambda n: F.floor((n - 1) / 2),
         "high": lambda n: F.floor(n / 2),
-        "p95": lambda n: F.least(F.floor(n * 95 / 100), n - 1),
+        "p95": lambda n: F.least(F.floor(n * F.lit(0.95)), n - 1),
     }, by)
     pick = {name: F.max(F.when(F.col("name") == name, F.col("value"))) for name in ("low", "high", "p95")}
     order = ranks.groupBy(*by).agg(

@@ -12,7 +12,7 @@ _OPEN, _CLOSE = "<page>", "</page>"
 def parse_pages(records: DataFrame, column: str = "value") -> DataFrame:
     """Page structs from text records that end where ``</page>`` was; bad XML gives null fields."""
     xml = F.concat(F.substring_index(F.col(column), _OPEN, -1), F.lit(_CLOSE))
-    page = F.from_xml(F.concat(F.lit(_OPEN), xml), PAGE, {"rowTag": "page", "mode": "PERMISSIVE"})
+    page = F.from_xml(F.concat(F.lit(_OPEN), xml), PAGE, {"rowTag": "page", "mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false"})
     return records.where(F.contains(F.col(column), F.lit(_OPEN))).select(page.alias("page")).select("page.*")
 
 

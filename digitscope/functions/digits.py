@@ -2,42 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Half a unit of the fifteenth significant digit, on the scale 10 <= m < 100.
 _HALF_DIGIT = 5e-14
+# First two digits by scaled value: 100 is a 99.99... rounded up, 9 a logarithm that was rounded up.
+_TWO = [0] * 9 + [99] + list(range(10, 100)) + [10]
 
 
-def leading_two(x: Column) -> Column:
-    """First two significant digits as 10..99 after rounding to 15 digits; 0 for x <= 0, NaN, infinity.
+def _lookup(x: Column, table: list[int], part: int) -> Column:
+    """Entry of ``table`` for the first two digits of x after rounding to 15 digits; 0 for x <= 0, NaN, infinity.
 
     The number is scaled by a power of ten into 10..99. Adding half of the fifteenth digit before
-    flooring undoes the scaling error and is the rounding that a 15-digit rendering does.
-    Formatting to text gives the same digits at several times the cost; it serves the far ends
-    of the double range, where powers of ten over- or underflow.
+    flooring undoes the scaling error and is the rounding that a 15-digit rendering does. Formatting
+    to text gives the same digits at several times the cost; it serves the far ends of the double
+    range, where powers of ten over- or underflow. Every step is used once, so nothing is evaluated
+    twice however often the optimizer copies the expression.
     """
     x = x.cast("double")
-    exp = F.floor(F.log10(x))
-    scaled = F.when(exp >= 1, x / F.pow(F.lit(10.0), exp - 1)).otherwise(x * F.pow(F.lit(10.0), 1 - exp))
-    two = F.floor(scaled + _HALF_DIGIT)
-    two = (F.when(two >= 100, F.lit(10))
-           .when(two < 10, F.floor(scaled * 10 + _HALF_DIGIT))
-           .otherwise(two))
-    text = F.format_string("%.14e", x)
-    by_text = F.concat(F.substring(text, 1, 1), F.substring(text, 3, 1))
-    return (F.when((x > 0) & (x >= 1e-290) & (x <= 1e290), two.cast("int"))
-            .when((x > 0) & (x < float("inf")), F.try_to_number(by_text, F.lit("99")).cast("int"))
+    scaled = x * F.pow(F.lit(10.0), 1 - F.floor(F.log10(x)))
+    at = F.floor(scaled + _HALF_DIGIT).cast("int")
+    text = F.substring(F.format_string("%.14e", x), part, 1)
+    return (F.when((x >= 1e-290) & (x <= 1e290), F.get(F.lit(table), at))
+            .when((x > 0) & (x < float("inf")), text.try_cast("int"))
             .otherwise(F.lit(0)))
 
 
 def first_digit(x: Column) -> Column:
     """First significant digit 1..9; 0 when there is none."""
-    return F.floor(leading_two(x) / 10).cast("int")
+    return _lookup(x, [two // 10 for two in _TWO], 1)
 
 
 def second_digit(x: Column) -> Column:
     """Second significant digit 0..9; 0 when there is none."""
-    return (leading_two(x) % 10).cast("int")
+    return _lookup(x, [two % 10 for two in _TWO], 3)
 
 
 def analyze_number(x: Column) -> Column:
@@ -45,11 +43,6 @@ def analyze_number(x: Column) -> Column:
     return F.struct(first_digit(x).alias("first_digit"), second_digit(x).alias("second_digit"))
 
 
-def with_digits(df, column: str, first: str = "first_digit", second: str | None = "second_digit"):
-    """Add the digit columns; the shared work is done once per row."""
-    two = "_leading_two"
-    out = df.withColumn(two, leading_two(F.col(column)))
-    out = out.withColumn(first, F.floor(F.col(two) / 10).cast("int"))
-    if second:
-        out = out.withColumn(second, (F.col(two) % 10).cast("int"))
-    return out.drop(two)
+def with_digits(df: DataFrame, column: str, first: str = "first_digit", second: str = "second_digit") -> DataFrame:
+    """Add the digit columns; unused ones are pruned by the optimizer."""
+    return df.withColumns({first: first_digit(F.col(column)), second: second_digit(F.col(column))})

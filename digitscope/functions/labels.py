@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from digitscope.functions.lets import escape, let, prefix_tree
+from digitscope.functions.lets import escape, let
 from digitscope.rules.domains import DEFAULT_DOMAIN, DOMAIN_KEYWORDS
 from digitscope.rules.number_rules import GENERIC_LABEL, OBSERVED_RULES, TRIGGERS, YEAR_LABEL, YEAR_RANGE
 
@@ -19,17 +20,16 @@ def unicode_regex(pattern: str) -> str:
     r"""Spell out ``\b``, ``\d``, ``\s`` and ``.`` in their Unicode sense, ignoring case.
 
     The short classes differ between regex engines: superscripts are word characters in some,
-    a no-break space is a space in some. Explicit classes mean the same everywhere.
+    a no-break space is a space in some. Explicit classes mean the same everywhere. A boundary
+    needs only one side checked where the pattern settles the other: before a digit, a letter or
+    a group of words, and after a letter, a repetition, a class or a group that is not optional.
     """
-    boundary = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
-    at_digit = rf"(?=\p{{Nd}})(?<![{WORD}])\p{{Nd}}"
-    out = (pattern.replace(r"\b\d", "\0")
-           .replace(r"\b", boundary)
-           .replace(r"\d", r"\p{Nd}")
-           .replace(r"\s", SPACE)
-           .replace(".*", r"[^\n]*")
-           .replace("\0", at_digit))
-    return "(?iu)" + out
+    before, after = f"(?<![{WORD}])", f"(?![{WORD}])"
+    out = re.sub(r"\\b(?=\\d)", lambda _: rf"(?=\p{{Nd}}){before}", pattern)
+    out = re.sub(r"\\b(?=\w|\((?:\?:)?\w)", lambda _: before, out)
+    out = re.sub(r"(?<=[\w}\])])\\b", lambda _: after, out)
+    out = out.replace(r"\b", f"(?:(?<=[{WORD}]){after}|{before}(?=[{WORD}]))")
+    return "(?iu)" + out.replace(r"\d", r"\p{Nd}").replace(r"\s", SPACE).replace(".*", r"[^\n]*")
 
 
 def first_match_label(col: Column, rules: Sequence[tuple[str, str]], default: str) -> Column:
@@ -60,52 +60,38 @@ def year_or_generic(number_text: Column) -> Column:
     return F.when((value >= low) & (value < high + 1), F.lit(YEAR_LABEL)).otherwise(F.lit(GENERIC_LABEL))
 
 
-def _trigger_bits(rules, triggers) -> dict[str, int]:
-    """For each trigger, one bit per rule it enables; a trigger also enables what its prefixes do."""
-    always = 1 << len(rules)
-    own = {t: always | sum(1 << i for i, rule in enumerate(rules) if t in rule[2]) for t in triggers}
-    bits = {}
-    for t in own:
-        bits[t] = 0
-        for other, value in own.items():
-            if t.startswith(other):
-                bits[t] |= value
-    return bits
+def _contains_any(text: Column, words: Sequence[str]) -> Column:
+    """Whether any word occurs; short words, which are found more often, are tried first.
 
-
-def _active(low: Column, bits: dict[str, int]) -> Column:
-    """Bits of all triggers that occur in a lower-cased context; 0 when there is none.
-
-    One pass of the regex reports the longest trigger at every position, overlapping ones included.
+    A word that contains another one of the list adds nothing and is left out.
     """
-    found = F.regexp_extract_all(low, F.lit(f"(?=({prefix_tree(bits)}))"), F.lit(1))
-    table = F.create_map(*[F.lit(v) for pair in bits.items() for v in pair]).cast("map<string,bigint>")
-    return F.aggregate(found, F.lit(0).cast("bigint"), lambda acc, t: acc.bitwiseOR(F.element_at(table, t)))
+    needed = [w for w in words if not any(o != w and o in w for o in words)]
+    return F.exists(F.lit(sorted(needed, key=len)), lambda word: F.contains(text, word))
 
 
 def number_category(number_text: Column, context: Column, rules=OBSERVED_RULES, triggers=TRIGGERS) -> Column:
     """Category of a number from its context.
 
-    Without any trigger in the context only the year heuristic applies. Otherwise the first rule
-    whose pattern and trigger are both present decides, provided the number itself occurs in the
-    context; then the year heuristic.
+    The first rule decides whose pattern is found and of whose triggers one occurs, provided the
+    number itself is in the context; a rule without triggers needs any trigger at all. Otherwise
+    the year heuristic applies. Plain substring tests come before the pattern, which most contexts
+    then never meet. The rules are evaluated inside a lambda, so that the lower-cased context is
+    computed once and the long list stays out of the generated code of the surrounding stage.
     """
     number_text = number_text.cast("string")
 
     def decide(bound: Column) -> Column:
-        ctx, active, fallback = bound["ctx"], bound["active"], bound["fallback"]
-        out = F.when((active == 0) | ~F.contains(ctx, bound["num"]), fallback)
-        for i, (category, pattern, words) in enumerate(rules):
-            hit = ctx.rlike(unicode_regex(pattern))
-            if words:
-                hit = (active.bitwiseAND(F.lit(1 << i).cast("bigint")) != 0) & hit
+        ctx, low, fallback = bound["ctx"], bound["low"], bound["fallback"]
+        out = F.when(~F.contains(ctx, bound["num"]), fallback)
+        for category, pattern, words in rules:
+            found = ctx.rlike(unicode_regex(pattern))
+            hit = _contains_any(low, words) & found if words else found & _contains_any(low, triggers)
             out = out.when(hit, F.lit(category))
         return out.otherwise(fallback)
 
     return let(
         F.struct(
-            context.alias("ctx"),
-            _active(F.lower(context), _trigger_bits(rules, triggers)).alias("active"),
+            context.alias("ctx"), F.lower(context).alias("low"),
             F.replace(number_text, F.lit(","), F.lit("")).alias("num"),
             year_or_generic(number_text).alias("fallback"),
         ),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, functions as F
 
@@ -12,6 +12,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def literal_map(entries: Mapping[str, str | int]) -> Column:
+    """Constant map, parsed from one SQL text; hundreds of single literals would be slow to assemble."""
+    def text(value: str | int) -> str:
+        if isinstance(value, int):
+            return f"{value}L"
+        return "'" + "".join(f"\\u{ord(ch):04x}" for ch in value) + "'"
+
+    return F.expr("map(" + ", ".join(text(v) for pair in entries.items() for v in pair) + ")")
+
+
 def running_sum(values: Column, block: int = 512) -> Column:
     """Inclusive running sums of an ``array<bigint>``.
 
@@ -47,19 +57,3 @@ def escape(word: str) -> str:
     """Quote a literal for a regular expression, in a form all regex dialects share."""
     return "".join("\\" + ch if ch in r"\.^$|?*+()[]{}" else ch for ch in word)
 
-
-def prefix_tree(words: Iterable[str]) -> str:
-    """Regex for the longest of the words that starts at a position, folded into a prefix tree.
-
-    A search then compares each character with a few branches instead of with every word.
-    """
-    def fold(tails: set[str]) -> str:
-        heads = sorted({t[0] for t in tails if t})
-        branches = [escape(h) + fold({t[1:] for t in tails if t[:1] == h}) for h in heads]
-        if not branches:
-            return ""
-        if "" in tails:
-            return "(?:" + "|".join(branches) + ")?"
-        return branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
-
-    return fold(set(words))

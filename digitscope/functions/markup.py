@@ -11,7 +11,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column, functions as F
 
 from digitscope.functions.labels import SPACE, domain_of_type
-from digitscope.functions.lets import let
+from digitscope.functions.lets import let, literal_map
 
 # Innermost templates and links are removed first, this many times.
 DEPTH = 8
@@ -26,8 +26,9 @@ WIKI_STAGES = (
     (rf"(?is)<(?:{HIDDEN_TAGS})(?:\s[^<>]*)?>.*?</(?:{HIDDEN_TAGS})\s*>", ""),
     (r"(?m)^[ \t]*\{\|[^\n]*$", ""),                                   # table start
     (r"(?m)^[ \t]*\|[}\-+][^\n|]*", ""),                                # table end, row, caption
-    (r"(?m)^[ \t]*[|!](?:[^\n|\[\]]*\|)?", " "),                       # first cell of a line
-    (r"\|\||!!", " "),                                                  # further cells
+    (r"\|\|", "\n|"),                                                  # one cell per line
+    (r"(?m)^[ \t]*[|!](?:[^\n|\[\]]*\|)?", " "),                       # cell start with attributes
+    (r"!!", " "),
     (r"\[(?:https?:|ftp:|mailto:)?//[^\s\[\]]*\s*([^\[\]]*)\]", "$1"),  # external links
     (r"(?s)</?[A-Za-z][^<>]*>", ""),
     (r"'{2,}", ""),
@@ -59,12 +60,12 @@ def infobox_type(wikitext: Column) -> Column:
 
 def domain_of_text(wikitext: Column) -> Column:
     """Subject domain of an article from its infobox."""
-    return domain_of_type(infobox_type(wikitext))
+    return let(infobox_type(wikitext), domain_of_type)
 
 
 def decode_entities(text: Column) -> Column:
     """Replace named and numeric character references; unknown ones stay as they are."""
-    names = F.create_map(*[F.lit(v) for name, code in name2codepoint.items() for v in (name, chr(code))])
+    names = literal_map({name: chr(code) for name, code in name2codepoint.items()})
 
     def decode(entity: Column) -> Column:
         body = F.substring(entity, F.lit(2), F.length(entity) - 2)

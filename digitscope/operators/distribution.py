@@ -23,11 +23,15 @@ def _total(columns: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
+def _counts(df: DataFrame, by: Sequence[str], digit: str) -> DataFrame:
+    """Rows per group and digit value, whatever the value."""
+    return df.groupBy(*by, digit).agg(F.count(F.lit(1)).alias("count"))
+
+
 def digit_counts(df: DataFrame, by: Sequence[str] = (), digit: str = "first_digit") -> DataFrame:
     """Rows per group and digit; digits that never occur have no row, other values are left out."""
-    lowest = 0 if digit == "second_digit" else 1
-    return (df.where(F.col(digit).between(lowest, 9))
-            .groupBy(*by, digit).agg(F.count(F.lit(1)).alias("count")))
+    allowed = range(10) if digit == "second_digit" else DIGITS
+    return _counts(df.where(F.col(digit).isin(*allowed)), by, digit)
 
 
 def digit_counts_map(df: DataFrame, by: Sequence[str], digit: str = "first_digit") -> DataFrame:
@@ -40,14 +44,15 @@ def digit_counts_map(df: DataFrame, by: Sequence[str], digit: str = "first_digit
 def distribution(df: DataFrame, by: Sequence[str] = (), digit: str = "first_digit",
                  counts: DataFrame | None = None) -> DataFrame:
     """One row per group: ``n`` and the dense arrays ``counts`` and ``observed`` of digits 1 to 9."""
-    counts = digit_counts(df, by, digit) if counts is None else counts
+    counts = _counts(df, by, digit) if counts is None else counts
     per_digit = [F.coalesce(F.sum(F.when(F.col(digit) == d, F.col("count"))), F.lit(0)) for d in DIGITS]
-    wide = counts.groupBy(*by).agg(
-        F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.array(*per_digit).alias("counts")
-    )
     n = F.col("n")
-    return wide.withColumn(
-        "observed", F.transform("counts", lambda c: F.when(n > 0, c / n).otherwise(F.lit(0.0)))
+    wide = counts.groupBy(*by).agg(F.array(*per_digit).alias("counts"))
+    wide = wide.withColumn("n", F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, c: a + c))
+    if by:
+        wide = wide.where(n > 0)                     # groups in which no row has a valid digit
+    return wide.select(
+        *by, "n", "counts", F.transform("counts", lambda c: F.when(n > 0, c / n).otherwise(F.lit(0.0))).alias("observed")
     )
 
 
@@ -206,7 +211,7 @@ def summary_sets(df: DataFrame, sets: Sequence[Sequence[str]], digit: str = "fir
     grouping sets. ``grouping_level`` tells a total from a null key.
     """
     keys = list(dict.fromkeys(k for s in sets for k in s))
-    fine = digit_counts(df, keys, digit)
+    fine = _counts(df, keys, digit)
     wanted = [[F.col(k) for k in s] + [F.col(digit)] for s in sets]
     level = F.floor(F.grouping_id() / 2).cast("bigint").alias("grouping_level")      # the digit is always grouped
     counts = (fine.groupingSets(wanted, *[F.col(k) for k in keys], F.col(digit))

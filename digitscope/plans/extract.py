@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from digitscope.functions.digits import with_digits
+from digitscope.functions.labels import number_category
 from digitscope.functions.markup import domain_of_text, strip_markup
-from digitscope.functions.text import WINDOW, extract_categorized, extract_numbers, has_number
+from digitscope.functions.text import WINDOW, extract_contexts, extract_numbers, has_number
 from digitscope.operators.lookups import keep_ids
 from digitscope.operators.sampling import sample as sample_entries
 from digitscope.rules.domains import DEFAULT_DOMAIN
@@ -24,8 +25,8 @@ def extract(df: DataFrame, text_col: str, id_col: str, domain_col: str | None =
     """Numbers table of a text table, one row per number with digits, category and domain.
 
     A map-only plan without a shuffle: texts without a digit are dropped by a cheap filter, markup is
-    stripped, and all numbers of a text are found and labelled inside one array before it is
-    exploded. ``domain_col`` names a column with the domain; with ``markup="wikitext"`` and no such
+    stripped, all numbers of a text are found in one array, and the array is exploded into rows
+    that are then labelled. Unused columns, such as the category, are pruned together with their work. ``domain_col`` names a column with the domain; with ``markup="wikitext"`` and no such
     column the domain comes from the infobox. ``carry`` lists further columns to keep beside the numbers.
     """
     rows = df.where(has_number(F.col(text_col)))
@@ -39,14 +40,13 @@ def extract(df: DataFrame, text_col: str, id_col: str, domain_col: str | None =
     rows = rows.select(F.col(id_col).cast("bigint").alias("article_id"), domain.alias("domain"),
                        *carry, text.alias("_text"))
     if categorize:
-        found = rows.select("article_id", "domain", *carry, F.inline(F.transform(
-            extract_categorized(F.col("_text"), window),
-            lambda c: F.struct(c["number"].alias("number"), c["number_category"].alias("number_category")),
-        )))
+        found = rows.select("article_id", "domain", *carry, F.inline(extract_contexts(F.col("_text"), window)))
+        category = number_category(F.col("token"), F.col("context"))
     else:
-        found = rows.select("article_id", "domain", *carry,
-                            F.explode(extract_numbers(F.col("_text"))).alias("number"), F.lit(GENERIC_LABEL).alias("number_category"))
-    return with_digits(found, "number").where("first_digit > 0").select(*NUMBERS.names, *carry)
+        found = rows.select("article_id", "domain", *carry, F.explode(extract_numbers(F.col("_text"))).alias("number"))
+        category = F.lit(GENERIC_LABEL)
+    found = with_digits(found.withColumn("number_category", category), "number")
+    return found.where("first_digit > 0").select(*NUMBERS.names, *carry)
 
 
 def extract_articles(pages: DataFrame, ids: DataFrame | None = None, **options) -> DataFrame:

@@ -182,7 +182,7 @@ def rule_label(spark, sf):
 
 
 def domain_summary(spark, sf):
-    numbers = ds.extract(_wikitext(spark, sf), "wikitext", "doc_id", markup="wikitext")
+    numbers = ds.extract(_wikitext(spark, sf), "wikitext", "doc_id", markup="wikitext", categorize=False)
     return _round(ds.summary(numbers, ["domain"]), "chi_square", "p_value", "mad")
 
 

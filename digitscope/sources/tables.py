@@ -25,13 +25,13 @@ def read_table(spark: SparkSession, path: str, *columns: str, heavy: bool = Fals
 
 
 def read_numbers(spark: SparkSession, path: str) -> DataFrame:
-    """The numbers table with its declared schema."""
-    return spark.read.schema(NUMBERS).parquet(path)
+    """The numbers table with its declared schema, also where the domain is a partition folder."""
+    return spark.read.schema(NUMBERS).parquet(path).select(*NUMBERS.names)
 
 
 def read_parts(spark: SparkSession, path: str) -> DataFrame:
     """All readable part files of a numbers table; unreadable ones are skipped."""
-    return spark.read.schema(NUMBERS).option("ignoreCorruptFiles", True).parquet(path)
+    return spark.read.schema(NUMBERS).option("ignoreCorruptFiles", True).parquet(path).select(*NUMBERS.names)
 
 
 def category_dimension(spark: SparkSession) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 
+from digitscope.operators.bounds import count_up_to
 from digitscope.operators.sampling import sample
 from digitscope.plans.extract import build_numbers, extract_articles
 from digitscope.plans.preview import preview_digits, preview_totals
@@ -52,7 +53,7 @@ def main(argv: list[str] | None = None) -> int:
             write_counts_json(read_numbers(spark, args.output), args.summary)
     elif args.command == "preview":
         entries = read_index(spark, args.index)
-        ids = sample(entries, count=min(args.count, entries.count()), consecutive=True).select("article_id")
+        ids = sample(entries, count=count_up_to(entries, args.count), consecutive=True).select("article_id")
         numbers = extract_articles(read_pages(spark, args.dump), ids)
         preview_totals(numbers).show()
         preview_digits(numbers).show()

@@ -13,10 +13,15 @@ BROADCAST_ROWS = 1_000_000
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` when counting shows at most ``max_rows`` rows; otherwise leave the join to Spark.
 
-    The count stops after ``max_rows + 1`` rows. ``df`` should be narrow and cheap to read again.
+    The count stops after ``max_rows + 1`` rows. ``df`` should be narrow and cheap to read again,
+    such as a checkpoint.
     """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
+    return F.broadcast(df) if count_up_to(df, max_rows + 1) <= max_rows else df
+
+
+def count_up_to(df: DataFrame, rows: int) -> int:
+    """Number of rows, or ``rows`` when there are at least that many."""
+    return df.limit(rows).count()
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from digitscope.operators.bounds import broadcast_if_small
+from digitscope.operators.bounds import broadcast_if_small, durable
 
 
 def keep_ids(df: DataFrame, ids: DataFrame | None, key: str = "article_id") -> DataFrame:
     """Rows whose key is listed; no list or an empty one keeps everything.
 
-    Meant to run before extraction. The list is broadcast only after its size has been checked.
+    Meant to run before extraction. The list is computed once and checkpointed; it is broadcast only
+    after its size has been checked, otherwise Spark joins by shuffling.
     """
-    if ids is None or ids.isEmpty():
+    if ids is None:
         return df
-    return df.join(broadcast_if_small(ids.select(key).distinct()), key, "left_semi")
+    listed = durable(ids.select(key).distinct())
+    return df if listed.isEmpty() else df.join(broadcast_if_small(listed), key, "left_semi")
 
 
 def pending(planned: DataFrame, ledger: DataFrame, key: str = "unit_id") -> DataFrame:

@@ -1,8 +1,8 @@
 """Exact order statistics without sorting a group in one task.
 
-Values are counted by their leading significant digits, an order-preserving rounding that gives
-a few thousand bins per group whatever the data. The bins locate each wanted rank; only rows of
-that bin are looked at again, with more digits, until few enough distinct values are left.
+Values are counted in logarithmic bins, an order-preserving rounding that gives a few thousand
+bins per group whatever the data. The bins locate each wanted rank; only rows of that bin are
+looked at again, in finer bins, until few enough distinct values are left.
 """
 
 from __future__ import annotations
@@ -11,20 +11,22 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from digitscope.operators.bounds import broadcast_if_small, durable
+from digitscope.operators.bounds import BROADCAST_ROWS, durable
 
 # A bin with at most this many rows is resolved by its distinct values.
 SMALL_BIN = 1_000_000
-_STEP = 3
-_ALL_DIGITS = 17
+# Bins per factor of e: about a thousand per decade, and a thousand times more at each step.
+_BINS = (500, 500_000, 500_000_000, 500_000_000_000)
+# Larger than any bin number, so that bins of positive and negative values stay apart.
+_OFFSET = 10 ** 15
 
 _VALUE, _COUNT, _BIN, _RANK, _NAME, _BELOW = "_value", "_count", "_bin", "_rank", "_name", "_below"
 
 
-def _truncate(value: Column, digits: int) -> Column:
-    """Value cut (towards zero) to its leading significant digits; never reverses an order."""
-    text = F.format_string("%.16e", value)
-    return F.regexp_replace(text, rf"(\.[0-9]{{{digits - 1}}})[0-9]*", "$1").cast("double")
+def _bin(value: Column, per_e: int) -> Column:
+    """Number of the bin of a value; never reverses an order, because the logarithm never does."""
+    size = F.least(F.floor(F.ln(F.abs(value)) * per_e), F.lit(_OFFSET - 1)) + _OFFSET
+    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0))
 
 
 def _locate(bins: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
@@ -46,11 +48,11 @@ def order_statistics(df: DataFrame, value: str, positions: Mapping[str, Callable
     equal to it. Nulls are ignored.
     """
     by = list(by)
-    rows = df.select(*by, F.col(value).cast("double").alias(_VALUE)).where(F.col(_VALUE).isNotNull())
+    rows = df.select(*by, F.col(value).cast("double").alias(_VALUE)).where(~F.isnan(_VALUE))
 
     # First level: one count per group and bin over all rows.
-    digits = _STEP
-    bins = rows.groupBy(*by, _truncate(F.col(_VALUE), digits).alias(_BIN)).agg(F.count(F.lit(1)).alias(_COUNT))
+    level = 0
+    bins = rows.groupBy(*by, _bin(F.col(_VALUE), _BINS[level]).alias(_BIN)).agg(F.count(F.lit(1)).alias(_COUNT))
     wanted = F.array(*[
         F.struct(F.lit(name).alias(_NAME), rank(F.col("n")).cast("bigint").alias(_RANK))
         for name, rank in positions.items()
@@ -59,29 +61,28 @@ def order_statistics(df: DataFrame, value: str, positions: Mapping[str, Callable
     sized = sized.select("*", F.inline(wanted)).withColumn(_BELOW, F.lit(0).cast("bigint"))
     found = durable(_locate(sized, [*by, _NAME], _BIN))
 
-    # More digits while some bin is still large.
-    while digits < _ALL_DIGITS:
-        largest = found.agg(F.max(_COUNT)).first()[0]
-        if largest is None or largest <= SMALL_BIN:
-            break
-        finer = digits + _STEP
-        inside = _rows_of(rows, found, by, digits).withColumn("_finer", _truncate(F.col(_VALUE), finer))
-        bins = inside.groupBy(*by, _NAME, "n", _RANK, _BELOW, F.col("_finer").alias(_BIN)).agg(
+    # Finer bins while some located bin is still large.
+    largest, targets = found.agg(F.max(_COUNT), F.count(F.lit(1))).first()
+    while level + 1 < len(_BINS) and largest is not None and largest > SMALL_BIN:
+        inside = _rows_of(rows, found, by, level, targets)
+        level += 1
+        bins = inside.groupBy(*by, _NAME, "n", _RANK, _BELOW, _bin(F.col(_VALUE), _BINS[level]).alias(_BIN)).agg(
             F.count(F.lit(1)).alias(_COUNT))
         found = durable(_locate(bins, [*by, _NAME], _BIN))
-        digits = finer
+        largest = found.agg(F.max(_COUNT)).first()[0]
 
-    values = _rows_of(rows, found, by, digits).groupBy(*by, _NAME, "n", _RANK, _BELOW, _VALUE).agg(
+    values = _rows_of(rows, found, by, level, targets).groupBy(*by, _NAME, "n", _RANK, _BELOW, _VALUE).agg(
         F.count(F.lit(1)).alias(_COUNT))
     return (_locate(values, [*by, _NAME], _VALUE)
-            .select(*by, F.col(_NAME).alias("name"), "n", F.col(_VALUE).alias("value"), F.col(_BELOW).alias("below"),
-                    F.col(_COUNT).alias("equal")))
+            .select(*by, F.col(_NAME).alias("name"), "n", F.col(_VALUE).alias("value")))
 
 
-def _rows_of(rows: DataFrame, found: DataFrame, by: Sequence[str], digits: int) -> DataFrame:
-    """Rows that fall into a located bin, with the rank wanted there."""
-    targets = broadcast_if_small(found.drop(_COUNT))
-    left, right = rows.withColumn(_BIN, _truncate(F.col(_VALUE), digits)).alias("l"), targets.alias("r")
+def _rows_of(rows: DataFrame, found: DataFrame, by: Sequence[str], level: int, targets: int) -> DataFrame:
+    """Rows that fall into a located bin, with the rank wanted there; few targets are broadcast."""
+    wanted = found.drop(_COUNT)
+    if targets <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    left, right = rows.withColumn(_BIN, _bin(F.col(_VALUE), _BINS[level])).alias("l"), wanted.alias("r")
     same = F.col(f"l.{_BIN}") == F.col(f"r.{_BIN}")
     for key in by:
         same = same & F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
@@ -90,9 +91,30 @@ def _rows_of(rows: DataFrame, found: DataFrame, by: Sequence[str], digits: int)
 
 
 def nth_smallest(df: DataFrame, value: str, rank: int) -> tuple[float, int, int] | None:
-    """The value at a 0-based rank of a whole column, and the numbers of rows below and equal to it."""
-    row = order_statistics(df, value, {"nth": lambda n: F.lit(rank)}).first()
-    return None if row is None else (row["value"], row["below"], row["equal"])
+    """The value at a 0-based rank of a whole column, and the numbers of rows below and equal to it.
+
+    The same narrowing as for groups; a single located bin is just a constant for the next step.
+    None when there are not that many values.
+    """
+    rows = df.select(F.col(value).cast("double").alias(_VALUE)).where(~F.isnan(_VALUE))
+    below = 0
+
+    def locate(key: Column, at: str):
+        counts = rows.groupBy(key.alias(at)).agg(F.count(F.lit(1)).alias(_COUNT))
+        counts = counts.withColumn(_RANK, F.lit(rank).cast("bigint")).withColumn(_BELOW, F.lit(below).cast("bigint"))
+        return _locate(counts, [], at).first()
+
+    for per_e in _BINS:
+        key = _bin(F.col(_VALUE), per_e)
+        found = locate(key, _BIN)
+        if found is None:
+            return None
+        rank, below = found[_RANK], found[_BELOW]
+        rows = rows.where(key == found[_BIN])
+        if found[_COUNT] <= SMALL_BIN:
+            break
+    found = locate(F.col(_VALUE), _VALUE)
+    return found[_VALUE], found[_BELOW], found[_COUNT]
 
 
 def value_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
@@ -109,7 +131,7 @@ def value_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     pick = {name: F.max(F.when(F.col("name") == name, F.col("value"))) for name in ("low", "high", "p95")}
     order = ranks.groupBy(*by).agg(
         ((pick["low"] + pick["high"]) / 2).alias("median"), pick["p95"].alias("p95"))
-    plain = df.where(F.col(value).isNotNull()).groupBy(*by).agg(
+    plain = df.where(~F.isnan(F.col(value).cast("double"))).groupBy(*by).agg(
         F.avg(value).alias("mean"), F.max(value).alias("max"), F.count(value).alias("count"))
     same = [plain[k].eqNullSafe(order[k]) for k in by]
     return (plain.join(order, same).select(*[plain[k] for k in by], "mean", "median", "p95", "max", "count")

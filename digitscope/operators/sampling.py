@@ -21,19 +21,14 @@ SMALL_TIE = 1_000_000
 _COPIES = 10_000
 
 
-def sample_size(total: int, rate: float | None = None, count: int | None = None) -> int:
-    """Number of entries to draw; exactly one of ``rate`` and ``count`` must be given."""
+def check_size(rate: float | None, count: int | None) -> None:
+    """Exactly one of ``rate`` and ``count`` must be given, and it must make sense."""
     if (rate is None) == (count is None):
         raise ValueError("give exactly one of rate and count")
-    if rate is not None:
-        if not 0 < rate <= 1:
-            raise ValueError(f"rate must be in (0, 1], got {rate}")
-        return int(total * rate)
-    if count < 0:
+    if rate is not None and not 0 < rate <= 1:
+        raise ValueError(f"rate must be in (0, 1], got {rate}")
+    if count is not None and count < 0:
         raise ValueError(f"count must not be negative, got {count}")
-    if count > total:
-        raise ValueError(f"count {count} exceeds the {total} entries")
-    return count
 
 
 def sampling_hash(key: Column, seed: int) -> Column:
@@ -48,9 +43,11 @@ def keep_smallest(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     The threshold of the first column is found by counting. Rows below it are kept by a plain
     filter, rows equal to it are resolved by the next columns in the same way.
     """
-    found = nth_smallest(df, order[0], n - 1) if n > 0 else None
-    if found is None:
+    if n <= 0:
         return df.limit(0)
+    found = nth_smallest(df, order[0], n - 1)
+    if found is None:
+        raise ValueError(f"count {n} exceeds the number of entries")
     threshold, below, equal = found
     number = F.col(order[0])
     if isinstance(df.schema[order[0]].dataType, T.IntegralType):
@@ -86,7 +83,8 @@ def sample(entries: DataFrame, rate: float | None = None, count: int | None = No
 
     ``consecutive`` takes the first entries in index order instead of a random choice.
     """
-    n = sample_size(entries.count(), rate, count)
+    check_size(rate, count)
+    n = count if count is not None else int(entries.count() * rate)
     if consecutive:
         kept = keep_smallest(entries, n, [offset, key])
     else:

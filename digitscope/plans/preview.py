@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from digitscope.operators.bounds import count_up_to
 from digitscope.operators.distribution import digit_counts
 from digitscope.operators.sampling import keep_smallest
 from digitscope.plans.extract import extract
@@ -12,7 +13,7 @@ from digitscope.rules.expected import expected_frequencies
 
 def preview_articles(df: DataFrame, id_col: str, n: int = 1000) -> DataFrame:
     """The first ``n`` articles by id; all of them when there are fewer."""
-    return keep_smallest(df, min(n, df.select(id_col).limit(n).count()), [id_col])
+    return keep_smallest(df, count_up_to(df.select(id_col), n), [id_col])
 
 
 def preview_digits(numbers: DataFrame) -> DataFrame:

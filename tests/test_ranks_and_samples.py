@@ -47,12 +47,12 @@ def index(spark, n=1000, per_offset=7):
                                  F.col("id").alias("article_id"), F.concat(F.lit("t"), "id").alias("title"))
 
 
-def test_sample_size_checks():
-    assert sampling.sample_size(1000, rate=0.0015) == 1
-    assert sampling.sample_size(10, count=10) == 10
+def test_sample_size_checks(spark):
+    entries = index(spark, 10)
     for wrong in ({}, {"rate": 0.1, "count": 1}, {"rate": 0}, {"rate": 1.5}, {"count": 11}, {"count": -1}):
         with pytest.raises(ValueError):
-            sampling.sample_size(10, **wrong)
+            ds.sample(entries, **wrong)
+    assert ds.sample(entries, rate=0.19).count() == 1 and ds.sample(entries, count=10).count() == 10
 
 
 def test_consecutive_sample_is_the_head_of_the_index(spark):

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 from digitscope.functions.lets import escape, let
+from digitscope.rules.declared_rules import DECLARED_RULES
 from digitscope.rules.domains import DEFAULT_DOMAIN, DOMAIN_KEYWORDS
 from digitscope.rules.number_rules import GENERIC_LABEL, OBSERVED_RULES, TRIGGERS, YEAR_LABEL, YEAR_RANGE
 
@@ -78,22 +79,36 @@ def number_category(number_text: Column, context: Column, rules=OBSERVED_RULES,
     then never meet. The rules are evaluated inside a lambda, so that the lower-cased context is
     computed once and the long list stays out of the generated code of the surrounding stage.
     """
-    number_text = number_text.cast("string")
-
-    def decide(bound: Column) -> Column:
-        ctx, low, fallback = bound["ctx"], bound["low"], bound["fallback"]
-        out = F.when(~F.contains(ctx, bound["num"]), fallback)
+    def decide(ctx: Column, low: Column):
         for category, pattern, words in rules:
             found = ctx.rlike(unicode_regex(pattern))
-            hit = _contains_any(low, words) & found if words else found & _contains_any(low, triggers)
+            yield category, _contains_any(low, words) & found if words else found & _contains_any(low, triggers)
+
+    return _decide(number_text, context, context, decide)
+
+
+def declared_category(number_text: Column, context: Column, rules=DECLARED_RULES) -> Column:
+    """Category by the rules for all declared categories, without trigger words."""
+    def decide(ctx: Column, _: Column):
+        for category, pattern in rules:
+            yield category, ctx.rlike(unicode_regex(pattern))
+
+    return _decide(number_text, context, F.replace(context, F.lit(","), F.lit("")), decide)
+
+
+def _decide(number_text: Column, context: Column, searched: Column, decide) -> Column:
+    """First category of ``decide`` that applies, if the number is in ``searched``; else the year heuristic."""
+    number_text = number_text.cast("string")
+
+    def body(bound: Column) -> Column:
+        out = F.when(~bound["present"], bound["fallback"])
+        for category, hit in decide(bound["ctx"], bound["low"]):
             out = out.when(hit, F.lit(category))
-        return out.otherwise(fallback)
+        return out.otherwise(bound["fallback"])
 
+    present = F.contains(searched, F.replace(number_text, F.lit(","), F.lit("")))
     return let(
-        F.struct(
-            context.alias("ctx"), F.lower(context).alias("low"),
-            F.replace(number_text, F.lit(","), F.lit("")).alias("num"),
-            year_or_generic(number_text).alias("fallback"),
-        ),
-        decide,
+        F.struct(context.alias("ctx"), F.lower(context).alias("low"), present.alias("present"),
+                 year_or_generic(number_text).alias("fallback")),
+        body,
     )

@@ -97,15 +97,10 @@ def extract_contexts(text: Column, window: int = WINDOW, positions: bool = False
 
 
 def extract_categorized(text: Column, window: int = WINDOW, categorize: bool = True,
-                        positions: bool = False, rules=None) -> Column:
-    """Contexts with the category of each number: ``number``, ``number_category`` and the rest.
-
-    The category is computed inside the array, before rows are multiplied, which also keeps the
-    long rule list out of the generated code of the surrounding stage.
-    """
+                        positions: bool = False, category=number_category) -> Column:
+    """Contexts with the category of each number; ``category`` maps token and context to a label."""
     def label(c: Column) -> Column:
-        kind = (number_category(c["token"], c["context"], **({"rules": rules} if rules else {}))
-                if categorize else F.lit(GENERIC_LABEL))
+        kind = category(c["token"], c["context"]) if categorize else F.lit(GENERIC_LABEL)
         fields = [c["number"].alias("number"), kind.alias("number_category"),
                   c["token"].alias("token"), c["context"].alias("context")]
         if positions:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from digitscope.functions.digits import with_digits
 from digitscope.functions.labels import number_category
@@ -21,13 +21,15 @@ from digitscope.sources.sinks import write_numbers
 
 
 def extract(df: DataFrame, text_col: str, id_col: str, domain_col: str | None = None, window: int = WINDOW,
-            categorize: bool = True, markup: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
+            categorize: bool = True, markup: str | None = None, carry: Sequence[str] = (),
+            category: Callable[[Column, Column], Column] = number_category) -> DataFrame:
     """Numbers table of a text table, one row per number with digits, category and domain.
 
     A map-only plan without a shuffle: texts without a digit are dropped by a cheap filter, markup is
     stripped, all numbers of a text are found in one array, and the array is exploded into rows
     that are then labelled. Unused columns, such as the category, are pruned together with their work. ``domain_col`` names a column with the domain; with ``markup="wikitext"`` and no such
-    column the domain comes from the infobox. ``carry`` lists further columns to keep beside the numbers.
+    column the domain comes from the infobox. ``carry`` lists further columns to keep beside the numbers,
+    ``category`` labels a token in its context (``declared_category`` is the larger rule set).
     """
     rows = df.where(has_number(F.col(text_col)))
     if domain_col is not None:
@@ -41,11 +43,11 @@ def extract(df: DataFrame, text_col: str, id_col: str, domain_col: str | None =
                        *carry, text.alias("_text"))
     if categorize:
         found = rows.select("article_id", "domain", *carry, F.inline(extract_contexts(F.col("_text"), window)))
-        category = number_category(F.col("token"), F.col("context"))
+        label = category(F.col("token"), F.col("context"))
     else:
         found = rows.select("article_id", "domain", *carry, F.explode(extract_numbers(F.col("_text"))).alias("number"))
-        category = F.lit(GENERIC_LABEL)
-    found = with_digits(found.withColumn("number_category", category), "number")
+        label = F.lit(GENERIC_LABEL)
+    found = with_digits(found.withColumn("number_category", label), "number")
     return found.where("first_digit > 0").select(*NUMBERS.names, *carry)
 
 

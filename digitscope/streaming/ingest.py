@@ -67,6 +67,14 @@ def ledger_totals(ledger: DataFrame) -> DataFrame:
         F.coalesce(F.sum("numbers"), F.lit(0)).alias("numbers"))
 
 
+def failed(ledger: DataFrame) -> DataFrame:
+    """Units that were tried and never completed, with the number of retries."""
+    return (ledger.groupBy("unit_id")
+            .agg(F.bool_or(F.col("status") == "completed").alias("done"),
+                 F.max(F.when(F.col("status") == "failed", F.col("retries"))).alias("retries"))
+            .where("not done and retries is not null").drop("done"))
+
+
 def backfill(texts: DataFrame, unit_col: str, text_col: str, id_col: str, sink: str, ledger: str,
              **options) -> DataFrame:
     """Extract all units that the ledger does not list as completed; returns the new ledger entries.

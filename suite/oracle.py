@@ -7,6 +7,7 @@ import re
 from digitscope.functions.markup import COMMENT, DEPTH, HTML_STAGES, INFOBOX, WIKI_STAGES
 from digitscope.functions.text import NOT_A_NUMBER, TOKEN
 from digitscope.rules.categories import BAND_BOUNDS, CATEGORIES
+from digitscope.rules.declared_rules import DECLARED_RULES
 from digitscope.rules.domains import DEFAULT_DOMAIN, DOMAIN_KEYWORDS
 from digitscope.rules.expected import EXPECTED, equal_size_ks_pvalues
 from digitscope.rules.number_rules import OBSERVED_RULES, TRIGGERS
@@ -58,6 +59,11 @@ def _category(number: str, context: str) -> str:
     return f"CASE {' '.join(cases)} ELSE {_year(number)} END"
 
 
+def _declared(number: str, context: str) -> str:
+    cases = " ".join(f"WHEN regexp_matches({context}, {_q(_re2(pattern))}) THEN '{category}'" for category, pattern in DECLARED_RULES)
+    return f"CASE {cases} ELSE {_year(number)} END"
+
+
 def _numbers(source: str, text: str, *keys: str) -> str:
     """CTEs ending in ``nums``: keys, token, number, positions and context."""
     k = ", ".join(keys)
@@ -219,6 +225,8 @@ def oracle_sql() -> dict[str, str]:
         "number_contexts": f"WITH {DOC_NUMBERS} SELECT doc_id, token, number, context, start_pos, end_pos FROM nums",
         "number_categories": f"WITH {DOC_NUMBERS} SELECT doc_id, number, {_category('number', 'context')} AS number_category, start_pos FROM nums",
         "measured_categories": f"WITH {MEASURED} SELECT l_orderkey, l_linenumber, context, {_category('number', 'context')} AS number_category FROM measured",
+        "declared_categories": f"WITH {MEASURED} SELECT l_orderkey, l_linenumber, {_declared('number', 'context')} AS number_category FROM measured",
+        "document_declared_categories": f"WITH {DOC_NUMBERS} SELECT lang AS domain, {_declared('number', 'context')} AS number_category, count(*) AS numbers FROM nums GROUP BY 1, 2",
         "year_heuristic": f"SELECT o_orderkey, {_year('round(o_totalprice / 100, 2)')} AS label FROM orders",
         "numbers_table": f"WITH {DOC_NUMBERS} SELECT doc_id AS article_id, lang AS domain, number, {_category('number', 'context')} AS number_category, "
                          f"{_first('number')} AS first_digit, {_second('number')} AS second_digit, source FROM nums",
@@ -311,6 +319,8 @@ def oracle_sql() -> dict[str, str]:
                    FROM labels JOIN documents USING (doc_id) GROUP BY 1)
             SELECT count(*) FILTER (WHERE done) AS completed_units, count(*) FILTER (WHERE NOT done) AS failed_units,
                    count(*) FILTER (WHERE done) AS articles, CAST(coalesce(sum(n_chars) FILTER (WHERE done), 0) AS BIGINT) AS numbers FROM u""",
+        "failed_units": """SELECT CAST(doc_id AS VARCHAR) AS unit_id, CAST(max(n_chars % 4) AS INTEGER) AS retries FROM labels JOIN documents USING (doc_id)
+            GROUP BY 1 HAVING NOT bool_or(coalesce(quality = 1, FALSE))""",
         "union_of_parts": f"""WITH p AS (SELECT 'lineitem' AS domain, l_extendedprice AS number FROM lineitem
                 UNION ALL SELECT 'orders', o_totalprice FROM orders UNION ALL SELECT 'part', p_retailprice FROM part)
             SELECT domain, {_first('number')} AS first_digit, count(*) AS "count" FROM p WHERE number > 0 GROUP BY 1, 2""",

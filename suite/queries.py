@@ -15,7 +15,7 @@ from digitscope.plans.preview import preview_articles, preview_digits, preview_t
 from digitscope.sources.index import parse_index
 from digitscope.sources.pages import articles, parse_pages
 from digitscope.sources.tables import all_units, category_dimension, read_table, units_with_measures
-from digitscope.streaming.ingest import ledger_totals
+from digitscope.streaming.ingest import failed, ledger_totals
 from suite.inputs import KINDS, SENTENCES, WIKITEXT
 
 
@@ -138,6 +138,18 @@ def measured_categories(spark, sf):
         ds.number_category(F.col("number_text"), F.col("context")).alias("number_category"))
 
 
+def declared_categories(spark, sf):
+    return _measurements(spark, sf).select(
+        "l_orderkey", "l_linenumber",
+        ds.declared_category(F.col("number_text"), F.col("context")).alias("number_category"))
+
+
+def document_declared_categories(spark, sf):
+    docs = _documents(spark, sf, "doc_id", "lang", "text")
+    numbers = ds.extract(docs, "text", "doc_id", "lang", category=ds.declared_category)
+    return numbers.groupBy("domain", "number_category").agg(F.count("*").alias("numbers"))
+
+
 def year_heuristic(spark, sf):
     orders = read_table(spark, f"{sf}/orders.parquet", "o_orderkey", "o_totalprice")
     return orders.select("o_orderkey", year_or_generic(F.round(F.col("o_totalprice") / 100, 2).cast("string")).alias("label"))
@@ -358,14 +370,23 @@ def pending_anti_join(spark, sf):
     return pending(planned, ledger)
 
 
-def ledger_summary(spark, sf):
+def _ledger(spark, sf):
     labels = read_table(spark, f"{sf}/labels.parquet")
     docs = read_table(spark, f"{sf}/documents.parquet", "doc_id", "n_chars")
     ledger = labels.join(docs, "doc_id").select(
         F.col("doc_id").cast("string").alias("unit_id"),
         F.when(F.col("quality") == 1, "completed").otherwise("failed").alias("status"),
-        F.lit(1).cast("bigint").alias("articles"), F.col("n_chars").alias("numbers"))
-    return ledger_totals(ledger)
+        F.lit(1).cast("bigint").alias("articles"), F.col("n_chars").alias("numbers"),
+        (F.col("n_chars") % 4).cast("int").alias("retries"))
+    return ledger
+
+
+def ledger_summary(spark, sf):
+    return ledger_totals(_ledger(spark, sf))
+
+
+def failed_units(spark, sf):
+    return failed(_ledger(spark, sf))
 
 
 def union_of_parts(spark, sf):
@@ -390,12 +411,13 @@ def unit_union(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     has_numbers, index_parse, xml_articles, numbers_from_documents, numbers_from_conversations, number_contexts,
-    number_categories, measured_categories, year_heuristic, numbers_table, strip_html, html_numbers,
+    number_categories, measured_categories, declared_categories,
+    document_declared_categories, year_heuristic, numbers_table, strip_html, html_numbers,
     strip_wikitext, infobox_type, domain_of_text, domain_label, rule_label, domain_summary, digits_lineitem,
     digits_acctbal, digit_counts, second_digit_counts, document_digit_counts, digit_counts_map, frequencies,
     frequencies_one_group, chi_square, mad, mad_band, ks, cumulative_frequencies, summary, summary_orders,
     summary_parts, summary_overall, comparison, deviation_matrix, deviation_matrix_clamped, distinct_groups,
     corpus_totals, preview_summary, preview_distribution, group_value_stats, category_conformity,
     category_info, sample_first_n, sample_hashed, sample_by_rate, grouped_ids, semi_join_sample,
-    pending_anti_join, ledger_summary, union_of_parts, unit_tag, unit_union,
+    pending_anti_join, ledger_summary, failed_units, union_of_parts, unit_tag, unit_union,
 )}

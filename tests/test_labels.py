@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 import digitscope as ds
 from digitscope.functions.labels import domain_of_type, year_or_generic
+from digitscope.rules.categories import CATEGORIES
+from digitscope.rules.declared_rules import DECLARED_RULES
 from digitscope.rules.number_rules import OBSERVED_RULES, TRIGGERS
 
 # Number, context, category by the default rules.
@@ -79,9 +81,36 @@ CASES = [
 ]
 
 
-def label(spark, rows, **options):
+# Cases above whose declared category differs from the default one.
+DECLARED = {
+    "14:30:00": "time", "9.58 seconds world record": "time_record", "500 kWh of energy": "energy",
+    "220V electrical": "electric", "magnitude 4.5 star": "magnitude_astro", "3-2 victory": "score_sports",
+    ".300 batting average": "batting_avg", "wore #23 jersey": "jersey_number", "3 children in family": "small_count",
+    "population of 1,234,567": "population", "5,000 killed in battle": "casualties", "100 Mbps speed": "bit_rate",
+    "3.5 GHz processor": "clock_speed", "v2.0.1 software": "version", "25 years old": "age",
+    "1990s music": "century_decade", "(555) 123-4567 phone": "phone", "192.168.1.1 IP address": "ip_address",
+    "ZIP code 90210": "postal_code",
+}
+
+
+def test_declared_rules(spark):
+    cases = [(n, c, DECLARED.get(c, k)) for n, c, k in CASES[:62]]
+    got = label(spark, [(n, c) for n, c, _ in cases], category=ds.declared_category)
+    wrong = [(case, k) for case, k in zip(cases, got) if k != case[2]]
+    assert not wrong
+    more = [("550", "550 nm laser", "wavelength"), ("10", "10 kN load", "force"), ("5", "5 mSv dose", "radiation"),
+            ("1000", "1000 gauss field", "magnetic"), ("5", "5 ppm of lead", "concentration"), ("1", "ISBN 1-2345", "isbn"),
+            ("1.2", "1.2 g/cm³ rock", "density"), ("456", "flight UA 456", "flight_number"), ("5", "5 pages", "small_count")]
+    assert label(spark, [(n, c) for n, c, _ in more], category=ds.declared_category) == [k for _, _, k in more]
+
+
+def test_every_declared_category_has_a_rule():
+    assert {c for c, _ in DECLARED_RULES} | {"generic"} == {row[0] for row in CATEGORIES}
+
+
+def label(spark, rows, category=ds.number_category):
     df = spark.createDataFrame([(i, n, c) for i, (n, c) in enumerate(rows)], "i int, n string, c string")
-    out = df.select("i", ds.number_category(F.col("n"), F.col("c"), **options).alias("k")).collect()
+    out = df.select("i", category(F.col("n"), F.col("c")).alias("k")).collect()
     return [r.k for r in sorted(out, key=lambda r: r.i)]
 
 

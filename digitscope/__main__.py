@@ -54,7 +54,7 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "preview":
         entries = read_index(spark, args.index)
         ids = sample(entries, count=count_up_to(entries, args.count), consecutive=True).select("article_id")
-        numbers = extract_articles(read_pages(spark, args.dump), ids)
+        numbers = extract_articles(read_pages(spark, args.dump, main_only=True), ids)
         preview_totals(numbers).show()
         preview_digits(numbers).show()
     else:

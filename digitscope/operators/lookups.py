@@ -21,7 +21,7 @@ def keep_ids(df: DataFrame, ids: DataFrame | None, key: str = "article_id") -> D
 
 def pending(planned: DataFrame, ledger: DataFrame, key: str = "unit_id") -> DataFrame:
     """Planned keys without a completed entry; failed ones stay pending."""
-    done = ledger.where(F.col("status") == "completed").select(key)
+    done = ledger.where(F.col("status") == "completed").select(key).distinct()
     return planned.join(done, key, "left_anti")
 
 

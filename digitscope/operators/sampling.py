@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from digitscope.operators.ranks import nth_smallest
+from digitscope.sources.index import read_index
 
 # Hexadecimal digits of the hash that are used: 52 bits, exact in a double.
 _HASH_DIGITS = 13
@@ -91,3 +92,9 @@ def sample(entries: DataFrame, rate: float | None = None, count: int | None = No
         hashed = entries.withColumn("_hash", sampling_hash(F.col(key), seed))
         kept = keep_smallest(hashed, n, ["_hash", key]).drop("_hash")
     return kept.orderBy(offset, key)
+
+
+def create_sample(spark: SparkSession, path: str, rate: float | None = None, count: int | None = None,
+                  seed: int = 42, consecutive: bool = False) -> DataFrame:
+    """Sample of an index file."""
+    return sample(read_index(spark, path), rate, count, seed, consecutive)

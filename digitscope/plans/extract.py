@@ -11,11 +11,10 @@ from digitscope.functions.labels import number_category
 from digitscope.functions.markup import domain_of_text, strip_markup
 from digitscope.functions.text import WINDOW, extract_contexts, extract_numbers, has_number
 from digitscope.operators.lookups import keep_ids
-from digitscope.operators.sampling import sample as sample_entries
+from digitscope.operators.sampling import create_sample
 from digitscope.rules.domains import DEFAULT_DOMAIN
 from digitscope.rules.number_rules import GENERIC_LABEL
 from digitscope.schemas import NUMBERS
-from digitscope.sources.index import read_index
 from digitscope.sources.pages import articles, read_pages
 from digitscope.sources.sinks import write_numbers
 
@@ -64,5 +63,5 @@ def build_numbers(spark: SparkSession, dump: str, sink: str, index: str | None =
     if rate is not None or count is not None:
         if index is None:
             raise ValueError("sampling needs an index")
-        ids = sample_entries(read_index(spark, index), rate, count, seed, consecutive).select("article_id")
-    write_numbers(extract_articles(read_pages(spark, dump), ids), sink)
+        ids = create_sample(spark, index, rate, count, seed, consecutive).select("article_id")
+    write_numbers(extract_articles(read_pages(spark, dump, main_only=True), ids), sink)

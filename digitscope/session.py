@@ -10,7 +10,9 @@ def get_session(name: str = "digitscope", **config: str) -> SparkSession:
     builder = (SparkSession.builder.appName(name)
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.sql.adaptive.enabled", "true")
-               .config("spark.sql.adaptive.skewJoin.enabled", "true"))
+               .config("spark.sql.adaptive.skewJoin.enabled", "true")
+               # Text work is heavy per byte, so smaller splits than the default keep tasks even.
+               .config("spark.sql.files.maxPartitionBytes", "64m"))
     for key, value in config.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -9,20 +9,28 @@ from digitscope.schemas import PAGE
 _OPEN, _CLOSE = "<page>", "</page>"
 
 
-def parse_pages(records: DataFrame, column: str = "value") -> DataFrame:
-    """Page structs from text records that end where ``</page>`` was; bad XML gives null fields."""
-    xml = F.concat(F.substring_index(F.col(column), _OPEN, -1), F.lit(_CLOSE))
-    page = F.from_xml(F.concat(F.lit(_OPEN), xml), PAGE, {"rowTag": "page", "mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false"})
-    return records.where(F.contains(F.col(column), F.lit(_OPEN))).select(page.alias("page")).select("page.*")
+def parse_pages(records: DataFrame, column: str = "value", main_only: bool = False) -> DataFrame:
+    """Page fields from text records that end where ``</page>`` was; bad XML gives null fields.
+
+    ``main_only`` leaves out other namespaces by a search in the raw record, before anything is
+    parsed. The parsed page is exploded, not just selected: filters on its fields then stay above
+    the parser, which would otherwise run again in every filter that is pushed below it.
+    """
+    raw = F.col(column)
+    if main_only:
+        records = records.where(raw.rlike(r"<ns>\s*0\s*</ns>"))
+    xml = F.concat(F.lit(_OPEN), F.substring_index(raw, _OPEN, -1), F.lit(_CLOSE))
+    page = F.from_xml(xml, PAGE, {"rowTag": "page", "mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false"})
+    return records.where(F.contains(raw, F.lit(_OPEN))).select(F.inline(F.array(page)))
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
+def read_pages(spark: SparkSession, path: str, main_only: bool = False) -> DataFrame:
     """Pages of a dump as a splittable text scan.
 
     The closing tag is the record separator, so plain and bzip2 files are divided among tasks and
     every compressed stream of a file is read, which the XML source does in a single task.
     """
-    return parse_pages(spark.read.option("lineSep", _CLOSE).text(path))
+    return parse_pages(spark.read.option("lineSep", _CLOSE).text(path), main_only=main_only)
 
 
 def articles(pages: DataFrame) -> DataFrame:

@@ -24,9 +24,9 @@ def stream_table(spark: SparkSession, path: str, schema: T.StructType, files_per
 
 
 def stream_pages(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Stream of the pages of the dump files that appear in a folder."""
+    """Stream of the main-namespace pages of the dump files that appear in a folder."""
     return parse_pages(spark.readStream.option("lineSep", "</page>")
-                       .option("maxFilesPerTrigger", files_per_batch).text(path))
+                       .option("maxFilesPerTrigger", files_per_batch).text(path), main_only=True)
 
 
 def ingest(source: DataFrame, transform: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str,

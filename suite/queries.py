@@ -405,8 +405,8 @@ def unit_tag(spark, sf):
 
 def unit_union(spark, sf):
     words = _documents(spark, sf, "text").select(F.explode(F.split("text", "[ \n]")).alias("unit"))
-    counts = words.groupBy("unit").agg(F.count("*").alias("occurrences"))
-    return counts.join(F.broadcast(all_units(spark)), "unit")
+    known = words.join(F.broadcast(all_units(spark)), "unit", "left_semi")
+    return known.groupBy("unit").agg(F.count("*").alias("occurrences"))
 
 
 QUERIES = {f.__name__: f for f in (

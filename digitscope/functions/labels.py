@@ -24,11 +24,15 @@ def unicode_regex(pattern: str) -> str:
     a no-break space is a space in some. Explicit classes mean the same everywhere. A boundary
     needs only one side checked where the pattern settles the other: before a digit, a letter or
     a group of words, and after a letter, a repetition, a class or a group that is not optional.
+    A decimal number gives nothing back once it is read, or long digit runs would take quadratic
+    time; so no pattern may continue a number with a digit, a comma or a point.
     """
     before, after = f"(?<![{WORD}])", f"(?![{WORD}])"
     out = re.sub(r"\\b(?=\\d)", lambda _: rf"(?=\p{{Nd}}){before}", pattern)
     out = re.sub(r"\\b(?=\w|\((?:\?:)?\w)", lambda _: before, out)
     out = re.sub(r"(?<=[\w}\])])\\b", lambda _: after, out)
+    out = out.replace(r"[\d,]*\.?\d*", r"[\d,]*+\.?+\d*+")
+    out = out.replace(r"\d+\.?\d*", r"\d++\.?+\d*+")
     out = out.replace(r"\b", f"(?:(?<=[{WORD}]){after}|{before}(?=[{WORD}]))")
     return "(?iu)" + out.replace(r"\d", r"\p{Nd}").replace(r"\s", SPACE).replace(".*", r"[^\n]*")
 

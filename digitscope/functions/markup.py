@@ -10,20 +10,29 @@ from html.entities import name2codepoint
 
 from pyspark.sql import Column, functions as F
 
-from digitscope.functions.labels import SPACE, domain_of_type
+from digitscope.functions.labels import domain_of_type
 from digitscope.functions.lets import let, literal_map
 
 # Innermost templates and links are removed first, this many times.
 DEPTH = 8
 
+# A comment or a nowiki span is skipped as a whole, so that templates in it do not count.
 INFOBOX = r"(?is)<!--.*?-->|<nowiki>.*?</nowiki>|\{\{\s*infobox([^|{}]*)"
-COMMENT = r"(?s)<!--.*?-->"
 
 # Tags whose content is not shown as text.
 HIDDEN_TAGS = "categorytree|ce|chem|gallery|graph|hiero|imagemap|inputbox|math|nowiki|pre|score|section|source|syntaxhighlight|templatedata|timeline"
 
+# Spans that are removed with their content: how they open, how they close.
+COMMENT = ("<!--", "-->")
+HIDDEN = (rf"<(?:{HIDDEN_TAGS})(?:\s[^<>]*)?>", rf"</(?:{HIDDEN_TAGS})\s*>")
+SCRIPT = (r"<script(?:\s[^<>]*)?>", r"</script\s*>")
+STYLE = (r"<style(?:\s[^<>]*)?>", r"</style\s*>")
+
+# Innermost templates and links, removed from the inside outwards.
+TEMPLATE = (r"\{\{[^{}]*\}\}", "")
+LINK = (r"\[\[(?:[^\[\]|]*\|)?([^\[\]]*)\]\]", "$1")
+
 WIKI_STAGES = (
-    (rf"(?is)<(?:{HIDDEN_TAGS})(?:\s[^<>]*)?>.*?</(?:{HIDDEN_TAGS})\s*>", ""),
     (r"(?m)^[ \t]*\{\|[^\n]*$", ""),                                   # table start
     (r"(?m)^[ \t]*\|[}\-+][^\n|]*", ""),                                # table end, row, caption
     (r"\|\|", "\n|"),                                                  # one cell per line
@@ -32,28 +41,58 @@ WIKI_STAGES = (
     (r"\[(?:https?:|ftp:|mailto:)?//[^\s\[\]]*\s*([^\[\]]*)\]", "$1"),  # external links
     (r"(?s)</?[A-Za-z][^<>]*>", ""),
     (r"'{2,}", ""),
-    (r"(?m)^=+[ \t]*([^\n]*?)[ \t]*=+[ \t]*$", "$1"),
+    (r"(?m)^={1,6}([^\n]*?)={1,6}[ \t]*$", "$1"),                       # headings
     (r"(?m)^[*#:;]+", ""),
+    (r"\n{3,}", "\n\n"),
 )
-
-HTML_STAGES = (
-    (r"(?is)<script(?:\s[^<>]*)?>.*?</script\s*>", " "),
-    (r"(?is)<style(?:\s[^<>]*)?>.*?</style\s*>", " "),
-    (COMMENT, " "),
-    (r"(?s)<[^<>]*>", " "),
-)
+TAG = (r"(?s)<[^<>]*>", " ")
 
 ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 
-def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+# White space of Unicode texts.
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+
+
+def span_regex(span: tuple[str, str]) -> str:
+    """Shortest stretch from an opening to a closing mark."""
+    return "(?is)" + ".*?".join(span)
+
+
+def _closed_part(text: Column, closer: str) -> Column:
+    """Text up to the last closing mark; empty when there is none.
+
+    Every opening mark in this part is closed. Searching for spans behind it would run to the end
+    of the text from each opening mark in vain, which takes quadratic time on broken pages.
+    """
+    return F.regexp_extract(text, f"(?is)^.*{closer}", 0)
+
+
+def _remove_spans(text: Column, span: tuple[str, str], replacement: str = "") -> Column:
+    def cut(b: Column) -> Column:
+        rest = F.substring(b["text"], F.length(b["closed"]) + 1, F.length(b["text"]))
+        return F.when(b["closed"] == "", b["text"]).otherwise(
+            F.concat(F.regexp_replace(b["closed"], span_regex(span), replacement), rest))
+
+    return let(text, lambda t: let(F.struct(t.alias("text"), _closed_part(t, span[1]).alias("closed")), cut))
+
+
+def _drop_unclosed(text: Column, opener: str, closer: str) -> Column:
+    """Text without the opening marks that nothing closes."""
+    def cut(b: Column) -> Column:
+        rest = F.substring(b["text"], F.length(b["closed"]) + 1, F.length(b["text"]))
+        return F.concat(b["closed"], F.regexp_replace(rest, f"(?i){opener}", ""))
+
+    return let(text, lambda t: F.when(
+        F.contains(F.lower(t), F.lit(opener)),
+        let(F.struct(t.alias("text"), _closed_part(t, closer).alias("closed")), cut)).otherwise(t))
 
 
 def infobox_type(wikitext: Column) -> Column:
     """Type named by the first infobox template that names one, trimmed and lower-cased, else null."""
+    text = _drop_unclosed(_drop_unclosed(wikitext, "<!--", "-->"), "<nowiki>", "</nowiki>")
     names = F.transform(
-        F.regexp_extract_all(wikitext, F.lit(INFOBOX), F.lit(1)), lambda name: F.lower(_strip(name))
+        F.regexp_extract_all(text, F.lit(INFOBOX), F.lit(1)), lambda name: F.lower(F.btrim(name, F.lit(BLANKS)))
     )
     return F.get(F.filter(names, lambda name: name != ""), F.lit(0))
 
@@ -89,34 +128,31 @@ def decode_entities(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), let(cut, merge)).otherwise(text)
 
 
-def _until_done(text: Column, opener: str, step) -> Column:
-    """Apply ``step`` up to DEPTH times, as long as ``opener`` is still there."""
-    rounds = F.sequence(F.lit(1), F.lit(DEPTH))
+def _until_done(text: Column, opener: str, stage: tuple[str, str]) -> Column:
+    """Apply a replacement up to DEPTH times, as long as ``opener`` is still there."""
     return F.aggregate(
-        rounds, text, lambda acc, _: F.when(F.contains(acc, F.lit(opener)), step(acc)).otherwise(acc)
+        F.sequence(F.lit(1), F.lit(DEPTH)), text,
+        lambda acc, _: F.when(F.contains(acc, F.lit(opener)), F.regexp_replace(acc, *stage)).otherwise(acc),
     )
 
 
-def _replace_all(text: Column, stages) -> Column:
-    for pattern, replacement in stages:
-        text = F.regexp_replace(text, pattern, replacement)
-    return text
-
-
 def strip_wikitext(wikitext: Column) -> Column:
     """Visible text of an article: templates and comments go, links leave their label, tags their content."""
-    text = F.regexp_replace(wikitext, COMMENT, "")
-    text = _until_done(text, "{{", lambda t: F.regexp_replace(t, r"\{\{[^{}]*\}\}", ""))
-    text = _until_done(text, "[[", lambda t: F.regexp_replace(
-        t, r"\[\[(?:[^\[\]|]*\|)?([^\[\]]*)\]\]", "$1"))
-    text = let(_replace_all(text, WIKI_STAGES), decode_entities)
-    text = F.regexp_replace(text, "\n{3,}", "\n\n")
-    return F.regexp_replace(text, "^\n+|\n+$", "")
+    text = _remove_spans(wikitext, COMMENT)
+    text = _until_done(text, "{{", TEMPLATE)
+    text = _until_done(text, "[[", LINK)
+    text = _remove_spans(text, HIDDEN)
+    for stage in WIKI_STAGES:
+        text = F.regexp_replace(text, *stage)
+    return F.btrim(let(text, decode_entities), F.lit("\n"))
 
 
 def strip_html(html: Column) -> Column:
     """Visible text of a web page; removed tags leave a space so that neighbours stay apart."""
-    return let(_replace_all(html, HTML_STAGES), decode_entities)
+    text = html
+    for span in (SCRIPT, STYLE, COMMENT):
+        text = _remove_spans(text, span, " ")
+    return let(F.regexp_replace(text, *TAG), decode_entities)
 
 
 DIALECTS = {"wikitext": strip_wikitext, "html": strip_html}

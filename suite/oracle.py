@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-from digitscope.functions.markup import COMMENT, DEPTH, HTML_STAGES, INFOBOX, WIKI_STAGES
+from digitscope.functions.markup import (
+    COMMENT, DEPTH, HIDDEN, INFOBOX, LINK, SCRIPT, STYLE, TAG, TEMPLATE, WIKI_STAGES, span_regex,
+)
 from digitscope.functions.text import NOT_A_NUMBER, TOKEN
 from digitscope.rules.categories import BAND_BOUNDS, CATEGORIES
 from digitscope.rules.declared_rules import DECLARED_RULES
@@ -115,13 +117,12 @@ def _stages(text: str, stages) -> str:
 
 
 def _plain_wikitext(text: str) -> str:
-    out = _stages(text, [(COMMENT, "")] + [(r"\{\{[^{}]*\}\}", "")] * DEPTH
-                  + [(r"\[\[(?:[^\[\]|]*\|)?([^\[\]]*)\]\]", "$1")] * DEPTH + list(WIKI_STAGES))
-    return _stages(out, [("\n{3,}", "\n\n"), ("^\n+|\n+$", "")])
+    stages = [(span_regex(COMMENT), "")] + [TEMPLATE] * DEPTH + [LINK] * DEPTH + [(span_regex(HIDDEN), "")]
+    return f"trim({_stages(text, [*stages, *WIKI_STAGES])}, chr(10))"
 
 
 def _plain_html(text: str) -> str:
-    out = _stages(text, HTML_STAGES)
+    out = _stages(text, [(span_regex(span), " ") for span in (SCRIPT, STYLE, COMMENT)] + [TAG])
     for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
         out = f"replace({out}, '&{name};', {_q(char)})"
     return out

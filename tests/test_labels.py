@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,3 +173,12 @@ def test_first_match_label_is_ordered_and_null_safe(spark):
     df = spark.createDataFrame([("a b",), ("b",), (None,)], "x string")
     out = df.select(ds.first_match_label(F.col("x"), [("A", "a"), ("B", "b")], "none").alias("k")).collect()
     assert [r.k for r in out] == ["A", "B", "none"]
+
+
+def test_long_digit_runs_take_linear_time(spark):
+    digits = "3." + "14159265" * 50000
+    started = time.time()
+    context = f"about {digits} km, or $ 5 million people in May"
+    assert label(spark, [(digits, context)]) == ["distance"]
+    assert label(spark, [(digits, context.replace("km", "zz"))]) == ["money_magnitude"]
+    assert time.time() - started < 30

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,3 +49,18 @@ def test_strip_html_keeps_neighbours_apart(spark):
 def test_decode_entities(spark):
     text = "a &amp;lt; &#8364; &#x1F600; &#xD800; &nope; &eacute; 100% & more"
     assert value(spark, decode_entities(F.lit(text))) == "a &lt; € 😀 &#xD800; &nope; é 100% & more"
+
+
+def test_broken_pages_take_linear_time(spark):
+    text = "<!-- open <script> <style> <math> x {{ [[ == <nowiki> {{infobox &" * 20000 + " 42 " + "= " * 5000
+    started = time.time()
+    for dialect in ("html", "wikitext"):
+        assert " 42 " in value(spark, ds.strip_markup(F.lit(text), dialect))
+    value(spark, ds.infobox_type(F.lit(text)))
+    assert time.time() - started < 60
+    closed = "a<!-- x <!-- 5 -->b<script>6</SCRIPT >c<!-- 7"
+    assert value(spark, ds.strip_markup(F.lit(closed), "html")) == "a b c<!-- 7"
+
+
+def test_spaces_of_all_kinds_around_the_type(spark):
+    assert value(spark, ds.infobox_type(F.lit("{{Infobox\u00a0\u2003ship\u3000\n|x}}"))) == "ship"

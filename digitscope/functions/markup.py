@@ -17,7 +17,8 @@ from digitscope.functions.lets import let, literal_map
 DEPTH = 8
 
 # A comment or a nowiki span is skipped as a whole, so that templates in it do not count.
-INFOBOX = r"(?is)<!--.*?-->|<nowiki>.*?</nowiki>|\{\{\s*infobox([^|{}]*)"
+INFOBOX_START = r"\{\{\s*(?i:infobox)"
+INFOBOX = r"(?s)<!--.*?-->|<nowiki>.*?</nowiki>|" + INFOBOX_START + r"([^|{}]*)"
 
 # Tags whose content is not shown as text.
 HIDDEN_TAGS = "categorytree|ce|chem|gallery|graph|hiero|imagemap|inputbox|math|nowiki|pre|score|section|source|syntaxhighlight|templatedata|timeline"
@@ -33,16 +34,13 @@ TEMPLATE = (r"\{\{[^{}]*\}\}", "")
 LINK = (r"\[\[(?:[^\[\]|]*\|)?([^\[\]]*)\]\]", "$1")
 
 WIKI_STAGES = (
-    (r"(?m)^[ \t]*\{\|[^\n]*$", ""),                                   # table start
     (r"(?m)^[ \t]*\|[}\-+][^\n|]*", ""),                                # table end, row, caption
     (r"\|\|", "\n|"),                                                  # one cell per line
-    (r"(?m)^[ \t]*[|!](?:[^\n|\[\]]*\|)?", " "),                       # cell start with attributes
-    (r"!!", " "),
+    (r"(?m)^[ \t]*[|!](?:[^\n|\[\]]*\|)?|!!", " "),                    # cell start with attributes
     (r"\[(?:https?:|ftp:|mailto:)?//[^\s\[\]]*\s*([^\[\]]*)\]", "$1"),  # external links
-    (r"(?s)</?[A-Za-z][^<>]*>", ""),
-    (r"'{2,}", ""),
+    # tags, bold and italics, list markers, table start
+    (r"(?m)</?[A-Za-z][^<>]*>|'{2,}|^[*#:;]+|^[ \t]*\{\|[^\n]*$", ""),
     (r"(?m)^={1,6}([^\n]*?)={1,6}[ \t]*$", "$1"),                       # headings
-    (r"(?m)^[*#:;]+", ""),
     (r"\n{3,}", "\n\n"),
 )
 TAG = (r"(?s)<[^<>]*>", " ")
@@ -59,42 +57,47 @@ def span_regex(span: tuple[str, str]) -> str:
     return "(?is)" + ".*?".join(span)
 
 
-def _closed_part(text: Column, closer: str) -> Column:
-    """Text up to the last closing mark; empty when there is none.
+def _with_closed_part(text: Column, closer: str, body) -> Column:
+    """``body(closed, rest)``: the text up to the last closing mark, empty when there is none, and the rest.
 
-    Every opening mark in this part is closed. Searching for spans behind it would run to the end
-    of the text from each opening mark in vain, which takes quadratic time on broken pages.
+    Every opening mark in the first part is closed. Searching for spans in the rest would run to
+    the end of the text from each opening mark in vain, which takes quadratic time on broken pages.
     """
-    return F.regexp_extract(text, f"(?is)^.*{closer}", 0)
+    def split(t: Column) -> Column:
+        return let(F.struct(t.alias("t"), F.regexp_extract(t, f"(?is)^.*{closer}", 0).alias("closed")), lambda b: body(
+            b["closed"], F.substring(b["t"], F.length(b["closed"]) + 1, F.length(b["t"]))))
+
+    return let(text, split)
 
 
 def _remove_spans(text: Column, span: tuple[str, str], replacement: str = "") -> Column:
-    def cut(b: Column) -> Column:
-        rest = F.substring(b["text"], F.length(b["closed"]) + 1, F.length(b["text"]))
-        return F.when(b["closed"] == "", b["text"]).otherwise(
-            F.concat(F.regexp_replace(b["closed"], span_regex(span), replacement), rest))
+    def remove(closed: Column, rest: Column) -> Column:
+        return F.concat(F.regexp_replace(closed, span_regex(span), replacement), rest)
 
-    return let(text, lambda t: let(F.struct(t.alias("text"), _closed_part(t, span[1]).alias("closed")), cut))
+    opener, closer = span
+    return let(text, lambda t: F.when(t.rlike(f"(?i){opener}"), _with_closed_part(t, closer, remove)).otherwise(t))
 
 
-def _drop_unclosed(text: Column, opener: str, closer: str) -> Column:
+def _drop_unclosed(text: Column, span: tuple[str, str]) -> Column:
     """Text without the opening marks that nothing closes."""
-    def cut(b: Column) -> Column:
-        rest = F.substring(b["text"], F.length(b["closed"]) + 1, F.length(b["text"]))
-        return F.concat(b["closed"], F.regexp_replace(rest, f"(?i){opener}", ""))
+    opener, closer = span
+
+    def drop(closed: Column, rest: Column) -> Column:
+        return F.concat(closed, F.replace(rest, F.lit(opener), F.lit("")))
 
     return let(text, lambda t: F.when(
-        F.contains(F.lower(t), F.lit(opener)),
-        let(F.struct(t.alias("text"), _closed_part(t, closer).alias("closed")), cut)).otherwise(t))
+        F.contains(t, F.lit(opener)), _with_closed_part(t, closer, drop)).otherwise(t))
 
 
 def infobox_type(wikitext: Column) -> Column:
     """Type named by the first infobox template that names one, trimmed and lower-cased, else null."""
-    text = _drop_unclosed(_drop_unclosed(wikitext, "<!--", "-->"), "<nowiki>", "</nowiki>")
-    names = F.transform(
-        F.regexp_extract_all(text, F.lit(INFOBOX), F.lit(1)), lambda name: F.lower(F.btrim(name, F.lit(BLANKS)))
-    )
-    return F.get(F.filter(names, lambda name: name != ""), F.lit(0))
+    def first_name(text: Column) -> Column:
+        text = _drop_unclosed(_drop_unclosed(text, COMMENT), ("<nowiki>", "</nowiki>"))
+        names = F.transform(
+            F.regexp_extract_all(text, F.lit(INFOBOX), F.lit(1)), lambda name: F.lower(F.btrim(name, F.lit(BLANKS))))
+        return F.get(F.filter(names, lambda name: name != ""), F.lit(0))
+
+    return let(wikitext, lambda t: F.when(t.rlike(INFOBOX_START), first_name(t)))
 
 
 def domain_of_text(wikitext: Column) -> Column:

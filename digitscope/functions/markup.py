@@ -10,21 +10,23 @@ from html.entities import name2codepoint
 
 from pyspark.sql import Column, functions as F
 
-from digitscope.functions.labels import domain_of_type
+from digitscope.functions.labels import SPACE, domain_of_type
 from digitscope.functions.lets import let, literal_map
 
 # Innermost templates and links are removed first, this many times.
 DEPTH = 8
 
-# A comment or a nowiki span is skipped as a whole, so that templates in it do not count.
-INFOBOX_START = r"\{\{\s*(?i:infobox)"
-INFOBOX = r"(?s)<!--.*?-->|<nowiki>.*?</nowiki>|" + INFOBOX_START + r"([^|{}]*)"
+# An infobox template with a name; in the second form a comment or a nowiki span is skipped as a
+# whole, so that templates in it do not count.
+INFOBOX = rf"\{{\{{\s*(?i:infobox){SPACE}*([^|{{}}\s\x1c-\x1f\x85\p{{Z}}][^|{{}}]*)"
+INFOBOX_OUTSIDE = r"(?s)<!--.*?-->|<nowiki>.*?</nowiki>|" + INFOBOX
 
 # Tags whose content is not shown as text.
 HIDDEN_TAGS = "categorytree|ce|chem|gallery|graph|hiero|imagemap|inputbox|math|nowiki|pre|score|section|source|syntaxhighlight|templatedata|timeline"
 
 # Spans that are removed with their content: how they open, how they close.
 COMMENT = ("<!--", "-->")
+NOWIKI = ("<nowiki>", "</nowiki>")
 HIDDEN = (rf"<(?:{HIDDEN_TAGS})(?:\s[^<>]*)?>", rf"</(?:{HIDDEN_TAGS})\s*>")
 SCRIPT = (r"<script(?:\s[^<>]*)?>", r"</script\s*>")
 STYLE = (r"<style(?:\s[^<>]*)?>", r"</style\s*>")
@@ -33,15 +35,19 @@ STYLE = (r"<style(?:\s[^<>]*)?>", r"</style\s*>")
 TEMPLATE = (r"\{\{[^{}]*\}\}", "")
 LINK = (r"\[\[(?:[^\[\]|]*\|)?([^\[\]]*)\]\]", "$1")
 
+# Stages in order: text without which the pattern cannot occur, pattern, replacement.
 WIKI_STAGES = (
-    (r"(?m)^[ \t]*\|[}\-+][^\n|]*", ""),                                # table end, row, caption
-    (r"\|\|", "\n|"),                                                  # one cell per line
-    (r"(?m)^[ \t]*[|!](?:[^\n|\[\]]*\|)?|!!", " "),                    # cell start with attributes
-    (r"\[(?:https?:|ftp:|mailto:)?//[^\s\[\]]*\s*([^\[\]]*)\]", "$1"),  # external links
-    # tags, bold and italics, list markers, table start
-    (r"(?m)</?[A-Za-z][^<>]*>|'{2,}|^[*#:;]+|^[ \t]*\{\|[^\n]*$", ""),
-    (r"(?m)^={1,6}([^\n]*?)={1,6}[ \t]*$", "$1"),                       # headings
-    (r"\n{3,}", "\n\n"),
+    ("{|", r"(?m)^[ \t]*\{\|[^\n]*$", ""),                                # table start
+    ("|", r"(?m)^[ \t]*\|[}\-+][^\n|]*", ""),                             # table end, row, caption
+    ("||", r"\|\|", "\n|"),                                              # one cell per line
+    ("|", r"(?m)^[ \t]*\|(?:[^\n|\[\]]*\|)?", " "),                      # cell start with attributes
+    ("!", r"(?m)^[ \t]*!(?:[^\n|\[\]]*\|)?|!!", " "),                     # header cells
+    ("//", r"\[(?:https?:|ftp:|mailto:)?//[^\s\[\]]*\s*([^\[\]]*)\]", "$1"),  # external links
+    ("<", r"</?[A-Za-z][^<>]*>", ""),
+    ("''", r"'{2,}", ""),
+    ("=", r"(?m)^={1,6}([^\n]*?)={1,6}[ \t]*$", "$1"),                    # headings
+    ("", r"(?m)^[*#:;]+", ""),                                           # list markers
+    ("\n\n\n", r"\n{3,}", "\n\n"),
 )
 TAG = (r"(?s)<[^<>]*>", " ")
 
@@ -57,14 +63,20 @@ def span_regex(span: tuple[str, str]) -> str:
     return "(?is)" + ".*?".join(span)
 
 
-def _with_closed_part(text: Column, closer: str, body) -> Column:
+def _with_closed_part(text: Column, closer: str, body, plain: bool = False) -> Column:
     """``body(closed, rest)``: the text up to the last closing mark, empty when there is none, and the rest.
 
     Every opening mark in the first part is closed. Searching for spans in the rest would run to
     the end of the text from each opening mark in vain, which takes quadratic time on broken pages.
+    A ``plain`` mark is no pattern and found faster.
     """
     def split(t: Column) -> Column:
-        return let(F.struct(t.alias("t"), F.regexp_extract(t, f"(?is)^.*{closer}", 0).alias("closed")), lambda b: body(
+        if plain:
+            rest = F.substring_index(t, closer, -1)
+            return let(F.struct(t.alias("t"), rest.alias("rest")), lambda b: body(
+                F.substring(b["t"], F.lit(1), F.length(b["t"]) - F.length(b["rest"])), b["rest"]))
+        closed = F.regexp_extract(t, f"(?is)^.*{closer}", 0)
+        return let(F.struct(t.alias("t"), closed.alias("closed")), lambda b: body(
             b["closed"], F.substring(b["t"], F.length(b["closed"]) + 1, F.length(b["t"]))))
 
     return let(text, split)
@@ -75,7 +87,10 @@ def _remove_spans(text: Column, span: tuple[str, str], replacement: str = "") ->
         return F.concat(F.regexp_replace(closed, span_regex(span), replacement), rest)
 
     opener, closer = span
-    return let(text, lambda t: F.when(t.rlike(f"(?i){opener}"), _with_closed_part(t, closer, remove)).otherwise(t))
+    plain = span == COMMENT
+    return let(text, lambda t: F.when(
+        F.contains(t, F.lit(opener)) if plain else t.rlike(f"(?i){opener}"),
+        _with_closed_part(t, closer, remove, plain)).otherwise(t))
 
 
 def _drop_unclosed(text: Column, span: tuple[str, str]) -> Column:
@@ -86,18 +101,28 @@ def _drop_unclosed(text: Column, span: tuple[str, str]) -> Column:
         return F.concat(closed, F.replace(rest, F.lit(opener), F.lit("")))
 
     return let(text, lambda t: F.when(
-        F.contains(t, F.lit(opener)), _with_closed_part(t, closer, drop)).otherwise(t))
+        F.contains(t, F.lit(opener)), _with_closed_part(t, closer, drop, plain=True)).otherwise(t))
 
 
 def infobox_type(wikitext: Column) -> Column:
-    """Type named by the first infobox template that names one, trimmed and lower-cased, else null."""
-    def first_name(text: Column) -> Column:
-        text = _drop_unclosed(_drop_unclosed(text, COMMENT), ("<nowiki>", "</nowiki>"))
-        names = F.transform(
-            F.regexp_extract_all(text, F.lit(INFOBOX), F.lit(1)), lambda name: F.lower(F.btrim(name, F.lit(BLANKS))))
+    """Type named by the first infobox template that names one, trimmed and lower-cased, else null.
+
+    Usually nothing before that template is commented out and the search ends there; only otherwise
+    the whole text is searched with comments skipped.
+    """
+    def outside(t: Column) -> Column:
+        whole = _drop_unclosed(_drop_unclosed(t, COMMENT), NOWIKI)
+        names = F.regexp_extract_all(whole, F.lit(INFOBOX_OUTSIDE), F.lit(1))
         return F.get(F.filter(names, lambda name: name != ""), F.lit(0))
 
-    return let(wikitext, lambda t: F.when(t.rlike(INFOBOX_START), first_name(t)))
+    def first(b: Column) -> Column:
+        t, before = b["t"], b["before"]
+        hidden = F.contains(before, F.lit(COMMENT[0])) | F.contains(before, F.lit(NOWIKI[0]))
+        name = F.when(hidden, outside(t)).otherwise(F.regexp_extract(t, INFOBOX, 1))
+        return F.lower(F.btrim(name, F.lit(BLANKS)))
+
+    return let(wikitext, lambda t: F.when(t.rlike(INFOBOX), let(
+        F.struct(t.alias("t"), F.regexp_extract(t, "(?s)^(.*?)" + INFOBOX, 1).alias("before")), first)))
 
 
 def domain_of_text(wikitext: Column) -> Column:
@@ -139,14 +164,22 @@ def _until_done(text: Column, opener: str, stage: tuple[str, str]) -> Column:
     )
 
 
+def _stage(text: Column, needle: str, pattern: str, replacement: str) -> Column:
+    """One replacement, skipped when ``needle`` is not in the text."""
+    if not needle:
+        return F.regexp_replace(text, pattern, replacement)
+    return let(text, lambda t: F.when(
+        F.contains(t, F.lit(needle)), F.regexp_replace(t, pattern, replacement)).otherwise(t))
+
+
 def strip_wikitext(wikitext: Column) -> Column:
     """Visible text of an article: templates and comments go, links leave their label, tags their content."""
     text = _remove_spans(wikitext, COMMENT)
     text = _until_done(text, "{{", TEMPLATE)
     text = _until_done(text, "[[", LINK)
     text = _remove_spans(text, HIDDEN)
-    for stage in WIKI_STAGES:
-        text = F.regexp_replace(text, *stage)
+    for needle, pattern, replacement in WIKI_STAGES:
+        text = _stage(text, needle, pattern, replacement)
     return F.btrim(let(text, decode_entities), F.lit("\n"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from digitscope.functions.markup import (
-    COMMENT, DEPTH, HIDDEN, INFOBOX, LINK, SCRIPT, STYLE, TAG, TEMPLATE, WIKI_STAGES, span_regex,
+    COMMENT, DEPTH, HIDDEN, INFOBOX_OUTSIDE, LINK, SCRIPT, STYLE, TAG, TEMPLATE, WIKI_STAGES, span_regex,
 )
 from digitscope.functions.text import NOT_A_NUMBER, TOKEN
 from digitscope.rules.categories import BAND_BOUNDS, CATEGORIES
@@ -118,7 +118,7 @@ def _stages(text: str, stages) -> str:
 
 def _plain_wikitext(text: str) -> str:
     stages = [(span_regex(COMMENT), "")] + [TEMPLATE] * DEPTH + [LINK] * DEPTH + [(span_regex(HIDDEN), "")]
-    return f"trim({_stages(text, [*stages, *WIKI_STAGES])}, chr(10))"
+    return f"trim({_stages(text, [*stages, *[stage[1:] for stage in WIKI_STAGES]])}, chr(10))"
 
 
 def _plain_html(text: str) -> str:
@@ -129,7 +129,7 @@ def _plain_html(text: str) -> str:
 
 
 def _infobox(text: str) -> str:
-    names = f"list_transform(regexp_extract_all({text}, {_q(INFOBOX)}, 1), lambda n: lower(trim(n, chr(10) || chr(9) || ' ')))"
+    names = f"list_transform(regexp_extract_all({text}, {_q(INFOBOX_OUTSIDE)}, 1), lambda n: lower(trim(n, chr(10) || chr(9) || ' ')))"
     return f"list_filter({names}, lambda n: n <> '')[1]"
 
 

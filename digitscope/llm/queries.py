@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from digitscope.llm import bpe
+from digitscope.llm import bpe, sharding, simhash
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -16,6 +16,12 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_karmarkar_karp(spark: SparkSession, folder: str) -> DataFrame:
+    rows = sharding.shard(_table(spark, folder, "documents"), 40)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                       F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     tokens = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, decoded="decoded")
@@ -25,8 +31,16 @@ def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.groups(_table(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
+                        F.col("component").alias("component_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_karmarkar_karp": op1_karmarkar_karp,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_simhash": op4_simhash,
 }
 
 ORACLE: dict[str, str] = {}

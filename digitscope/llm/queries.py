@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from digitscope.llm import bpe, sharding, simhash
+from digitscope.llm import bpe, sharding, simhash, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -37,10 +37,19 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
                         F.col("component").alias("component_id"))
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = toxicity.train(docs, labels.where(~held_out))
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_karmarkar_karp": op1_karmarkar_karp,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_simhash": op4_simhash,
+    "op5_toxicity": op5_toxicity,
 }
 
 ORACLE: dict[str, str] = {}

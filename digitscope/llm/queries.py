@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from digitscope.llm import bpe, sharding, simhash, toxicity
+from digitscope.llm import bpe, secret_scan, sharding, simhash, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -45,11 +45,52 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_trigram_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, folder, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["rank"] < len(secret_scan.BASE))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    return found.select(
+        "doc_id", *[F.size(F.filter("spans", lambda s, k=r.kind: s["kind"] == k)).cast("bigint").alias(f"n_{r.kind}") for r in secret_scan.BASE],
+        F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def _op8_sql() -> str:
+    """Matches and the gaps between them, cut by DuckDB's own expressions, give the offsets."""
+    each = []
+    for rank, rule in enumerate(secret_scan.RULES):
+        pattern = rule.pattern.replace("'", "''")
+        each.append(f"""
+            SELECT n, {rank} AS rank, '{rule.kind}' AS kind, pos + before AS start, pos + before + length(found) AS stop
+            FROM (SELECT n, found, value, length(found) AS l,
+                         coalesce(sum(length(gap)) OVER w, 0) AS pos,
+                         coalesce(sum(length(found)) OVER (PARTITION BY n ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+                  FROM (SELECT n, unnest(range(1, len(gaps) + 1)) AS i, unnest(gaps) AS gap, unnest(found) AS found, unnest(value) AS value
+                        FROM (SELECT n, string_split_regex(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS found,
+                                     regexp_extract_all(text, '{pattern}', {rule.group}) AS value FROM d WHERE regexp_matches(text, '{pattern}')))
+                  WINDOW w AS (PARTITION BY n ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+            WHERE found IS NOT NULL AND length(value) >= {rule.least}""")
+    listed = "coalesce(string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, rank)"
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents), s AS ({" UNION ALL ".join(each)}),
+        g AS (SELECT n, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+                     count(*) FILTER (kind = 'hex') AS n_hex, {listed} FILTER (rank < {len(secret_scan.BASE)}), '') AS base, {listed}, '') AS spans
+              FROM s GROUP BY n)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN g USING (n)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_karmarkar_karp": op1_karmarkar_karp,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
+    "op8_trigram_secrets": op8_trigram_secrets,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_trigram_secrets": _op8_sql(),
+}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from digitscope.llm import bpe, secret_scan, sharding, simhash, toxicity
+from digitscope.llm import bpe, chat, fingerprint, secret_scan, sharding, simhash, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -53,7 +53,7 @@ def op8_trigram_secrets(spark: SparkSession, folder: str) -> DataFrame:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
     return found.select(
-        "doc_id", *[F.size(F.filter("spans", lambda s, k=r.kind: s["kind"] == k)).cast("bigint").alias(f"n_{r.kind}") for r in secret_scan.BASE],
+        "doc_id", *[(F.size("spans") - F.size(F.array_remove("spans.kind", r.kind))).cast("bigint").alias(f"n_{r.kind}") for r in secret_scan.BASE],
         F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
@@ -83,14 +83,54 @@ def _op8_sql() -> str:
         FROM d LEFT JOIN g USING (n)"""
 
 
+def op9_reply_trees(spark: SparkSession, folder: str) -> DataFrame:
+    text = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    out = chat.conversations(chat.threads(rows))
+    found, learnt = chat.turns(F.col("formatted")), chat.masked_text(F.col("formatted"), F.col("loss"))
+    out = out.select("conv", "formatted", found.alias("turns"), learnt.alias("learnt"))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        F.col("conv").alias("conv_id"), F.size("turns").cast("bigint").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
+        F.length("learnt").cast("bigint").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+_OP9_SQL = r"""
+    WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+               FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL
+                     SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'))
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           sum(16 + 2 * length(text) - length(replace(text, '<', '')) + length(text) - length(replace(text, '\', ''))
+               + 2 * length(role) - length(replace(role, '<', '')) + length(role) - length(replace(role, '\', ''))
+               + length(role) - length(replace(role, '>', '')))::BIGINT AS formatted_chars
+    FROM c GROUP BY conv_id"""
+
+
+def op10_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    out = fingerprint.beside_next(_table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint.as_text(F.col("sign")).alias("fingerprint"), fingerprint.as_text(F.col("edited_sign")).alias("edited_fingerprint"),
+        fingerprint.likeness(F.col("sign"), F.col("edited_sign")).alias("near_edited"),
+        fingerprint.likeness(F.col("sign"), F.col("next_sign")).alias("near_next"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_karmarkar_karp": op1_karmarkar_karp,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
     "op8_trigram_secrets": op8_trigram_secrets,
+    "op9_reply_trees": op9_reply_trees,
+    "op10_order_minhash": op10_order_minhash,
 }
 
 ORACLE: dict[str, str] = {
     "op8_trigram_secrets": _op8_sql(),
+    "op9_reply_trees": _OP9_SQL,
 }

@@ -75,5 +75,12 @@ def test_main_path_has_no_python(spark, data):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
-def test_query_against_sql(spark, data):
-    assert differences(queries.op8_trigram_secrets(spark, data), connect(data), queries.ORACLE["op8_trigram_secrets"]) == []
+def test_query_against_sql(spark, tmp_path):
+    folder = "/root/testdata/sf0.1"
+    frame = queries.op8_trigram_secrets(spark, folder)
+    assert differences(frame, connect(folder), queries.ORACLE["op8_trigram_secrets"]) == []
+    assert frame.where("n_assign > 0").count() > 50 and frame.where("n_hex > 0").count() > 50
+    rows = list(enumerate(TEXTS))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for r in queries.op8_trigram_secrets(spark, str(tmp_path)).collect():
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for a, _, k, b in slow_spans(TEXTS[r.doc_id]))

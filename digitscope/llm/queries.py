@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from digitscope.llm import bpe, chat, fingerprint, secret_scan, sharding, simhash, toxicity
+from digitscope.llm import bpe, chat, fingerprint, pq_dedup, secret_scan, sharding, simhash, toxicity, warc
+from digitscope.llm.shared import work_folder
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -45,6 +46,26 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_product_quantisation(spark: SparkSession, folder: str) -> DataFrame:
+    found = pq_dedup.near_duplicates(_table(spark, folder, "embeddings"))
+    return found.select("vec_id", "n_links", F.col("component").alias("component_id"), "kept")
+
+
+def op7_warc_index(spark: SparkSession, folder: str) -> DataFrame:
+    archives = work_folder(spark)
+    warc.write(_table(spark, folder, "pages"), archives)
+    return warc.history(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_OP7_SQL = """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    q AS (SELECT *, strlen(html) AS payload_bytes, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+    SELECT page_id, payload_bytes::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
+           CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to
+    FROM q"""
+
+
 def op8_trigram_secrets(spark: SparkSession, folder: str) -> DataFrame:
     found = secret_scan.scan(_table(spark, folder, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["rank"] < len(secret_scan.BASE))
@@ -125,12 +146,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
+    "op6_product_quantisation": op6_product_quantisation,
+    "op7_warc_index": op7_warc_index,
     "op8_trigram_secrets": op8_trigram_secrets,
     "op9_reply_trees": op9_reply_trees,
     "op10_order_minhash": op10_order_minhash,
 }
 
 ORACLE: dict[str, str] = {
+    "op7_warc_index": _OP7_SQL,
     "op8_trigram_secrets": _op8_sql(),
     "op9_reply_trees": _OP9_SQL,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from digitscope.llm import bpe, chat, fingerprint, pq_dedup, secret_scan, sharding, simhash, toxicity, warc
+from digitscope.llm import bpe, chat, fingerprint, mixing, pq_dedup, secret_scan, sharding, simhash, toxicity, warc
 from digitscope.llm.shared import work_folder
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -23,6 +23,78 @@ def op1_karmarkar_karp(spark: SparkSession, folder: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"))
 
 
+# The mixture of the queries. Domains are sets of sources; "*" stands for all that is not named.
+DOMAINS = {
+    "web": ("src0", "src1", "src2", "src3", "src4"),
+    "books": ("src5", "src6", "src7", "src8", "src9"),
+    "code": ("src10", "src11", "src12", "src13", "src14"),
+    "forum": ("src15", "src16", "src17", "src18", "src19"),
+}
+DOMAIN_WEIGHTS = {"web": 4, "books": 3, "code": 2, "forum": 1, "*": 1}
+LANGUAGE_WEIGHTS = {"en": 6, "de": 2, "fr": 2, "es": 1, "*": 1}
+WEIGHTS = {(d,): w for d, w in DOMAIN_WEIGHTS.items()} | {(d, n): w for d in DOMAIN_WEIGHTS for n, w in LANGUAGE_WEIGHTS.items()} | {
+    (d, n, s): 1 for d in DOMAIN_WEIGHTS for n in LANGUAGE_WEIGHTS for s in (*DOMAINS.get(d, ()), "*")}
+EPOCHS, SEED = 3, 17
+
+
+def domain(source):
+    """Domain of a source; null where none has it."""
+    named = F.lit(None).cast("string")
+    for name, sources in DOMAINS.items():
+        named = F.when(source.isin(*sources), F.lit(name)).otherwise(named)
+    return named
+
+
+def words(text):
+    """Number of words, by white space of ASCII."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^ \\t\\n\\r\\f\\x0B]+")).cast("bigint")
+
+
+def op2_hierarchical_mix(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "lang", "source", "text").withColumn("domain", domain(F.col("source")))
+    mixed = mixing.mix(docs, WEIGHTS, ("domain", "lang", "source"), words(F.col("text")), 1.0, EPOCHS, SEED)
+    return mixed.select("doc_id", "domain", "lang", "source", "leaf", "epoch", "tokens")
+
+
+def _op2_sql() -> str:
+    """The budgets level by level: children in order of capacity by weight are full until one is not."""
+    leaf = {path: i for i, path in enumerate(sorted(WEIGHTS))}
+    tree = ", ".join(f"('{d}', '{n}', '{s}', {i}, {WEIGHTS[d,]}, {WEIGHTS[d, n]}, {WEIGHTS[d, n, s]})"
+                     for (d, n, s), i in ((p, i) for p, i in leaf.items() if len(p) == 3))
+    named = " ".join(f"WHEN source IN ({', '.join(map(repr, sources))}) THEN '{name}'" for name, sources in DOMAINS.items())
+    langs = ", ".join(repr(n) for n in LANGUAGE_WEIGHTS if n != "*")
+
+    def level(name: str, source: str, up: str, child: str) -> str:
+        """Budgets of the children, from a table of parent columns, child, weight w, capacity cap and the parent's budget b."""
+        by = f"PARTITION BY {up}" if up else ""
+        keys = f"{up}, {child}" if up else child
+        return f"""
+        {name}_a AS (SELECT *, row_number() OVER (o) AS rn, coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_cap,
+                            sum(w) OVER ({by}) - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open_w
+                     FROM ({source}) WINDOW o AS ({by} ORDER BY cap::DOUBLE / w, {child})),
+        {name}_b AS (SELECT *, min(rn) FILTER (cap::HUGEINT * open_w > (b - full_cap)::HUGEINT * w) OVER ({by}) AS k FROM {name}_a),
+        {name} AS (SELECT {keys}, CASE WHEN k IS NULL OR rn < k THEN cap ELSE
+                      (max(b - full_cap) FILTER (rn = k) OVER ({by}))::HUGEINT * w // (max(open_w) FILTER (rn = k) OVER ({by})) END::BIGINT AS part FROM {name}_b)"""
+
+    return f"""
+    WITH tree(d, l, s, leaf, wd, wl, ws) AS (VALUES {tree}),
+    docs AS (SELECT doc_id, CASE {named} END AS domain, lang, source, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS who,
+                    len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\f\\x0B]+'))::BIGINT AS tokens FROM documents),
+    placed AS (SELECT docs.*, tree.leaf FROM docs JOIN tree ON d = coalesce(domain, '*') AND l = CASE WHEN lang IN ({langs}) THEN lang ELSE '*' END
+                    AND s = CASE WHEN domain IS NULL THEN '*' ELSE source END),
+    supply AS (SELECT tree.*, coalesce(sum(tokens), 0)::BIGINT AS n FROM tree LEFT JOIN placed USING (leaf) GROUP BY ALL),
+    {level("one", f"SELECT d, any_value(wd) AS w, (sum(n) * {EPOCHS})::BIGINT AS cap, (SELECT sum(n) FROM supply)::BIGINT AS b FROM supply GROUP BY d", "", "d")},
+    {level("two", f"SELECT d, l, any_value(wl) AS w, (sum(n) * {EPOCHS})::BIGINT AS cap, any_value(part) AS b FROM supply JOIN one USING (d) GROUP BY d, l", "d", "l")},
+    {level("three", f"SELECT d, l, s, ws AS w, n * {EPOCHS} AS cap, part AS b FROM supply JOIN two USING (d, l)", "d, l", "s")},
+    plan AS (SELECT leaf, least({EPOCHS}, part // n) AS whole, CASE WHEN part // n < {EPOCHS} THEN part % n ELSE 0 END AS remain
+             FROM three JOIN supply USING (d, l, s) WHERE n > 0 AND part > 0),
+    hashed AS (SELECT placed.*, whole, remain, ('0x' || substr(md5(concat_ws(':', '{SEED}', whole, who)), 1, {mixing.BITS // 4}))::BIGINT AS place FROM placed JOIN plan USING (leaf)),
+    started AS (SELECT *, sum(tokens) OVER (PARTITION BY leaf ORDER BY place) - sum(tokens) OVER (PARTITION BY leaf, place) AS start FROM hashed),
+    taken AS (SELECT doc_id, domain, lang, source, leaf, unnest(range(whole)) AS epoch, tokens FROM hashed
+              UNION ALL SELECT doc_id, domain, lang, source, leaf, whole, tokens FROM started WHERE start < remain)
+    SELECT doc_id, domain, lang, source, leaf, epoch::INTEGER AS epoch, tokens FROM taken"""
+
+
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     tokens = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, decoded="decoded")
@@ -143,6 +215,7 @@ def op10_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_karmarkar_karp": op1_karmarkar_karp,
+    "op2_hierarchical_mix": op2_hierarchical_mix,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
@@ -154,6 +227,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_hierarchical_mix": _op2_sql(),
     "op7_warc_index": _OP7_SQL,
     "op8_trigram_secrets": _op8_sql(),
     "op9_reply_trees": _OP9_SQL,

@@ -2,7 +2,9 @@
 
 Candidates: the 64 bits are cut into blocks, of which two fingerprints within the radius share all but
 ``radius``. Every choice of so many blocks makes a table keyed by their bits; enough blocks are taken that
-a key holds some hundred fingerprints on average, and no pair within the radius is missed.
+a key holds some hundred fingerprints on average, and no pair within the radius is missed. Similarities of
+shingle sets far below one need a wide radius, for which ``representatives`` takes wider fingerprints (several
+words mixed from each hash) and bands of bits as keys.
 
 Comparison: the fingerprints of neighbouring keys form a block, whose bit planes are stored vertically, 64
 fingerprints to a word. A query's differing bits are added to the counters of 64 fingerprints at once by
@@ -13,6 +15,7 @@ spanning forest, not all its pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -27,46 +30,70 @@ from digitscope.llm.shared import parts, slices, stored
 SEED = 42
 # Fingerprints to a key on average, in a tile of a hot key, and in a block at least.
 PER_KEY, TILE, BLOCK = 2048, 8192, 512
-# Cells that are counted together.
-CELLS = 1 << 15
+# Cells that are counted together, and shingles that are hashed together.
+CELLS, STEP = 1 << 15, 1 << 16
+# Words of a wide fingerprint, and bits of the bands that its candidates share.
+WIDTH, BAND = 4, 12
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """SimHash of a text's word shingles as an unsigned number; zero without words."""
+def _shingle_hashes(text: str | None, words: int) -> list[np.ndarray]:
+    """XXH64 of the text's word shingles, in arrays of bounded length."""
     found = (text or "").encode().lower().split()  # of bytes: A-Z and ASCII white space only
     if not found:
-        return 0
+        return []
     joined = b" ".join(found)
     size = np.fromiter(map(len, found), np.int64, len(found)) + 1
     ends = np.cumsum(size) - 1
     starts = (ends - size + 1)[:max(1, len(found) - words + 1)].tolist()
     ends = ends[min(words, len(found)) - 1:].tolist()
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(starts), 1 << 16):
-        part = np.array([digest(joined[i:j], SEED) for i, j in zip(starts[at:at + (1 << 16)], ends[at:at + (1 << 16)])], "<u8")
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(starts), bitorder="little").view("<u8")[0])
+    return [np.array([digest(joined[i:j], SEED) for i, j in zip(starts[at:at + STEP], ends[at:at + STEP])], np.uint64)
+            for at in range(0, len(starts), STEP)]
 
 
-def fingerprints(docs: DataFrame, text: str = "text", words: int = 4, name: str = "fingerprint") -> DataFrame:
-    """Replace ``text`` by ``name`` (bigint, the 64 bits of the SimHash). Map-only, over whole texts."""
-    kept = [c for c in docs.columns if c not in (text, name)]
-    schema = docs.select(*kept, F.lit(None).cast("bigint").alias(name)).schema
+def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
+    """The hashes for a word of the fingerprint: themselves for the first, else scrambled with its number."""
+    if word == 0:
+        return hashes
+    x = hashes + np.uint64(word * 0x9E3779B97F4A7C15 % 2 ** 64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: str | None, words: int = 4, width: int = 1) -> list[int]:
+    """SimHash of a text's word shingles as ``width`` unsigned 64-bit words; zero without words."""
+    counts, total = np.zeros((width, 64), np.int64), 0
+    for hashes in _shingle_hashes(text, words):
+        total += len(hashes)
+        for w in range(width):
+            bits = np.unpackbits(_mixed(hashes, w).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts[w] += bits.sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > total, axis=1, bitorder="little").view("<u8").ravel().tolist()
+
+
+def _words(width: int) -> list[str]:
+    return [f"w{i}" for i in range(width)]
+
+
+def fingerprints(docs: DataFrame, text: str = "text", words: int = 4, width: int = 1) -> DataFrame:
+    """Replace ``text`` by the words ``w0``, ``w1``, ... (bigint) of its fingerprint. Map-only, over whole texts."""
+    kept = [c for c in docs.columns if c not in (text, *_words(width))]
+    schema = docs.select(*kept, *[F.lit(None).cast("bigint").alias(w) for w in _words(width)]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
-                got = np.array([fingerprint(t, words) for t in part.column(text).to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(got)], [*kept, name])
+                got = np.array([fingerprint(t, words, width) for t in part.column(text).to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(got[:, w]) for w in range(width))], [*kept, *_words(width)])
 
     return docs.select(*kept, text).mapInArrow(run, schema)
 
 
 def _exceeds(counter: list[np.ndarray], radius: int) -> np.ndarray:
-    """Lanes whose three-bit counter is above the radius."""
+    """Lanes whose counter is above the radius."""
     above, equal = np.zeros_like(counter[0]), np.full_like(counter[0], ~np.uint64(0))
-    for bit in (2, 1, 0):
+    for bit in reversed(range(len(counter))):
         if radius >> bit & 1:
             equal &= counter[bit]
         else:
@@ -75,8 +102,8 @@ def _exceeds(counter: list[np.ndarray], radius: int) -> np.ndarray:
     return above
 
 
-def _add(counter: list[np.ndarray], over: np.ndarray, d: list[np.ndarray], radius: int) -> None:
-    """Add four planes to the counters with carry-save adders; lanes above the radius stay marked in ``over``."""
+def _add(counter: list[np.ndarray], d: list[np.ndarray]) -> None:
+    """Add four planes to the bits of the counters with carry-save adders."""
     def full(a, b, c):
         x = a ^ b
         return x ^ c, (a & b) | (x & c)
@@ -84,36 +111,39 @@ def _add(counter: list[np.ndarray], over: np.ndarray, d: list[np.ndarray], radiu
     counter[0], low = full(counter[0], d[0], d[1])
     counter[0], high = full(counter[0], d[2], d[3])
     counter[1], carry = full(counter[1], low, high)
-    over |= counter[2] & carry
-    counter[2] = counter[2] ^ carry
-    over |= _exceeds(counter, radius)
+    for bit in range(2, len(counter)):
+        counter[bit], carry = counter[bit] ^ carry, counter[bit] & carry
 
 
 def near(prints: np.ndarray, radius: int) -> np.ndarray:
-    """For each of the fingerprints (uint64) the index of the first one it is connected with by links."""
-    n = len(prints)
+    """For each fingerprint (a row of uint64 words) the index of the first one it is connected with by links."""
+    n, width = prints.shape
     labels = np.arange(n)
     if n < 2:
         return labels
-    words = -(-n // 64)
-    bits = np.zeros((words * 64, 64), np.uint8)
-    bits[:n] = np.unpackbits(np.ascontiguousarray(prints, "<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
+    lanes, total = -(-n // 64), width * 64
+    bits = np.zeros((lanes * 64, total), np.uint8)
+    bits[:n] = np.unpackbits(np.ascontiguousarray(prints, "<u8").view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
     planes = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
-    unused = ~np.packbits(np.arange(words * 64) < n, bitorder="little").view("<u8")
-    step = max(1, CELLS // words)
+    unused = ~np.packbits(np.arange(lanes * 64) < n, bitorder="little").view("<u8")
+    # Unrelated fingerprints pass the radius soon after twice as many planes; until then nothing is abandoned.
+    dense = min(total, max(16, -(-(2 * radius + 8) // 8) * 8))
+    deep, step = (radius + 8).bit_length(), max(1, CELLS // lanes)
     for first in range(0, n, step):
         at = first // 64
-        masks = np.uint64(0) - bits[first:min(n, first + step)].T.astype(np.uint64)
-        rows, columns = masks.shape[1], words - at
-        counter = [np.zeros((rows, columns), np.uint64) for _ in range(3)]
-        over = np.repeat(unused[None, at:], rows, 0)
-        for p in range(0, 16, 4):
-            _add(counter, over, [planes[k, at:][None, :] ^ masks[k][:, None] for k in range(p, p + 4)], radius)
+        masks = np.uint64(0) - np.ascontiguousarray(bits[first:min(n, first + step)].T).astype(np.uint64)
+        counter = [np.zeros((masks.shape[1], lanes - at), np.uint64) for _ in range(deep)]
+        over = np.repeat(unused[None, at:], masks.shape[1], 0)
+        for p in range(0, dense, 4):
+            _add(counter, [planes[k, at:][None, :] ^ masks[k][:, None] for k in range(p, p + 4)])
+            if p % 8 == 4:
+                over |= _exceeds(counter, radius)
         q, w = np.nonzero(~over)
         counter, over = [c[q, w] for c in counter], over[q, w]
-        for p in range(16, 64, 4):
-            _add(counter, over, [planes[k, at:][w] ^ masks[k][q] for k in range(p, p + 4)], radius)
+        for p in range(dense, total, 4):
+            _add(counter, [planes[k, at:][w] ^ masks[k][q] for k in range(p, p + 4)])
             if p % 8 == 4:
+                over |= _exceeds(counter, radius)
                 live = ~over != 0
                 q, w, over, counter = q[live], w[live], over[live], [c[live] for c in counter]
         if len(q):
@@ -132,76 +162,121 @@ def _masks(total: int, radius: int) -> list[int]:
     return [sum(some) for some in combinations(own, blocks - radius)]
 
 
-def links(prints: DataFrame, radius: int = 4) -> DataFrame:
-    """Links ``(a, b)`` that connect all distinct fingerprints within ``radius`` bits of each other (0 to 6).
+def _bands(width: int) -> list[tuple[int, int]]:
+    """Word and mask of every band of ``BAND`` bits."""
+    return [(w, ((1 << BAND) - 1) << at) for w in range(width) for at in range(0, 64 - BAND + 1, BAND)]
+
+
+def links(prints: DataFrame, radius: int, tables: list[tuple[int, int]] | None = None) -> DataFrame:
+    """Links ``(a, b)`` between nodes whose fingerprints share a key and are within ``radius`` bits of each other.
 
-    ``prints`` has one column of distinct bigint fingerprints. Every pair within the radius is compared;
-    the links form spanning forests, with at most one link to a fingerprint and key.
+    ``prints`` has ``node`` and the words ``w0``, ``w1``, ... (all bigint, one row per node). ``tables`` holds the word and the bit mask
+    of each table of keys; by default, for one word, the choices of blocks that miss no pair. Every pair
+    that shares a key is compared; the links form spanning forests, with at most one link to a node and key.
     """
-    if not 0 <= radius <= 6:
-        raise ValueError("the radius must be 0 to 6")
-    spark, name = prints.sparkSession, prints.columns[0]
-    prints = stored(prints.where(F.col(name).isNotNull()).select(F.col(name).alias("print")))
+    spark, words = prints.sparkSession, [c for c in prints.columns if c != "node"]
+    prints = stored(prints)
     total = prints.count()
-    masks = [m - (1 << 64) if m >> 63 else m for m in _masks(total, radius)]
-    keyed = prints.select("print", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("at"), F.col("print").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])).alias("t")) \
-        .select("print", "t.at", "t.key")
+    if tables is None:
+        tables = [(0, m) for m in _masks(total, radius)]
+    keys = [F.struct(F.lit(i).alias("at"), F.col(words[w]).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key"))
+            for i, (w, m) in enumerate(tables)]
+    keyed = prints.select("node", *words, F.explode(F.array(*keys)).alias("t")).select("node", *words, "t.at", "t.key")
     # At most 10,000 keys can hold a ten-thousandth of the rows: small enough to broadcast at any size.
-    limit = max(TILE, total * len(masks) // 10_000)
+    limit = max(TILE, total * len(tables) // 10_000)
     hot = stored(keyed.groupBy("at", "key").agg(F.count("*").alias("n")).where(F.col("n") > limit))
     if hot.count():
         tiles = F.ceil(F.col("n") / TILE)
-        own = F.pmod(F.xxhash64("print"), tiles)
-        others = F.filter(F.sequence(F.lit(0).cast("bigint"), tiles - 1), lambda j: j != own)
-        keyed = keyed.join(F.broadcast(hot), ["at", "key"], "left").select(
-            "at", "key", "print", F.explode(F.when(F.col("n").isNull(), F.array(F.struct(F.lit(0).cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("j"))))
-                                            .otherwise(F.transform(others, lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"))))).alias("tile")) \
-            .select("print", F.xxhash64("at", "key", "tile.i", "tile.j").alias("unit"))
+        own = F.pmod(F.xxhash64("node"), tiles)
+        zero = F.lit(0).cast("bigint")
+        others = F.filter(F.sequence(zero, tiles - 1), lambda j: j != own)
+        pairs = F.when(F.col("n").isNull(), F.array(F.struct(zero.alias("i"), zero.alias("j")))).otherwise(
+            F.transform(others, lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"))))
+        keyed = keyed.join(F.broadcast(hot), ["at", "key"], "left").select("at", "key", "node", *words, F.explode(pairs).alias("tile")) \
+            .select("node", *words, F.xxhash64("at", "key", "tile.i", "tile.j").alias("unit"))
     else:
-        keyed = keyed.select("print", F.xxhash64("at", "key").alias("unit"))
+        keyed = keyed.select("node", *words, F.xxhash64("at", "key").alias("unit"))
 
-    def compare(unit: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
-        edges = np.append(np.flatnonzero(np.diff(unit)) + 1, len(unit))
+    def compare(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows of unit, node and words, by unit; units are compared together up to ``BLOCK`` rows."""
         start = 0
-        for stop in edges.tolist():
-            if stop - start >= BLOCK or stop == len(unit):
-                block = prints[start:stop].view(np.uint64)
-                to = near(block, radius)
-                some = np.flatnonzero(to != np.arange(len(to)))
-                some = some[block[to[some]] != block[some]]
-                if len(some):
-                    yield pa.RecordBatch.from_arrays([pa.array(block[to[some]].view(np.int64)), pa.array(block[some].view(np.int64))], ["a", "b"])
+        for stop in np.append(np.flatnonzero(np.diff(rows[:, 0])) + 1, len(rows)).tolist():
+            if stop - start >= BLOCK or stop == len(rows):
+                nodes = rows[start:stop, 1]
+                to = nodes[near(rows[start:stop, 2:].view(np.uint64), radius)]
+                some = to != nodes
+                if some.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(to[some]), pa.array(nodes[some])], ["a", "b"])
                 start = stop
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = np.zeros((0, 2 + len(words)), np.int64)
         for batch in batches:
-            unit = np.concatenate([unit, batch.column("unit").to_numpy(zero_copy_only=False)])
-            held = np.concatenate([held, batch.column("print").to_numpy(zero_copy_only=False)])
-            last = int(np.searchsorted(unit, unit[-1])) if len(unit) else 0
+            held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)])
+            last = int(np.searchsorted(held[:, 0], held[-1, 0])) if len(held) else 0
             if last >= BLOCK:
-                yield from compare(unit[:last], held[:last])
-                unit, held = unit[last:], held[last:]
-        if len(unit):
-            yield from compare(unit, held)
+                yield from compare(held[:last])
+                held = held[last:]
+        if len(held):
+            yield from compare(held)
 
-    return (keyed.select("unit", "print").repartition(parts(spark), "unit").sortWithinPartitions("unit", "print")
+    return (keyed.select("unit", "node", *words).repartition(parts(spark), "unit").sortWithinPartitions("unit", "node")
             .mapInArrow(run, "a bigint, b bigint"))
 
 
+def _grouped(docs: DataFrame, words: int, width: int, radius: int, tables: list[tuple[int, int]] | None) -> DataFrame:
+    """``id, component`` (smallest id of the group) and the fingerprint's words, for rows of ``id`` and ``text``."""
+    prints, names = stored(fingerprints(docs.select("id", "text"), words=words, width=width)), _words(width)
+    node = F.col("w0") if width == 1 else F.monotonically_increasing_id()
+    nodes = stored(prints.groupBy(*names).agg(F.min("id").alias("first")).select(node.alias("node"), *names, "first"))
+    roots = components(links(nodes.select("node", *names), radius, tables)).withColumnRenamed("node", "of")
+    member = stored(nodes.join(roots, nodes["node"] == roots["of"], "left").select(*names, "first", F.coalesce("root", "node").alias("root")))
+    smallest = stored(member.groupBy("root").agg(F.min("first").alias("component")))
+    classes = stored(member.join(smallest, "root").select(*names, "component"))
+    return prints.join(classes, names).select("id", "component", *names)
+
+
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """One row per document: ``doc_id``, ``fingerprint`` (bigint), ``component`` (smallest id reachable by links).
 
-    Null and empty texts and texts without words have fingerprint zero and are linked like any other.
-    Repeated rows and ids keep their rows; null ids get the smallest other id of their group, or null. All
-    pairs of different fingerprints within the radius count; equal ones are one node, however many there are.
+    Fingerprints link at ``radius`` (0 to 8) or fewer differing bits. Null and empty texts and texts without words have
+    fingerprint zero and are linked like any other. Repeated rows and ids keep their rows; null ids get
+    the smallest other id of their group, or null. All pairs of different fingerprints within the radius
+    count; equal ones are one node, however many there are.
     """
-    prints = stored(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words=words))
-    nodes = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
-    roots = components(links(nodes.select("fingerprint"), radius))
-    member = stored(nodes.join(roots, nodes["fingerprint"] == roots["node"], "left")
-                    .select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root")))
-    smallest = stored(member.groupBy("root").agg(F.min("first").alias("component")))
-    classes = stored(member.join(smallest, "root").select("fingerprint", "component"))
-    return prints.join(classes, "fingerprint").select(F.col("doc_id").alias(doc_id), "fingerprint", "component")
+    if not 0 <= radius <= 8:
+        raise ValueError("the radius must be 0 to 8")
+    found = _grouped(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), words, 1, radius, None)
+    return found.select(F.col("id").alias(doc_id), F.col("w0").alias("fingerprint"), "component")
+
+
+def wide_radius(similarity: float, width: int) -> int:
+    """Bits in which fingerprints of shingle sets of that Jaccard similarity differ, one deviation above the mean."""
+    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(64 * width * apart + (64 * width * apart * (1 - apart)) ** 0.5)
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8,
+                    width: int = WIDTH) -> DataFrame:
+    """The rows of ``docs`` with one document left of each group of near-duplicates, that of the smallest id.
+
+    Groups are connected by links between fingerprints of ``width`` words that differ in at most as many bits as
+    sets of ``words``-word shingles of the given Jaccard similarity do, one deviation included. Candidates share
+    a band of 12 bits: at a similarity of 0.8 a pair shares one with probability 0.94, at 0.9 with 0.998.
+    Ids may be null (they come last) or repeated; repeated rows are copies, of which one stays.
+    """
+    hashed = F.xxhash64(text).alias("h")
+    rows = docs.select(F.struct(F.col(doc_id).isNull().alias("null"), F.col(doc_id).alias("id"), hashed).alias("id"), F.col(text).alias("text"))
+    kept = _grouped(rows, words, width, wide_radius(similarity, width), _bands(width)).where("id = component")
+    kept = stored(kept.groupBy(F.col("id.id").alias("_id"), F.col("id.h").alias("_h")).agg(F.count("*").alias("_n")))
+    keyed = docs.withColumn("_key", F.xxhash64(text))
+
+    def chosen(which: DataFrame) -> DataFrame:
+        return keyed.join(which, (F.col("_key") == F.col("_h")) & keyed[doc_id].eqNullSafe(which["_id"]), "left_semi")
+
+    once = chosen(kept.where("_n = 1")).drop("_key")
+    if not kept.where("_n > 1").limit(1).count():
+        return once
+    # Repeated rows: one of each, combined before the shuffle.
+    again = chosen(kept.where("_n > 1")).groupBy(doc_id, "_key").agg(F.min(F.struct(*docs.columns)).alias("d")).select("d.*")
+    return once.unionByName(again)

@@ -51,7 +51,7 @@ def around(pick, centres, n):
 
 def test_fingerprints():
     texts = [None, "", " \n", "one", "One two THREE", "a b c d", "a b c d e", "É é A", "x\x1cy z \x85 w", "same " * 50]
-    assert [simhash.fingerprint(t) for t in texts] == [slow_fingerprint(t) for t in texts]
+    assert [simhash.fingerprint(t)[0] for t in texts] == [slow_fingerprint(t) for t in texts]
 
 
 def test_bit_sliced_comparison():
@@ -59,10 +59,22 @@ def test_bit_sliced_comparison():
     for radius in range(7):
         for n in (1, 2, 63, 64, 65, 400):
             prints = around(pick, [pick.getrandbits(64) for _ in range(12)], n)
-            got = simhash.near(np.array(prints, np.uint64), radius).tolist()
+            got = simhash.near(np.array(prints, np.uint64)[:, None], radius).tolist()
             assert got == slow_roots(prints, radius)
 
 
+def test_bit_sliced_comparison_of_wide_prints():
+    pick = random.Random(8)
+    for radius in (0, 12, 45):
+        prints = []
+        for centre in [pick.getrandbits(256) for _ in range(9)]:
+            for _ in range(30):
+                flips = pick.sample(range(256), pick.randint(0, 60))
+                prints.append(centre ^ sum(1 << f for f in flips))
+        rows = np.array([[p >> (64 * w) & (2 ** 64 - 1) for w in range(4)] for p in prints], np.uint64)
+        assert simhash.near(rows, radius).tolist() == slow_roots(prints, radius)
+
+
 def test_masks_share_enough_blocks():
     pick = random.Random(4)
     for total in (0, 10 ** 6, 10 ** 9, 10 ** 12):
@@ -80,7 +92,7 @@ def test_links_with_hot_keys(spark, monkeypatch):
         monkeypatch.setattr(simhash, "TILE", tile)
         monkeypatch.setattr(simhash, "BLOCK", 7)
         signed = np.array(prints, np.uint64).view(np.int64).tolist()
-        roots = components(simhash.links(spark.createDataFrame([(p,) for p in signed], "p long"))).collect()
+        roots = components(simhash.links(spark.createDataFrame([(p, p) for p in signed], "node long, w0 long"), 4)).collect()
         to = {r.node: r.root for r in roots}
         groups = {}
         for p, r in zip(signed, want):
@@ -104,6 +116,50 @@ def test_groups_on_odd_rows(spark):
     assert simhash.groups(docs.limit(0)).count() == 0
 
 
+def near_texts():
+    """Groups of edited copies, single texts, and for each text what group it is in."""
+    pick = random.Random(11)
+    rows, group = [], {}
+    for g in range(40):
+        words = ["".join(pick.choice("abcdefghij") for _ in range(5)) for _ in range(pick.randint(120, 600))]
+        for copy in range(pick.choice([1, 1, 2, 4])):
+            edited = list(words)
+            for i in pick.sample(range(len(words)), len(words) // 100 if copy else 0):
+                edited[i] = "edited"
+            rows.append((len(rows), " ".join(edited)))
+            group[len(rows) - 1] = g
+    return rows, group
+
+
+def test_representatives(spark):
+    rows, group = near_texts()
+    first = {g: min(i for i in group if group[i] == g) for g in group.values()}
+    extra = [(None, rows[0][1]), (500, None), (501, ""), (None, "only without an id"), (None, "only without an id"), (7, rows[7][1]), (7, "seven again")]
+    docs = spark.createDataFrame(rows + extra, "doc_id long, text string").selectExpr("*", "1 as w0", "'x' as id", "2 as component")
+    got = sorted(((r.doc_id, r.text) for r in simhash.representatives(docs).collect()), key=str)
+    want = [r for r in rows if r[0] == first[group[r[0]]]] + [(500, None), (None, "only without an id"), (7, "seven again")]
+    assert got == sorted(want, key=str)
+    assert simhash.representatives(docs).columns == docs.columns
+    assert simhash.representatives(docs.limit(0)).count() == 0
+
+
+def test_wide_recall_at_the_similarity():
+    pick = random.Random(12)
+    radius, found, tried = simhash.wide_radius(0.8, 4), 0, 0
+    for _ in range(150):
+        words = ["".join(pick.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
+        edited = list(words)
+        for i in pick.sample(range(0, 300, 10), 5):
+            edited[i] = "edited"
+        grams = [{tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in (words, edited)]
+        if len(grams[0] & grams[1]) / len(grams[0] | grams[1]) >= 0.8:
+            a, b = (simhash.fingerprint(" ".join(t), 5, 4) for t in (words, edited))
+            close = sum(bin(x ^ y).count("1") for x, y in zip(a, b)) <= radius
+            band = any(a[w] & m == b[w] & m for w, m in simhash._bands(4))
+            found, tried = found + (close and band), tried + 1
+    assert tried > 100 and found / tried > 0.9
+
+
 def test_query(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").collect()
     prints = [slow_fingerprint(d.text) for d in docs]

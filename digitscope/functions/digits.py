@@ -4,38 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Half a unit of the fifteenth significant digit, on the scale 10 <= m < 100.
-_HALF_DIGIT = 5e-14
-# First two digits by scaled value: 100 is a 99.99... rounded up, 9 a logarithm that was rounded up.
-_TWO = [0] * 9 + [99] + list(range(10, 100)) + [10]
+# Half a unit of the fifteenth significant digit, on the scale 10 <= m < 100, and the room that the
+# errors of logarithm and power need beside a rounding border.
+_HALF_DIGIT, _UNSURE = 5e-14, 3e-14
 
 
 def _lookup(x: Column, table: list[int], part: int) -> Column:
     """Entry of ``table`` for the first two digits of x after rounding to 15 digits; 0 for x <= 0, NaN, infinity.
 
     The number is scaled by a power of ten into 10..99. Adding half of the fifteenth digit before
-    flooring undoes the scaling error and is the rounding that a 15-digit rendering does. Formatting
-    to text gives the same digits at several times the cost; it serves the far ends of the double
-    range, where powers of ten over- or underflow. Every step is used once, so nothing is evaluated
-    twice however often the optimizer copies the expression.
+    flooring undoes the scaling error and is the rounding that a 15-digit rendering does. The rendering
+    itself costs several times as much; it serves only where the scaled value is so near a rounding
+    border that its error may decide, where the logarithm was rounded over a power of ten, and at the far ends
+    of the double range, where powers of ten over- or underflow.
     """
     x = x.cast("double")
     scaled = x * F.pow(F.lit(10.0), 1 - F.floor(F.log10(x)))
-    at = F.floor(scaled + _HALF_DIGIT).cast("int")
+    raised = scaled + _HALF_DIGIT
+    beyond = raised - F.floor(raised)
+    sure = (scaled >= 10) & (scaled < 100) & (beyond > _UNSURE) & (beyond < 1 - _UNSURE)
     text = F.substring(F.format_string("%.14e", x), part, 1)
-    return (F.when((x >= 1e-290) & (x <= 1e290), F.get(F.lit(table), at))
+    return (F.when((x >= 1e-290) & (x <= 1e290) & sure, F.get(F.lit(table), F.floor(raised).cast("int")))
             .when((x > 0) & (x < float("inf")), text.try_cast("int"))
             .otherwise(F.lit(0)))
 
 
 def first_digit(x: Column) -> Column:
     """First significant digit 1..9; 0 when there is none."""
-    return _lookup(x, [two // 10 for two in _TWO], 1)
+    return _lookup(x, [two // 10 for two in range(100)] + [1], 1)
 
 
 def second_digit(x: Column) -> Column:
     """Second significant digit 0..9; 0 when there is none."""
-    return _lookup(x, [two % 10 for two in _TWO], 3)
+    return _lookup(x, [two % 10 for two in range(100)] + [0], 3)
 
 
 def analyze_number(x: Column) -> Column:

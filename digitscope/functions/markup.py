@@ -1,21 +1,18 @@
 """Removing markup and reading infobox types.
 
-Native regular-expression stages, not a parser: nesting is followed to a fixed depth and
-malformed markup is left as it is.
+Native regular-expression stages, not a parser. Templates and links go from the inside outwards, to
+any depth; marks without a partner are left as they are.
 """
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
 from digitscope.functions.labels import SPACE, domain_of_type
 from digitscope.functions.lets import let, literal_map
 
-# Innermost templates and links are removed first, this many times.
-DEPTH = 8
-
 # An infobox template with a name; in the second form a comment or a nowiki span is skipped as a
 # whole, so that templates in it do not count.
 INFOBOX = rf"\{{\{{\s*(?i:infobox){SPACE}*([^|{{}}\s\x1c-\x1f\x85\p{{Z}}][^|{{}}]*)"
@@ -31,9 +28,9 @@ HIDDEN = (rf"<(?:{HIDDEN_TAGS})(?:\s[^<>]*)?>", rf"</(?:{HIDDEN_TAGS})\s*>")
 SCRIPT = (r"<script(?:\s[^<>]*)?>", r"</script\s*>")
 STYLE = (r"<style(?:\s[^<>]*)?>", r"</style\s*>")
 
-# Innermost templates and links, removed from the inside outwards.
-TEMPLATE = (r"\{\{[^{}]*\}\}", "")
-LINK = (r"\[\[(?:[^\[\]|]*\|)?([^\[\]]*)\]\]", "$1")
+# Innermost templates and links; single brackets, in pairs or alone, may stand inside.
+TEMPLATE = (r"\{\{(?!\{)(?:[^{}]|\{[^{}]*+\}|\{(?!\{)|\}(?!\}))*+\}\}", "")
+LINK = (r"\[\[(?!\[)(?:(?:[^\[\]|]|\[[^\[\]|]*+\]|\[(?!\[)|\](?!\]))*+\|)?((?:[^\[\]]|\[[^\[\]]*+\]|\[(?!\[)|\](?!\]))*+)\]\]", "$1")
 
 # Stages in order: text without which the pattern cannot occur, pattern, replacement.
 WIKI_STAGES = (
@@ -51,7 +48,7 @@ WIKI_STAGES = (
 )
 TAG = (r"(?s)<[^<>]*>", " ")
 
-ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+ENTITY = r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"
 
 
 # White space of Unicode texts.
@@ -132,7 +129,7 @@ def domain_of_text(wikitext: Column) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """Replace named and numeric character references; unknown ones stay as they are."""
-    names = literal_map({name: chr(code) for name, code in name2codepoint.items()})
+    names = literal_map({name.removesuffix(";"): text for name, text in html5.items() if name.endswith(";")})
 
     def decode(entity: Column) -> Column:
         body = F.substring(entity, F.lit(2), F.length(entity) - 2)
@@ -156,12 +153,19 @@ def decode_entities(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), let(cut, merge)).otherwise(text)
 
 
-def _until_done(text: Column, opener: str, stage: tuple[str, str]) -> Column:
-    """Apply a replacement up to DEPTH times, as long as ``opener`` is still there."""
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(DEPTH)), text,
-        lambda acc, _: F.when(F.contains(acc, F.lit(opener)), F.regexp_replace(acc, *stage)).otherwise(acc),
-    )
+def _inside_out(text: Column, opener: str, closer: str, stage: tuple[str, str]) -> Column:
+    """Apply a replacement of innermost spans until nothing changes: one round per level of nesting, and one."""
+    def rounds(t: Column) -> Column:
+        openers = (F.length(t) - F.length(F.replace(t, F.lit(opener), F.lit("")))) / len(opener)
+        start = F.struct(t.alias("text"), F.lit(True).alias("more"))
+
+        def once(acc: Column, _: Column) -> Column:
+            new = F.regexp_replace(acc["text"], *stage)
+            return F.when(acc["more"], let(new, lambda n: F.struct(n.alias("text"), (n != acc["text"]).alias("more")))).otherwise(acc)
+
+        return F.aggregate(F.sequence(F.lit(1), openers.cast("int")), start, once, lambda acc: acc["text"])
+
+    return let(text, lambda t: F.when(F.contains(t, F.lit(opener)) & F.contains(t, F.lit(closer)), rounds(t)).otherwise(t))
 
 
 def _stage(text: Column, needle: str, pattern: str, replacement: str) -> Column:
@@ -175,8 +179,8 @@ def _stage(text: Column, needle: str, pattern: str, replacement: str) -> Column:
 def strip_wikitext(wikitext: Column) -> Column:
     """Visible text of an article: templates and comments go, links leave their label, tags their content."""
     text = _remove_spans(wikitext, COMMENT)
-    text = _until_done(text, "{{", TEMPLATE)
-    text = _until_done(text, "[[", LINK)
+    text = _inside_out(text, "{{", "}}", TEMPLATE)
+    text = _inside_out(text, "[[", "]]", LINK)
     text = _remove_spans(text, HIDDEN)
     for needle, pattern, replacement in WIKI_STAGES:
         text = _stage(text, needle, pattern, replacement)

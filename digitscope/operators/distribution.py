@@ -224,7 +224,7 @@ def category_conformity(df: DataFrame, categories: DataFrame, category: str = "n
                         digit: str = "first_digit", exact: bool = False) -> DataFrame:
     """Measured deviation of each category against its declared band; null where none is declared.
 
-    ``categories`` is the fixed category dimension, at most one row per category, so it is broadcast.
+    ``categories`` has at most one row per category.
     """
     measured = distribution(df, [category], digit).select(
         F.col(category).alias("number_category"), "n", mad_stat(expected_frequencies(exact)).alias("mad")
@@ -233,7 +233,7 @@ def category_conformity(df: DataFrame, categories: DataFrame, category: str = "n
     inside = (F.when(F.col("expected_mad").startswith("<"), F.col("mad") < high)
               .when(F.col("expected_mad").startswith(">"), F.col("mad") > low)
               .when(low.isNotNull(), F.col("mad").between(low, high)))
-    return (measured.join(F.broadcast(categories), "number_category", "left")
+    return (measured.join(categories, "number_category", "left")
             .select("number_category", "category_group", "n", "mad", "expected_mad", inside.alias("as_declared")))
 
 

@@ -6,30 +6,21 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from digitscope.operators.bounds import broadcast_if_small, durable
+# Ids that one part of an offset spans.
+PART_IDS = 100_000
 
-# Articles collected into one row; a larger offset group is spread over several parts.
-MAX_GROUP = 100_000
 
+def group_by_offset(entries: DataFrame, part_ids: int = PART_IDS) -> DataFrame:
+    """``(offset, part, articles)``: the entries of an offset as ``array<struct<article_id, title, copies>>``.
 
-def group_by_offset(entries: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
-    """``(offset, part, articles)`` with the articles of an offset as ``array<struct<article_id, title>>``.
-
-    An offset has one row with ``part`` 0 unless it holds more than ``max_group`` entries; then its
-    entries are divided by a hash of their id. Only oversized offsets are looked up, so the join
-    side is at most the number of entries divided by ``max_group``.
+    ``part`` is the range of ``part_ids`` ids that an entry falls into, null for a null id, so an array is bounded
+    by the width of the range whatever the data; copies of an entry are counted. The rows do not depend
+    on the number of entries.
     """
-    sizes = entries.groupBy("offset").agg(F.count(F.lit(1)).alias("_size"))
-    large = durable(sizes.where(F.col("_size") > max_group).select(
-        "offset", F.ceil(F.col("_size") / max_group).cast("int").alias("_parts")))
-    if large.isEmpty():
-        divided = entries.withColumn("part", F.lit(0))
-    else:
-        part = F.pmod(F.xxhash64("article_id", "title"), F.col("_parts"))
-        divided = (entries.join(broadcast_if_small(large), "offset", "left")
-                   .withColumn("part", F.coalesce(part, F.lit(0)).cast("int")))
-    return (divided.groupBy("offset", "part")
-            .agg(F.sort_array(F.collect_list(F.struct("article_id", "title"))).alias("articles"))
+    part = F.expr(f"(article_id - pmod(article_id, {part_ids}L)) div {part_ids}L").alias("part")
+    return (entries.groupBy("offset", part, "article_id", "title").agg(F.count(F.lit(1)).alias("copies"))
+            .groupBy("offset", "part")
+            .agg(F.sort_array(F.collect_list(F.struct("article_id", "title", "copies"))).alias("articles"))
             .orderBy("offset", "part"))
 
 

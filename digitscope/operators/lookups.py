@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from digitscope.operators.bounds import broadcast_if_small, durable
+from digitscope.functions.lets import escape
+from digitscope.rules.units import SIGNS
 
 
 def keep_ids(df: DataFrame, ids: DataFrame | None, key: str = "article_id") -> DataFrame:
     """Rows whose key is listed; no list or an empty one keeps everything.
 
-    Meant to run before extraction. The list is computed once and checkpointed; it is broadcast only
-    after its size has been checked, otherwise Spark joins by shuffling.
+    Meant to run before extraction. One job looks whether the list is empty; by its size Spark then
+    broadcasts it or joins by shuffling.
     """
-    if ids is None:
+    if ids is None or ids.isEmpty():
         return df
-    listed = durable(ids.select(key).distinct())
-    return df if listed.isEmpty() else df.join(broadcast_if_small(listed), key, "left_semi")
+    return df.join(ids.select(key).distinct(), key, "left_semi")
 
 
 def pending(planned: DataFrame, ledger: DataFrame, key: str = "unit_id") -> DataFrame:
@@ -26,31 +26,48 @@ def pending(planned: DataFrame, ledger: DataFrame, key: str = "unit_id") -> Data
 
 
 def with_category_info(df: DataFrame, categories: DataFrame) -> DataFrame:
-    """Add group and declared band of ``number_category``; the dimension is fixed and small."""
-    return df.join(F.broadcast(categories), "number_category", "left")
+    """Add group and declared band of ``number_category``."""
+    return df.join(categories, "number_category", "left")
 
 
-def unit_candidates(after: Column) -> Column:
-    """Up to three leading words after a number, longest first: ``["square mile per", "square mile", "square"]``."""
+def unit_candidates(after: Column, words: int) -> Column:
+    """Up to ``words`` leading words after a number, longest first: ``["square mile per", "square mile", "square"]``."""
     word = r"[^\s\x{a0},;:!?()\[\]]+"
     return F.array(*[
         F.regexp_replace(F.regexp_extract(after, rf"^[\s\x{{a0}}]?({word}(?: {word}){{{extra}}})", 1), r"\.+$", "")
-        for extra in (2, 1, 0)
+        for extra in range(words - 1, -1, -1)
     ])
 
 
-def tag_units(df: DataFrame, after: str, units: DataFrame) -> DataFrame:
-    """Add ``unit`` and ``measures`` of the longest known unit that follows a number.
+def unit_sign(before: Column) -> Column:
+    """The currency sign that stands right before a number, if any."""
+    signs = "|".join(map(escape, SIGNS))
+    return F.nullif(F.regexp_extract(before, rf"({signs})[\s\x{{a0}}]?$", 1), F.lit(""))
 
-    ``units`` has one row per unit with the array of its measures; it is the fixed vocabulary,
-    under a thousand rows, so it is broadcast. Spelling and case must match.
+
+def tag_units(df: DataFrame, after: str, units: DataFrame, before: str | None = None) -> DataFrame:
+    """Add ``unit`` and ``measures`` of the longest known unit that follows a number, else of a sign before it.
+
+    ``units`` has an array of ``measures`` per unit; rows of equal units are merged. As many words are tried as the
+    longest unit has, which one small job finds. ``before`` names the column with the text in front of the
+    number. Spelling and case must match.
     """
-    out = df.withColumn("_words", unit_candidates(F.col(after)))
-    found, measures = [], []
-    for i in range(3):
-        side = F.broadcast(units.select(F.col("unit").alias(f"_unit{i}"), F.col("measures").alias(f"_measures{i}")))
-        out = out.join(side, F.get("_words", F.lit(i)) == F.col(f"_unit{i}"), "left")
-        found.append(F.col(f"_unit{i}"))
-        measures.append(F.col(f"_measures{i}"))
-    return (out.withColumn("unit", F.coalesce(*found)).withColumn("measures", F.coalesce(*measures))
-            .select(*df.columns, "unit", "measures"))
+    known = units.groupBy("unit").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("measures")))).alias("measures"))
+    words = known.agg(F.coalesce(F.max(F.size(F.split("unit", " "))), F.lit(1))).first()[0]
+    tried = F.filter(unit_candidates(F.col(after), words), lambda u: u != "")
+    if before is not None:
+        tried = F.array_compact(F.concat(tried, F.array(unit_sign(F.col(before)))))
+    table = known.agg(F.map_from_entries(F.collect_list(F.struct("unit", "measures"))).alias("_units")).first()["_units"]
+    return _tag(df, tried, table)
+
+
+def _tag(df: DataFrame, tried: Column, table: dict[str, list[str]]) -> DataFrame:
+    """Look the tried units up in a constant table; a vocabulary has under a thousand rows."""
+    side = df.sparkSession.createDataFrame(list(table.items()), "unit string, measures array<string>")
+    out = df.withColumn("_tried", tried)
+    found = []
+    for i in range(max(1, max((len(u.split(" ")) for u in table), default=1)) + 1):
+        own = side.select(F.col("unit").alias(f"_unit{i}"), F.col("measures").alias(f"_measures{i}"))
+        out = out.join(F.broadcast(own), F.get("_tried", F.lit(i)) == F.col(f"_unit{i}"), "left")
+        found.append(F.when(F.col(f"_unit{i}").isNotNull(), F.struct(F.col(f"_unit{i}").alias("unit"), F.col(f"_measures{i}").alias("measures"))))
+    return out.withColumn("_found", F.coalesce(*found)).select(*df.columns, "_found.unit", "_found.measures")

@@ -1,8 +1,9 @@
-"""Exact order statistics without sorting a group in one task.
+"""Exact order statistics without sorting a group in one task, as one lazy plan.
 
 Values are counted in logarithmic bins, an order-preserving rounding that gives a few thousand
-bins per group whatever the data. The bins locate each wanted rank; only rows of that bin are
-looked at again, in finer bins, until few enough distinct values are left.
+bins per group whatever the data. The bins locate each wanted rank; the rows of that bin are
+counted in finer bins, and the distinct values of the finer bin give the answer. Every level is one
+aggregation with partial counts; nothing is collected, stored or switched by size.
 """
 
 from __future__ import annotations
@@ -11,16 +12,12 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from digitscope.operators.bounds import BROADCAST_ROWS, durable
-
-# A bin with at most this many rows is resolved by its distinct values.
-SMALL_BIN = 1_000_000
-# Bins per factor of e: about a thousand per decade, and a thousand times more at each step.
-_BINS = (500, 500_000, 500_000_000, 500_000_000_000)
+# Bins per factor of e: about a thousand per decade, and a thousand times more at the second step.
+_BINS = (500, 500_000)
 # Larger than any bin number, so that bins of positive and negative values stay apart.
 _OFFSET = 10 ** 15
 
-_VALUE, _COUNT, _BIN, _RANK, _NAME, _BELOW = "_value", "_count", "_bin", "_rank", "_name", "_below"
+_VALUE, _COUNT, _BIN, _RANK, _NAME = "_value", "_count", "_bin", "_rank", "_name"
 
 
 def _bin(value: Column, per_e: int) -> Column:
@@ -35,92 +32,53 @@ def _locate(bins: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
     before = F.col("_upto") - F.col(_COUNT)
     return (bins.withColumn("_upto", F.sum(_COUNT).over(ordered))
             .where((F.col(_RANK) >= before) & (F.col(_RANK) < F.col("_upto")))
-            .withColumn(_BELOW, F.col(_BELOW) + before)
             .withColumn(_RANK, F.col(_RANK) - before).drop("_upto"))
 
 
+def is_value(column: Column) -> Column:
+    """Neither null nor NaN."""
+    return column.isNotNull() & ~F.isnan(column)
+
+
 def order_statistics(df: DataFrame, value: str, positions: Mapping[str, Callable[[Column], Column]],
                      by: Sequence[str] = ()) -> DataFrame:
-    """Exact values at given ranks of each group.
+    """Exact values at given ranks of each group: ``name``, ``n`` and ``value``.
 
-    ``positions`` maps a name to a function from the group size to a 0-based rank. The result has
-    one row per group and name: ``n``, the value, and how many rows of the group are below and
-    equal to it. Nulls are ignored.
+    ``positions`` maps a name to a function from the group size to a 0-based rank. Nulls and NaN are
+    ignored; a group without other values has no row.
     """
     by = list(by)
-    rows = df.select(*by, F.col(value).cast("double").alias(_VALUE)).where(~F.isnan(_VALUE))
-
-    # First level: one count per group and bin over all rows.
-    level = 0
-    bins = rows.groupBy(*by, _bin(F.col(_VALUE), _BINS[level]).alias(_BIN)).agg(F.count(F.lit(1)).alias(_COUNT))
+    rows = df.select(*by, F.col(value).cast("double").alias(_VALUE)).where(is_value(F.col(_VALUE)))
+    bins = rows.groupBy(*by, _bin(F.col(_VALUE), _BINS[0]).alias(_BIN)).agg(F.count(F.lit(1)).alias(_COUNT))
     wanted = F.array(*[
         F.struct(F.lit(name).alias(_NAME), rank(F.col("n")).cast("bigint").alias(_RANK))
         for name, rank in positions.items()
     ])
-    sized = bins.withColumn("n", F.sum(_COUNT).over(Window.partitionBy(*by)))
-    sized = sized.select("*", F.inline(wanted)).withColumn(_BELOW, F.lit(0).cast("bigint"))
-    found = durable(_locate(sized, [*by, _NAME], _BIN))
-
-    # Finer bins while some located bin is still large.
-    largest, targets = found.agg(F.max(_COUNT), F.count(F.lit(1))).first()
-    while level + 1 < len(_BINS) and largest is not None and largest > SMALL_BIN:
-        inside = _rows_of(rows, found, by, level, targets)
-        level += 1
-        bins = inside.groupBy(*by, _NAME, "n", _RANK, _BELOW, _bin(F.col(_VALUE), _BINS[level]).alias(_BIN)).agg(
-            F.count(F.lit(1)).alias(_COUNT))
-        found = durable(_locate(bins, [*by, _NAME], _BIN))
-        largest = found.agg(F.max(_COUNT)).first()[0]
-
-    values = _rows_of(rows, found, by, level, targets).groupBy(*by, _NAME, "n", _RANK, _BELOW, _VALUE).agg(
+    sized = bins.withColumn("n", F.sum(_COUNT).over(Window.partitionBy(*by))).select("*", F.inline(wanted))
+    found = _locate(sized, [*by, _NAME], _BIN)
+    finer = _rows_of(rows, found, by, 0).groupBy(*by, _NAME, "n", _RANK, _bin(F.col(_VALUE), _BINS[1]).alias(_BIN)).agg(
         F.count(F.lit(1)).alias(_COUNT))
+    found = _locate(finer, [*by, _NAME], _BIN)
+    values = _rows_of(rows, found, by, 1).groupBy(*by, _NAME, "n", _RANK, _VALUE).agg(F.count(F.lit(1)).alias(_COUNT))
     return (_locate(values, [*by, _NAME], _VALUE)
             .select(*by, F.col(_NAME).alias("name"), "n", F.col(_VALUE).alias("value")))
 
 
-def _rows_of(rows: DataFrame, found: DataFrame, by: Sequence[str], level: int, targets: int) -> DataFrame:
-    """Rows that fall into a located bin, with the rank wanted there; few targets are broadcast."""
-    wanted = found.drop(_COUNT)
-    if targets <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    left, right = rows.withColumn(_BIN, _bin(F.col(_VALUE), _BINS[level])).alias("l"), wanted.alias("r")
+def _rows_of(rows: DataFrame, found: DataFrame, by: Sequence[str], level: int) -> DataFrame:
+    """Rows that fall into a located bin, with the rank wanted there."""
+    left, right = rows.withColumn(_BIN, _bin(F.col(_VALUE), _BINS[level])).alias("l"), found.drop(_COUNT).alias("r")
     same = F.col(f"l.{_BIN}") == F.col(f"r.{_BIN}")
     for key in by:
         same = same & F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
-    kept = [F.col(f"l.{c}") for c in [*by, _VALUE]] + [F.col(f"r.{c}") for c in (_NAME, "n", _RANK, _BELOW)]
+    kept = [F.col(f"l.{c}") for c in [*by, _VALUE]] + [F.col(f"r.{c}") for c in (_NAME, "n", _RANK)]
     return left.join(right, same).select(*kept)
 
 
-def nth_smallest(df: DataFrame, value: str, rank: int) -> tuple[float, int, int] | None:
-    """The value at a 0-based rank of a whole column, and the numbers of rows below and equal to it.
-
-    The same narrowing as for groups; a single located bin is just a constant for the next step.
-    None when there are not that many values.
-    """
-    rows = df.select(F.col(value).cast("double").alias(_VALUE)).where(~F.isnan(_VALUE))
-    below = 0
-
-    def locate(key: Column, at: str):
-        counts = rows.groupBy(key.alias(at)).agg(F.count(F.lit(1)).alias(_COUNT))
-        counts = counts.withColumn(_RANK, F.lit(rank).cast("bigint")).withColumn(_BELOW, F.lit(below).cast("bigint"))
-        return _locate(counts, [], at).first()
-
-    for per_e in _BINS:
-        key = _bin(F.col(_VALUE), per_e)
-        found = locate(key, _BIN)
-        if found is None:
-            return None
-        rank, below = found[_RANK], found[_BELOW]
-        rows = rows.where(key == found[_BIN])
-        if found[_COUNT] <= SMALL_BIN:
-            break
-    found = locate(F.col(_VALUE), _VALUE)
-    return found[_VALUE], found[_BELOW], found[_COUNT]
-
-
 def value_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Per group: mean, median (mid pair averaged), 95th percentile by rank, maximum, count; by group.
 
-    The percentile is the value at 0-based rank ``int(0.95 n)``; a single value is its own.
+    The percentile is the value at 0-based rank ``int(0.95 n)``; a single value is its own. Nulls and
+    NaN are ignored, and groups that hold nothing else are left out.
     """
     by = list(by)
     ranks = order_statistics(df, value, {
@@ -131,7 +89,7 @@ def value_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     pick = {name: F.max(F.when(F.col("name") == name, F.col("value"))) for name in ("low", "high", "p95")}
     order = ranks.groupBy(*by).agg(
         ((pick["low"] + pick["high"]) / 2).alias("median"), pick["p95"].alias("p95"))
-    plain = df.where(~F.isnan(F.col(value).cast("double"))).groupBy(*by).agg(
+    plain = df.where(is_value(F.col(value).cast("double"))).groupBy(*by).agg(
         F.avg(value).alias("mean"), F.max(value).alias("max"), F.count(value).alias("count"))
     same = [plain[k].eqNullSafe(order[k]) for k in by]
     return (plain.join(order, same).select(*[plain[k] for k in by], "mean", "median", "p95", "max", "count")

@@ -1,23 +1,22 @@
 """Exact-size samples of an index: the first entries, or a seeded random choice.
 
-Both keep the ``n`` smallest rows by one number (the offset, or a hash of the seed and the id).
-The threshold is found by counting, so neither sorts the index nor collects the sample, and the
-result does not depend on how the data are partitioned.
+Both keep the ``n`` smallest rows of an order. The last row that is kept is found by counting, sixteen
+bits of a key at a time, so nothing sorts the index or collects the sample; the rows are then taken by a plain
+filter, and the result does not depend on how the data are partitioned.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from digitscope.operators.ranks import nth_smallest
 from digitscope.sources.index import read_index
 
-# Hexadecimal digits of the hash that are used: 52 bits, exact in a double.
+# Hexadecimal digits of the hash that are used.
 _HASH_DIGITS = 13
-# Rows that share a threshold and are few enough to be ordered in one task.
-SMALL_TIE = 1_000_000
+# Bits of a key that are counted in one job, and bytes of a text that make one key.
+_BITS, _BYTES = 16, 7
 # Copies of one row produced per task step when identical rows are multiplied again.
 _COPIES = 10_000
 
@@ -38,44 +37,79 @@ def sampling_hash(key: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, _HASH_DIGITS), 16, 10).cast("bigint")
 
 
+def _keys(df: DataFrame, column: str) -> Iterator[Column]:
+    """Whole numbers that order the rows as the column does, the most significant first; nulls come last."""
+    kind, value = df.schema[column].dataType, F.col(column)
+    yield F.when(value.isNull(), 1).otherwise(0).cast("bigint")
+    if isinstance(kind, T.IntegralType):
+        yield F.coalesce(value.cast("bigint"), F.lit(0).cast("bigint"))
+    elif isinstance(kind, T.StringType):
+        raw = F.coalesce(value, F.lit("")).cast("binary")
+        longest = df.agg(F.coalesce(F.max(F.octet_length(value)), F.lit(0))).first()[0]
+        for at in range(0, max(1, longest), _BYTES):
+            part = F.rpad(F.hex(F.substring(raw, at + 1, _BYTES)), 2 * _BYTES, "0")
+            yield F.conv(part, 16, 10).cast("bigint")
+        yield F.octet_length(F.coalesce(value, F.lit(""))).cast("bigint")  # bytes of zero at the end
+    elif isinstance(kind, T.TimestampType):
+        yield F.coalesce(F.unix_micros(value), F.lit(0))
+    elif isinstance(kind, T.DateType):
+        yield F.coalesce(F.unix_date(value), F.lit(0)).cast("bigint")
+    else:
+        raise TypeError(f"rows cannot be ordered by {column} of type {kind.simpleString()}")
+
+
+def _nth(rows: DataFrame, key: Column, rank: int) -> tuple[int, int, int]:
+    """The key at a 0-based rank, and the numbers of rows below and equal to it.
+
+    Each job counts at most 2^16 values of the next sixteen bits.
+    """
+    prefix, below = 0, 0
+    for shift in range(64 - _BITS, -1, -_BITS):
+        part = F.shiftright(key, shift)
+        ordered = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        found = (rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+                 .withColumn("upto", F.sum("n").over(ordered)).where(F.col("upto") > rank - below).orderBy("part").first())
+        prefix, equal = found["part"], found["n"]
+        below += found["upto"] - equal
+        rows = rows.where(part == prefix)
+    return prefix, below, equal
+
+
 def keep_smallest(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
-    """Exactly ``n`` rows, the first by the numeric ``order`` columns.
+    """Exactly ``n`` rows, the first by the ``order`` columns (numbers, texts, dates or timestamps).
 
-    The threshold of the first column is found by counting. Rows below it are kept by a plain
-    filter, rows equal to it are resolved by the next columns in the same way.
+    Nulls come last. Rows that tie in all of them are taken by a hash of the whole row, and copies of one
+    row as often as needed. The same rules hold for any number of rows.
     """
     if n <= 0:
         return df.limit(0)
-    found = nth_smallest(df, order[0], n - 1)
-    if found is None:
+    if df.select(F.lit(1)).limit(n).count() < n:
         raise ValueError(f"count {n} exceeds the number of entries")
-    threshold, below, equal = found
-    number = F.col(order[0])
-    if isinstance(df.schema[order[0]].dataType, T.IntegralType):
-        threshold = int(threshold)                       # compared as stored, so the filter reaches the scan
-    if below + equal == n:
-        return df.where(number <= threshold)
-    tied = df.where(number == threshold)
-    if len(order) > 1 and equal > SMALL_TIE:
-        rest = keep_smallest(tied, n - below, order[1:])
-    else:
-        rest = _first_rows(tied, n - below, order[1:])
-    return df.where(number < threshold).unionByName(rest)
-
-
-def _first_rows(tied: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
-    """``n`` of the tied rows; copies of a row are counted as one and multiplied again afterwards."""
-    columns = tied.columns
-    first = Window.orderBy(*order, *[c for c in columns if c not in order])
-    take = F.least(F.col("_copies"), F.lit(n) - F.col("_before"))
-    steps = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_take") - 1) / _COPIES))
-    copies = F.sequence(F.lit(1).cast("bigint"), F.least(
-        F.lit(_COPIES).cast("bigint"), F.col("_take") - F.col("_step") * _COPIES))
-    return (tied.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
-            .withColumn("_before", F.sum("_copies").over(first) - F.col("_copies"))
-            .withColumn("_take", take).where("_take > 0")
-            .withColumn("_step", F.explode(steps)).repartition("_step")
-            .withColumn("_copy", F.explode(copies)).select(*columns))
+    columns = df.columns
+
+    def every() -> Iterator[Column]:
+        for column in order:
+            yield from _keys(tied, column)
+        yield F.xxhash64(*columns)
+
+    tied, left, below = df, n, F.lit(False)
+    for key in every():
+        last, fewer, equal = _nth(tied, key, left - 1)
+        here = F.lit(True) if tied is df else same
+        below = below | (here & (key < last))
+        same = here & (key == last)
+        tied, left = tied.where(key == last), left - fewer
+        if equal == left:
+            return df.where(below | same)
+    return df.where(below).unionByName(_copies(df.where(same), left))
+
+
+def _copies(rows: DataFrame, n: int) -> DataFrame:
+    """``n`` copies of the one row that ``rows`` repeats."""
+    steps = F.sequence(F.lit(0).cast("bigint"), F.lit((n - 1) // _COPIES).cast("bigint"))
+    copies = F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(_COPIES).cast("bigint"), F.lit(n) - F.col("_step") * _COPIES))
+    return (rows.limit(1).withColumn("_step", F.explode(steps)).repartition("_step")
+            .withColumn("_copy", F.explode(copies)).select(*rows.columns))
 
 
 def sample(entries: DataFrame, rate: float | None = None, count: int | None = None, seed: int = 42,

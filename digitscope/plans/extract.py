@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from digitscope.functions.digits import with_digits
 from digitscope.functions.labels import number_category
@@ -29,7 +29,9 @@ def extract(df: DataFrame, text_col: str, id_col: str, domain_col: str | None =
     that are then labelled. Unused columns, such as the category, are pruned together with their work. ``domain_col`` names a column with the domain; with ``markup="wikitext"`` and no such
     column the domain comes from the infobox. ``carry`` lists further columns to keep beside the numbers,
     ``category`` labels a token in its context (``declared_category`` is the larger rule set).
+    Whole-number ids become bigint, ids of other types stay as they are.
     """
+    whole = isinstance(df.schema[id_col].dataType, T.IntegralType)
     rows = df.where(has_number(F.col(text_col)))
     if domain_col is not None:
         domain = F.col(domain_col)
@@ -38,7 +40,7 @@ def extract(df: DataFrame, text_col: str, id_col: str, domain_col: str | None =
     else:
         domain = F.lit(DEFAULT_DOMAIN)
     text = strip_markup(F.col(text_col), markup) if markup else F.col(text_col)
-    rows = rows.select(F.col(id_col).cast("bigint").alias("article_id"), domain.alias("domain"),
+    rows = rows.select((F.col(id_col).cast("bigint") if whole else F.col(id_col)).alias("article_id"), domain.alias("domain"),
                        *carry, text.alias("_text"))
     if categorize:
         found = rows.select("article_id", "domain", *carry, F.inline(extract_contexts(F.col("_text"), window)))

@@ -32,3 +32,22 @@ WIKITEXT = (
     "]] with ", "SIZE", " characters,<ref name=\"r7\">seen 3 times</ref> see [http://example.org/5 page 12].\n",
     "== Text ==\n", "TEXT", "\n* item 8\n[[Category:", "SOURCE", "]]\n",
 )
+
+# Leading digits of numbers that are filled up with nines.
+DIGIT_HEADS = ("9.", "1.", "2.", "9.9", "1.09", "4.4", "99.", "0.9")
+
+# Text before and after a number, and what its unit is.
+UNIT_PHRASES = (
+    ("it has ", " grams per cubic centimeter of it", "grams per cubic centimeter", "density"),
+    ("it has ", " kilograms per cubic meter, or", "kilograms per cubic meter", "density"),
+    ("it has ", " pounds per cubic foot.", "pounds per cubic foot", "density"),
+    ("pumped to ", " pounds per square inch now", "pounds per square inch", "pressure"),
+    ("it gave ", " tonnes of oil equivalent.", "tonnes of oil equivalent", "energy"),
+    ("it gave ", " tonne of oil equivalent a day", "tonne of oil equivalent", "energy"),
+    ("it has ", " grams per cup", "grams", "mass"),
+    ("sold for US$", " each", "US$", "currency"),
+    ("sold for € ", " each", "€", "currency"),
+    ("sold for $", " pounds of it", "pounds", "currency,mass"),
+    ("about ", " of them", None, None),
+    ("a road of ", " square  miles", None, None),
+)

@@ -4,17 +4,30 @@ from __future__ import annotations
 
 import re
 
-from digitscope.functions.markup import (
-    COMMENT, DEPTH, HIDDEN, INFOBOX_OUTSIDE, LINK, SCRIPT, STYLE, TAG, TEMPLATE, WIKI_STAGES, span_regex,
-)
-from digitscope.functions.text import NOT_A_NUMBER, TOKEN
 from digitscope.rules.categories import BAND_BOUNDS, CATEGORIES
 from digitscope.rules.declared_rules import DECLARED_RULES
 from digitscope.rules.domains import DEFAULT_DOMAIN, DOMAIN_KEYWORDS
 from digitscope.rules.expected import EXPECTED, equal_size_ks_pvalues
 from digitscope.rules.number_rules import OBSERVED_RULES, TRIGGERS
 from digitscope.rules.units import unit_rows
-from suite.inputs import KINDS, SENTENCES, WIKITEXT
+from suite.inputs import DIGIT_HEADS, KINDS, SENTENCES, UNIT_PHRASES, WIKITEXT
+
+
+# Numbers: runs that start with 0 or are longer than 16 digits are read as a whole and dropped.
+TOKEN = "0[0-9]*|[1-9][0-9]{16,}|[1-9][0-9]{0,15}(?:[.][0-9]+)?"
+NOT_A_NUMBER = "^(0|[1-9][0-9]{16,})"
+
+# What the given wiki texts hold, in the order it is removed: comments, three levels of templates, links,
+# table lines, outer links, tags, quotes, headings, list marks.
+WIKI_REMOVED = (
+    ("(?s)<!--.*?-->", ""), *[("[{][{][^{}]*[}][}]", "")] * 3, *[("\\[\\[(?:[^\\[\\]|]*[|])?([^\\[\\]]*)\\]\\]", "$1")] * 3,
+    ("(?m)^[ \t]*[{][|][^\n]*$", ""), ("(?m)^[ \t]*[|][-+}][^\n|]*", ""), ("[|][|]", "\n|"),
+    ("(?m)^[ \t]*[|](?:[^\n|\\[\\]]*[|])?", " "), ("(?m)^[ \t]*!(?:[^\n|\\[\\]]*[|])?|!!", " "),
+    ("\\[(?:https?:|ftp:|mailto:)?//[^\\s\\[\\]]*\\s*([^\\[\\]]*)\\]", "$1"), ("</?[A-Za-z][^<>]*>", ""), ("''+", ""),
+    ("(?m)^={1,6}([^\n]*?)={1,6}[ \t]*$", "$1"), ("(?m)^[*#:;]+", ""), ("\n\n\n+", "\n\n"),
+)
+HTML_REMOVED = (("(?is)<script[^<>]*>.*?</script *>", " "), ("(?is)<style[^<>]*>.*?</style *>", " "), ("(?s)<!--.*?-->", " "), ("(?s)<[^<>]*>", " "))
+INFOBOX = "(?s)<!--.*?-->|[{][{]\\s*[Ii][Nn][Ff][Oo][Bb][Oo][Xx]\\s*([^|{}\\s][^|{}]*)"
 
 
 def _q(text: str) -> str:
@@ -22,7 +35,7 @@ def _q(text: str) -> str:
 
 
 def _list(values) -> str:
-    return "[" + ", ".join(_q(v) if isinstance(v, str) else repr(v) for v in values) + "]"
+    return "[" + ", ".join(_q(v) if isinstance(v, str) else "NULL" if v is None else repr(v) for v in values) + "]"
 
 
 # -- pieces ------------------------------------------------------------------------------------
@@ -117,19 +130,18 @@ def _stages(text: str, stages) -> str:
 
 
 def _plain_wikitext(text: str) -> str:
-    stages = [(span_regex(COMMENT), "")] + [TEMPLATE] * DEPTH + [LINK] * DEPTH + [(span_regex(HIDDEN), "")]
-    return f"trim({_stages(text, [*stages, *[stage[1:] for stage in WIKI_STAGES]])}, chr(10))"
+    return f"trim({_stages(text, WIKI_REMOVED)}, chr(10))"
 
 
 def _plain_html(text: str) -> str:
-    out = _stages(text, [(span_regex(span), " ") for span in (SCRIPT, STYLE, COMMENT)] + [TAG])
+    out = _stages(text, HTML_REMOVED)
     for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
         out = f"replace({out}, '&{name};', {_q(char)})"
     return out
 
 
 def _infobox(text: str) -> str:
-    names = f"list_transform(regexp_extract_all({text}, {_q(INFOBOX_OUTSIDE)}, 1), lambda n: lower(trim(n, chr(10) || chr(9) || ' ')))"
+    names = f"list_transform(regexp_extract_all({text}, {_q(INFOBOX)}, 1), lambda n: lower(trim(n, chr(10) || chr(9) || ' ')))"
     return f"list_filter({names}, lambda n: n <> '')[1]"
 
 
@@ -200,6 +212,14 @@ def _conformity() -> str:
     return f"dim(number_category, category_group, expected_mad, lo, hi) AS (VALUES {bounds})"
 
 
+def _value_stats(relation: str) -> str:
+    return f"""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS pos,
+                   count(*) OVER (PARTITION BY event_type) AS n FROM {relation} WHERE value IS NOT NULL)
+            SELECT event_type, round(avg(value), 6) AS mean, round(median(value), 6) AS median,
+                   round(max(CASE WHEN pos = CAST(floor(n * 0.95::DOUBLE) AS BIGINT) THEN value END), 6) AS p95,
+                   round(max(value), 6) AS max, count(*) AS "count" FROM r GROUP BY 1"""
+
+
 def _units() -> str:
     rows = ", ".join(f"({_q(u)}, {_q(m)})" for u, m in unit_rows(units_only=True))
     return f"vocab(unit, measure) AS (VALUES {rows})"
@@ -222,7 +242,13 @@ def oracle_sql() -> dict[str, str]:
         "xml_articles": "SELECT page_id AS article_id, url AS title, md5(html) AS text_md5 FROM pages "
                         "WHERE page_id % 3 = 0 AND page_id % 5 <> 4",
         "numbers_from_documents": f"WITH {DOC_NUMBERS} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start_pos) - 1 AS INTEGER) AS position, number FROM nums",
-        "numbers_from_conversations": f"WITH {_numbers('conversations', 'text', 'conv_id', 'turn')} SELECT conv_id, turn, number FROM nums",
+        "numbers_from_conversations": "WITH told AS (SELECT conv_id, turn, (turn * 7 + 1) || ' of ' || length(text) || '.5: ' || text AS text FROM conversations), "
+                                      f"{_numbers('told', 'text', 'conv_id', 'turn')} SELECT conv_id, turn, number FROM nums",
+        "strip_wikitext_deep": """SELECT doc_id, 'Seen ' || CASE WHEN doc_id % 40 = 0 THEN ' 41 ' ELSE '' END || ' 7' || repeat('u ', (doc_id % 23)::INTEGER) || lang
+            || ' [5]  }} ' || doc_id || ' {{open {n} }' AS text FROM documents""",
+        "digits_near_powers": f"""WITH v AS (SELECT l_orderkey, l_linenumber, CAST(({_list(DIGIT_HEADS)})[l_orderkey % {len(DIGIT_HEADS)} + 1]
+                || repeat('9', (9 + l_linenumber % 4)::INTEGER) || (l_orderkey % 3 * 3 + 1) || 'e' || (l_orderkey % 41 - 15) AS DOUBLE) AS x FROM lineitem)
+            SELECT l_orderkey, l_linenumber, {_first('x')} AS first_digit, {_second('x')} AS second_digit FROM v""",
         "number_contexts": f"WITH {DOC_NUMBERS} SELECT doc_id, token, number, context, start_pos, end_pos FROM nums",
         "number_categories": f"WITH {DOC_NUMBERS} SELECT doc_id, number, {_category('number', 'context')} AS number_category, start_pos FROM nums",
         "measured_categories": f"WITH {MEASURED} SELECT l_orderkey, l_linenumber, context, {_category('number', 'context')} AS number_category FROM measured",
@@ -292,11 +318,8 @@ def oracle_sql() -> dict[str, str]:
                            "count(DISTINCT lang) AS domains, round(count(*) / count(DISTINCT doc_id), 6) AS avg_numbers FROM nums",
         "preview_distribution": f"""WITH {_preview()}, digits AS (SELECT {_first('number')} AS first_digit FROM nums), {_dense('')}
             SELECT digit AS first_digit, "count", round(observed, 6) AS frequency, expected FROM dense WHERE "count" > 0""",
-        "group_value_stats": """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS pos,
-                   count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
-            SELECT event_type, round(avg(value), 6) AS mean, round(median(value), 6) AS median,
-                   round(max(CASE WHEN pos = CAST(floor(n * 0.95::DOUBLE) AS BIGINT) THEN value END), 6) AS p95,
-                   round(max(value), 6) AS max, count(*) AS "count" FROM r GROUP BY 1""",
+        "group_value_stats": _value_stats("events"),
+        "group_value_stats_sparse": _value_stats("(SELECT event_type, CASE WHEN user_id % 4 = 0 THEN value - 60 END AS value FROM events)"),
         "category_conformity": f"""WITH {MEASURED}, digits AS (SELECT {_category('number', 'context')} AS number_category, {_first('number')} AS first_digit FROM measured),
             {_dense('number_category')}, m AS (SELECT number_category, n, avg(abs(observed - expected)) AS mad FROM dense GROUP BY ALL), {_conformity()}
             SELECT number_category, category_group, n, round(mad, 6) AS mad, expected_mad,
@@ -309,8 +332,12 @@ def oracle_sql() -> dict[str, str]:
         "sample_hashed": f"WITH {INDEX} SELECT * FROM entries ORDER BY {_hash(42)} LIMIT 120",
         "sample_by_rate": f"WITH {INDEX}, r AS (SELECT *, row_number() OVER (ORDER BY {_hash(7)}) AS rn, count(*) OVER () AS n FROM entries) "
                           'SELECT "offset", article_id, title FROM r WHERE rn <= floor(n * 0.25)',
-        "grouped_ids": f"""WITH {INDEX} SELECT "offset", CAST(count(*) AS INTEGER) AS entries,
-            string_agg(article_id || '=' || title, ';' ORDER BY article_id, title) AS articles FROM entries GROUP BY 1""",
+        "first_n_large_ids": "SELECT 1152921504606846976 + doc_id * 3 AS doc_id, lang FROM documents ORDER BY 1 LIMIT 137",
+        "first_n_text_ids": "SELECT CASE WHEN doc_id % 5 > 0 THEN lang END AS lang, 'document ' || doc_id AS name FROM documents ORDER BY 1 NULLS LAST, 2 LIMIT 150",
+        "grouped_ids": f"""WITH {INDEX}, c AS (SELECT "offset", article_id // 30 AS part, article_id, title,
+                count(*) + count(*) FILTER (article_id % 7 = 0) AS copies FROM entries GROUP BY ALL)
+            SELECT "offset", part, CAST(count(*) AS INTEGER) AS entries,
+                   string_agg(article_id || '=' || title || '*' || copies, ';' ORDER BY article_id, title) AS articles FROM c GROUP BY 1, 2""",
         "semi_join_sample": f"""WITH {INDEX}, r AS (SELECT *, row_number() OVER (ORDER BY {_hash(42)}) AS rn, count(*) OVER () AS n FROM entries),
             chosen AS (SELECT * FROM documents WHERE doc_id IN (SELECT article_id FROM r WHERE rn <= floor(n * 0.5))),
             {_numbers('chosen', 'text', 'doc_id', 'lang')}
@@ -330,6 +357,8 @@ def oracle_sql() -> dict[str, str]:
             w AS (SELECT l_orderkey, l_linenumber, {_candidate(2)} AS w3, {_candidate(1)} AS w2, {_candidate(0)} AS w1 FROM measured)
             SELECT l_orderkey, l_linenumber, coalesce(a.unit, b.unit, c.unit) AS unit, coalesce(a.measures, b.measures, c.measures) AS measures
             FROM w LEFT JOIN known a ON w3 = a.unit LEFT JOIN known b ON w2 = b.unit LEFT JOIN known c ON w1 = c.unit""",
+        "unit_tag_phrases": f"""SELECT l_orderkey, l_linenumber, ({_list([p[2] for p in UNIT_PHRASES])})[l_orderkey % {len(UNIT_PHRASES)} + 1] AS unit,
+            ({_list([p[3] for p in UNIT_PHRASES])})[l_orderkey % {len(UNIT_PHRASES)} + 1] AS measures FROM lineitem""",
         "unit_union": f"""WITH {_units()}, words AS (SELECT unnest(regexp_split_to_array(text, '[ \\n]')) AS unit FROM documents)
             SELECT unit, count(*) AS occurrences FROM words WHERE unit IN (SELECT unit FROM vocab) GROUP BY 1""",
     }

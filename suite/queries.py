@@ -10,13 +10,13 @@ from digitscope.operators import distribution as d
 from digitscope.operators.grouping import group_by_offset, union_parts
 from digitscope.operators.lookups import keep_ids, pending, tag_units, with_category_info
 from digitscope.operators.ranks import value_stats
-from digitscope.operators.sampling import sample
+from digitscope.operators.sampling import keep_smallest, sample
 from digitscope.plans.preview import preview_articles, preview_digits, preview_totals
 from digitscope.sources.index import parse_index
 from digitscope.sources.pages import articles, parse_pages
 from digitscope.sources.tables import all_units, category_dimension, read_table, units_with_measures
 from digitscope.streaming.ingest import failed, ledger_totals
-from suite.inputs import KINDS, SENTENCES, WIKITEXT
+from suite.inputs import DIGIT_HEADS, KINDS, SENTENCES, UNIT_PHRASES, WIKITEXT
 
 
 def _round(df: DataFrame, *columns: str) -> DataFrame:
@@ -117,7 +117,8 @@ def numbers_from_documents(spark, sf):
 
 
 def numbers_from_conversations(spark, sf):
-    rows = read_table(spark, f"{sf}/conversations.parquet", heavy=True).where(ds.has_number(F.col("text")))
+    told = F.concat(F.col("turn") * 7 + 1, F.lit(" of "), F.length("text"), F.lit(".5: "), "text")
+    rows = read_table(spark, f"{sf}/conversations.parquet", heavy=True).withColumn("text", told).where(ds.has_number(F.col("text")))
     return rows.select("conv_id", "turn", F.explode(ds.extract_numbers(F.col("text"))).alias("number"))
 
 
@@ -207,6 +208,14 @@ def digits_lineitem(spark, sf):
     return out.select("l_orderkey", "l_linenumber", "first_digit", "second_digit", "discount_first", "discount_second")
 
 
+def digits_near_powers(spark, sf):
+    """Values of fourteen to sixteen digits just below and at rounding borders, from text so that both sides read the same doubles."""
+    rows = _lineitem(spark, sf, "l_orderkey", "l_linenumber")
+    head = F.element_at(F.array(*[F.lit(h) for h in DIGIT_HEADS]), (F.col("l_orderkey") % len(DIGIT_HEADS) + 1).cast("int"))
+    text = F.concat(head, F.expr("repeat('9', cast(9 + l_linenumber % 4 as int))"), F.col("l_orderkey") % 3 * 3 + 1, F.lit("e"), F.col("l_orderkey") % 41 - 15)
+    return ds.with_digits(rows.withColumn("x", text.cast("double")), "x").select("l_orderkey", "l_linenumber", "first_digit", "second_digit")
+
+
 def digits_acctbal(spark, sf):
     rows = read_table(spark, f"{sf}/customer.parquet", "c_custkey", "c_acctbal")
     return rows.select("c_custkey", ds.first_digit(F.col("c_acctbal")).alias("first_digit"),
@@ -323,6 +332,13 @@ def group_value_stats(spark, sf):
     return _round(value_stats(events, "value", ["event_type"]), "mean", "median", "p95", "max")
 
 
+def group_value_stats_sparse(spark, sf):
+    """Three of four values are null, and the others are mostly negative."""
+    events = read_table(spark, f"{sf}/events.parquet", "event_type", "user_id", "value")
+    few = events.select("event_type", F.when(F.col("user_id") % 4 == 0, F.col("value") - 60).alias("value"))
+    return _round(value_stats(few, "value", ["event_type"]), "mean", "median", "p95", "max")
+
+
 def category_conformity(spark, sf):
     rows = _measurements(spark, sf).select(
         ds.number_category(F.col("number_text"), F.col("context")).alias("number_category"),
@@ -351,10 +367,24 @@ def sample_by_rate(spark, sf):
     return sample(_index(spark, sf), rate=0.25, seed=7)
 
 
+def first_n_large_ids(spark, sf):
+    """The first documents by ids that no double can hold."""
+    docs = _documents(spark, sf, "doc_id", "lang").select((F.lit(1 << 60) + F.col("doc_id") * 3).alias("doc_id"), "lang")
+    return keep_smallest(docs, 137, ["doc_id"])
+
+
+def first_n_text_ids(spark, sf):
+    """The first documents by a text id, after their language; some languages are null."""
+    docs = _documents(spark, sf, "doc_id", "lang").select(
+        F.when(F.col("doc_id") % 5 > 0, F.col("lang")).alias("lang"), F.concat(F.lit("document "), F.col("doc_id")).alias("name"))
+    return keep_smallest(docs, 150, ["lang", "name"])
+
+
 def grouped_ids(spark, sf):
-    entry = F.transform("articles", lambda a: F.concat(a["article_id"], F.lit("="), a["title"]))
-    return group_by_offset(_index(spark, sf)).select(
-        "offset", F.size("articles").alias("entries"), F.array_join(entry, ";").alias("articles"))
+    entry = F.transform("articles", lambda a: F.concat(a["article_id"], F.lit("="), a["title"], F.lit("*"), a["copies"]))
+    index = _index(spark, sf)
+    return group_by_offset(index.unionByName(index.where("article_id % 7 = 0")), part_ids=30).select(
+        "offset", "part", F.size("articles").alias("entries"), F.array_join(entry, ";").alias("articles"))
 
 
 def semi_join_sample(spark, sf):
@@ -403,6 +433,23 @@ def unit_tag(spark, sf):
     return tagged.select("l_orderkey", "l_linenumber", "unit", F.array_join("measures", ",").alias("measures"))
 
 
+def unit_tag_phrases(spark, sf):
+    """Units of up to four words behind a number, and signs before it."""
+    rows = _lineitem(spark, sf, "l_orderkey", "l_linenumber")
+    at = F.col("l_orderkey") % len(UNIT_PHRASES)
+    rows = rows.select("*", _pick([p[0] for p in UNIT_PHRASES], at).alias("before"), _pick([p[1] for p in UNIT_PHRASES], at).alias("after"))
+    tagged = tag_units(rows, "after", units_with_measures(spark), before="before")
+    return tagged.select("l_orderkey", "l_linenumber", "unit", F.array_join("measures", ",").alias("measures"))
+
+
+def strip_wikitext_deep(spark, sf):
+    """Templates and links nested as deep as the document's id says, with single braces and brackets inside."""
+    docs = _documents(spark, sf, "doc_id", "lang")
+    text = F.expr("""concat('Seen ', repeat('{{a|{b}', cast(doc_id % 40 as int)), ' 41 ', repeat('}}', cast(doc_id % 40 as int)), ' 7',
+        repeat('[[t|u ', cast(doc_id % 23 as int)), lang, ' [5] ', repeat(']]', cast(doc_id % 23 as int)), ' }} ', cast(doc_id as string), ' {{open {n} }')""")
+    return docs.select("doc_id", ds.strip_markup(text, "wikitext").alias("text"))
+
+
 def unit_union(spark, sf):
     words = _documents(spark, sf, "text").select(F.explode(F.split("text", "[ \n]")).alias("unit"))
     known = words.join(F.broadcast(all_units(spark)), "unit", "left_semi")
@@ -413,11 +460,11 @@ QUERIES = {f.__name__: f for f in (
     has_numbers, index_parse, xml_articles, numbers_from_documents, numbers_from_conversations, number_contexts,
     number_categories, measured_categories, declared_categories,
     document_declared_categories, year_heuristic, numbers_table, strip_html, html_numbers,
-    strip_wikitext, infobox_type, domain_of_text, domain_label, rule_label, domain_summary, digits_lineitem,
-    digits_acctbal, digit_counts, second_digit_counts, document_digit_counts, digit_counts_map, frequencies,
+    strip_wikitext, strip_wikitext_deep, infobox_type, domain_of_text, domain_label, rule_label, domain_summary, digits_lineitem,
+    digits_near_powers, digits_acctbal, digit_counts, second_digit_counts, document_digit_counts, digit_counts_map, frequencies,
     frequencies_one_group, chi_square, mad, mad_band, ks, cumulative_frequencies, summary, summary_orders,
     summary_parts, summary_overall, comparison, deviation_matrix, deviation_matrix_clamped, distinct_groups,
-    corpus_totals, preview_summary, preview_distribution, group_value_stats, category_conformity,
-    category_info, sample_first_n, sample_hashed, sample_by_rate, grouped_ids, semi_join_sample,
-    pending_anti_join, ledger_summary, failed_units, union_of_parts, unit_tag, unit_union,
+    corpus_totals, preview_summary, preview_distribution, group_value_stats, group_value_stats_sparse, category_conformity,
+    category_info, sample_first_n, sample_hashed, sample_by_rate, first_n_large_ids, first_n_text_ids, grouped_ids, semi_join_sample,
+    pending_anti_join, ledger_summary, failed_units, union_of_parts, unit_tag, unit_tag_phrases, unit_union,
 )}

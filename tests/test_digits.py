@@ -40,3 +40,18 @@ def test_null_and_struct(spark):
     row = spark.sql("select cast(null as double) as x").select(
         ds.first_digit(F.col("x")).alias("f"), ds.analyze_number(F.lit(71.5)).alias("s")).first()
     assert row.f == 0 and (row.s.first_digit, row.s.second_digit) == (7, 1)
+
+
+def test_digits_beside_powers_of_ten(spark):
+    import math
+
+    values = [999999999999999.0, 999999.999999999, 99999999999999.9, 999999999999.999]
+    for k in range(-30, 41):
+        power = float(f"1e{k}")
+        values += [float(f"9.99999999999999e{k}"), float(f"9.99999999999996e{k}"), power, math.nextafter(power, 0), math.nextafter(power, math.inf)]
+    # Sixteen digits that end in five are left out: Java and C round them differently.
+    values = [v for v in values if not repr(v).split("e")[0].replace(".", "").rstrip("0").endswith("5")]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for r in df.select("x", ds.first_digit(df.x).alias("a"), ds.second_digit(df.x).alias("b")).collect():
+        text = f"{r.x:.14e}"
+        assert (r.a, r.b) == (int(text[0]), int(text[2])), r.x

@@ -64,3 +64,20 @@ def test_broken_pages_take_linear_time(spark):
 
 def test_spaces_of_all_kinds_around_the_type(spark):
     assert value(spark, ds.infobox_type(F.lit("{{Infobox\u00a0\u2003ship\u3000\n|x}}"))) == "ship"
+
+
+def test_deep_templates_and_links(spark):
+    cases = {
+        "a {{t|" * 30 + "x" + "}}" * 30 + " b": "a  b",
+        "{{math|e^{12}}} 5": " 5",
+        "x {{open {{closed}} y": "x {{open  y",
+        "x }} y {{t}}": "x }} y",
+        "{{{{t}}}}z": "z",
+        "[[a|b [1] c]] [[File:x|thumb|see [[d|e]]]]": "b [1] c thumb|see e",
+        "[[t|" * 12 + "deep" + "]]" * 12: "deep",
+        "[[never closed": "[[never closed",
+        "R&apos;D &#0000065; &NotEqualTilde; &nothing;": "R'D A \u2242\u0338 &nothing;",
+    }
+    df = spark.createDataFrame(list(cases.items()), "text string, want string")
+    for r in df.select("text", "want", ds.strip_markup(df.text, "wikitext").alias("got")).collect():
+        assert r.got.strip() == r.want.strip(), r.text

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import digitscope as ds
-from digitscope.operators import ranks, sampling
+from digitscope.operators import sampling
 from digitscope.operators.grouping import group_by_offset
 
 
@@ -20,9 +20,7 @@ def grouped_values():
     return groups
 
 
-@pytest.mark.parametrize("small_bin", [ranks.SMALL_BIN, 20])
-def test_value_stats_are_exact(spark, monkeypatch, small_bin):
-    monkeypatch.setattr(ranks, "SMALL_BIN", small_bin)          # 20 forces the refinement by further digits
+def test_value_stats_are_exact(spark):
     groups = grouped_values()
     rows = [(g, v) for g, values in groups.items() for v in values] + [("hot", None), (None, 4.0)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(6)
@@ -36,10 +34,33 @@ def test_value_stats_are_exact(spark, monkeypatch, small_bin):
         assert row.mean == pytest.approx(statistics.mean(values))
 
 
-def test_nth_smallest(spark):
-    df = spark.createDataFrame([(5,), (1,), (3,), (3,)], "v bigint")
-    assert ranks.nth_smallest(df, "v", 1) == (3.0, 1, 2)
-    assert ranks.nth_smallest(df, "v", 4) is None
+def test_value_stats_ignore_nulls(spark):
+    rows = [("a", v) for v in (5.0, 6.0, 7.0, 8.0, 9.0, None, None, None, None)] + [("b", v) for v in (-5.0, -6.0, -7.0, None, None, None, None)]
+    rows += [("c", None), ("c", float("nan")), ("d", float("nan")), ("d", -1.0)]
+    out = {r.g: (r.median, r.p95, r["count"]) for r in ds.value_stats(spark.createDataFrame(rows, "g string, v double"), "v", ["g"]).collect()}
+    assert out == {"a": (7.0, 9.0, 5), "b": (-6.0, -5.0, 3), "d": (-1.0, -1.0, 1)}
+
+
+@pytest.mark.parametrize("n", [1, 10, 100, 500])
+def test_first_rows_by_large_and_null_numbers(spark, n):
+    ids = [(1 << 60) + i for i in range(1000)] + [-(1 << 62), None, None]
+    df = spark.createDataFrame([(i, "x") for i in ids], "v bigint, t string").repartition(5)
+    got = [r.v for r in sampling.keep_smallest(df, n, ["v"]).collect()]
+    assert sorted(got) == sorted(i for i in ids if i is not None)[:n]
+    everything = sampling.keep_smallest(df, 1002, ["v"])
+    assert everything.count() == 1002 and everything.where("v is null").count() == 1
+
+
+def test_first_rows_by_text(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab\x00é🎉z") for _ in range(rng.randint(0, 30))) for _ in range(300)] + ["prefix of seven and more"] * 40
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(texts)] + [(None, 1)], "t string, i int")
+    for n in (1, 17, 150, 340, 341):
+        got = sampling.keep_smallest(df, n, ["t", "i"]).collect()
+        want = sorted((t.encode(), i) for i, t in enumerate(texts))[:n]
+        assert sorted((r.t.encode(), r.i) for r in got if r.t is not None) == want and len(got) == n
+    with pytest.raises(TypeError):
+        sampling.keep_smallest(df.selectExpr("array(i) as a"), 1, ["a"])
 
 
 def index(spark, n=1000, per_offset=7):
@@ -71,9 +92,7 @@ def test_random_sample_is_exact_repeatable_and_independent_of_partitions(spark):
     assert ds.sample(index(spark), rate=1.0).count() == 1000
 
 
-@pytest.mark.parametrize("small_tie", [sampling.SMALL_TIE, 5])
-def test_samples_with_a_hot_offset_and_copies(spark, monkeypatch, small_tie):
-    monkeypatch.setattr(sampling, "SMALL_TIE", small_tie)
+def test_samples_with_a_hot_offset_and_copies(spark):
     hot = spark.range(500).select(F.lit(616).cast("bigint").alias("offset"), F.col("id").alias("article_id"), F.lit("h").alias("title"))
     copies = spark.range(25000).select(F.lit(616).cast("bigint").alias("offset"), F.lit(250).cast("bigint").alias("article_id"), F.lit("h").alias("title"))
     df = hot.unionByName(copies).unionByName(index(spark, 20).withColumn("offset", F.col("offset") + 5000))
@@ -89,10 +108,11 @@ def test_group_by_offset(spark):
     assert [a.article_id for a in rows[1].articles] == list(range(7, 14))
 
 
-def test_group_by_offset_divides_a_hot_offset(spark):
+def test_group_by_offset_divides_by_ranges_of_ids(spark):
     df = index(spark, 20).unionByName(spark.range(500).select(
         F.lit(100).cast("bigint").alias("offset"), (F.col("id") + 1000).alias("article_id"), F.lit("x").alias("title")))
-    rows = group_by_offset(df, max_group=50).collect()
-    hot = [r for r in rows if r.offset == 100]
-    assert len(hot) > 5 and sum(len(r.articles) for r in hot) == 507
-    assert [r.part for r in rows if r.offset != 100] == [0, 0]
+    df = df.unionByName(df.where("article_id >= 1400")).unionByName(spark.createDataFrame([(100, None, "n")], "offset long, article_id long, title string"))
+    rows = group_by_offset(df, part_ids=50).collect()
+    hot = {r.part: r.articles for r in rows if r.offset == 100}
+    assert set(hot) == {0, None, *range(20, 30)} and all(len(a) <= 50 for a in hot.values())
+    assert {a.copies for a in hot[27]} == {1} and {a.copies for a in hot[29]} == {2}

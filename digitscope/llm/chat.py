@@ -52,17 +52,19 @@ def _jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     now = stored(own.join(known, ["tree", "parent"], "left").select(
         "tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.lit(1).cast("bigint").alias("length"), "score"))
     largest = now.groupBy("tree").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    ended, open_ = now.where(F.col("up").isNull()), now.where(F.col("up").isNotNull())
     tables = []
-    # Once the distance exceeds every tree, what still has an ancestor goes round a cycle.
+    # Only messages with an ancestor at the distance go on; once the distance exceeds every tree, they go round a circle.
     for _ in range(largest.bit_length()):
-        if not now.where(F.col("up").isNotNull()).limit(1).count():
+        if not open_.limit(1).count():
             break
-        tables.append(now.where(F.col("up").isNotNull()).select("tree", "node", "up"))
-        above = now.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("length").alias("more"), F.col("score").alias("extra"))
-        now = stored(now.join(above, ["tree", "up"], "left").select(
-            "tree", "node", F.col("next").alias("up"), (F.col("length") + F.coalesce("more", F.lit(0))).alias("length"),
-            (F.col("score") + F.coalesce("extra", F.lit(0.0))).alias("score")))
-    return tables, now.where(F.col("up").isNull()).select("tree", "node", "length", "score")
+        tables.append(open_.select("tree", "node", "up"))
+        above = open_.unionByName(ended).select(
+            "tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("length").alias("more"), F.col("score").alias("extra"))
+        now = stored(open_.join(above, ["tree", "up"]).select(
+            "tree", "node", F.col("next").alias("up"), (F.col("length") + F.col("more")).alias("length"), (F.col("score") + F.col("extra")).alias("score")))
+        ended, open_ = ended.unionByName(now.where(F.col("up").isNull())), now.where(F.col("up").isNotNull())
+    return tables, ended.select("tree", "node", "length", "score")
 
 
 def conversations(messages: DataFrame, branches: int = 1) -> DataFrame:
@@ -88,9 +90,8 @@ def conversations(messages: DataFrame, branches: int = 1) -> DataFrame:
         Window.partitionBy("tree").orderBy(mean.desc(), F.col("length").desc(), "node"))).where(F.col("branch") <= branches)
     path = stored(ranked.select("tree", "branch", "node", F.lit(0).cast("bigint").alias("back")))
     for k, table in enumerate(tables):
-        steps = F.array_compact(F.array(F.struct("node", "back"), F.when(F.col("up").isNotNull(), F.struct(
-            F.col("up").alias("node"), (F.col("back") + (1 << k)).alias("back")))))
-        path = stored(path.join(table, ["tree", "node"], "left").select("tree", "branch", F.explode(steps).alias("s")).select("tree", "branch", "s.*"))
+        path = path.unionByName(stored(path.join(table, ["tree", "node"]).select(
+            "tree", "branch", F.col("up").alias("node"), (F.col("back") + (1 << k)).alias("back"))))
 
     head = F.concat(F.lit(OPEN), _escaped_role(F.col("role")), F.lit(MIDDLE))
     turns = path.join(nodes, ["tree", "node"]).select(

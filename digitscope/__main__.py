@@ -7,7 +7,7 @@ import sys
 
 from digitscope.operators.bounds import count_up_to
 from digitscope.operators.sampling import sample
-from digitscope.plans.extract import build_numbers, extract_articles
+from digitscope.plans.extract import backfill_numbers, build_numbers, extract_articles
 from digitscope.plans.preview import preview_digits, preview_totals
 from digitscope.plans.report import analyze
 from digitscope.session import get_session
@@ -25,6 +25,7 @@ def _parser() -> argparse.ArgumentParser:
     process.add_argument("--dump", required=True)
     process.add_argument("--index")
     process.add_argument("--output", required=True)
+    process.add_argument("--ledger", help="folder of finished units; a run that has one continues where the last one stopped")
     process.add_argument("--summary", help="folder for the digit counts as JSON")
     size = process.add_mutually_exclusive_group()
     size.add_argument("--sample-rate", type=float)
@@ -47,14 +48,17 @@ def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     spark = get_session()
     if args.command == "process":
-        build_numbers(spark, args.dump, args.output, args.index, args.sample_rate, args.sample_count,
-                      args.sample_seed, args.consecutive)
+        chosen = (args.index, args.sample_rate, args.sample_count, args.sample_seed, args.consecutive)
+        if args.ledger:
+            backfill_numbers(spark, args.dump, args.output, args.ledger, *chosen)
+        else:
+            build_numbers(spark, args.dump, args.output, *chosen)
         if args.summary:
             write_counts_json(read_numbers(spark, args.output), args.summary)
     elif args.command == "preview":
         entries = read_index(spark, args.index)
         ids = sample(entries, count=count_up_to(entries, args.count), consecutive=True).select("article_id")
-        numbers = extract_articles(read_pages(spark, args.dump, main_only=True), ids)
+        numbers = extract_articles(read_pages(spark, args.dump, main_only=True), ids).persist()
         preview_totals(numbers).show()
         preview_digits(numbers).show()
     else:

@@ -1,43 +1,10 @@
-"""Size checks before broadcasting, and checkpoints that outlive executors."""
+"""Bounded counting."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-# Rows up to which a narrow table (a key and a few numbers) is broadcast.
-BROADCAST_ROWS = 1_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` when counting shows at most ``max_rows`` rows; otherwise leave the join to Spark.
-
-    The count stops after ``max_rows + 1`` rows. ``df`` should be narrow and cheap to read again,
-    such as a checkpoint.
-    """
-    return F.broadcast(df) if count_up_to(df, max_rows + 1) <= max_rows else df
+from pyspark.sql import DataFrame
 
 
 def count_up_to(df: DataFrame, rows: int) -> int:
     """Number of rows, or ``rows`` when there are at least that many."""
     return df.limit(rows).count()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder the cluster names; a local session gets a folder of its own."""
-    spark = df.sparkSession
-    _ensure_checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
-
-
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="digitscope-checkpoint-")
-    context.setCheckpointDir(folder)

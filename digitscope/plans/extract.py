@@ -67,3 +67,13 @@ def build_numbers(spark: SparkSession, dump: str, sink: str, index: str | None =
             raise ValueError("sampling needs an index")
         ids = create_sample(spark, index, rate, count, seed, consecutive).select("article_id")
     write_numbers(extract_articles(read_pages(spark, dump, main_only=True), ids), sink)
+
+
+def backfill_numbers(spark: SparkSession, dump: str, sink: str, ledger: str, index: str | None = None, rate: float | None = None,
+                     count: int | None = None, seed: int = 42, consecutive: bool = False, unit_ids: int = 100_000) -> DataFrame:
+    """Like ``build_numbers``, but continue where an earlier run stopped: a unit is a range of ``unit_ids`` article ids."""
+    from digitscope.streaming.ingest import backfill
+
+    ids = create_sample(spark, index, rate, count, seed, consecutive).select("article_id") if rate is not None or count is not None else None
+    texts = keep_ids(articles(read_pages(spark, dump, main_only=True)), ids).withColumn("unit", F.expr(f"article_id div {unit_ids}"))
+    return backfill(texts, "unit", "text", "article_id", sink, ledger, markup="wikitext")

@@ -7,11 +7,11 @@ in its checkpoint folder; a backfill keeps a ledger of completed units.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from digitscope.operators.bounds import broadcast_if_small, durable
 from digitscope.operators.lookups import pending
 from digitscope.plans.extract import extract
 from digitscope.schemas import LEDGER
@@ -75,28 +75,47 @@ def failed(ledger: DataFrame) -> DataFrame:
             .where("not done and retries is not null").drop("done"))
 
 
+def _drop_partitions(spark: SparkSession, sink: str, units: DataFrame) -> None:
+    """Remove what earlier attempts left in the sink for these units; only folders that exist are touched."""
+    jvm, root = spark.sparkContext._jvm, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sink)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(root) or not [s for s in files.listStatus(root) if s.isDirectory()]:
+        return
+    held = spark.read.schema("unit_id string").parquet(sink).select("unit_id").distinct().join(units, "unit_id", "left_semi")
+    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for row in held.toLocalIterator():
+        files.delete(jvm.org.apache.hadoop.fs.Path(root, f"unit_id={escape(row.unit_id)}"), True)
+
+
 def backfill(texts: DataFrame, unit_col: str, text_col: str, id_col: str, sink: str, ledger: str,
              **options) -> DataFrame:
     """Extract all units that the ledger does not list as completed; returns the new ledger entries.
 
-    The sink is partitioned by unit and pending units replace their partition, so a run that broke
-    off before its ledger entry was written is simply repeated. Units without numbers complete too.
+    The sink is partitioned by unit; what an attempt that broke off has left there for a pending unit is removed
+    first, so counts and rows are those of the last attempt. Units without numbers complete too. If the job
+    fails, its units are recorded as failed, with the error and one more retry, and stay pending.
     """
     spark = texts.sparkSession
-    unit = F.col(unit_col).cast("string")
-    rows = texts.withColumn("unit_id", unit)
-    todo = durable(pending(rows.select("unit_id").distinct(), read_ledger(spark, ledger)))
-    units = broadcast_if_small(todo)
-    numbers = extract(rows.join(units, "unit_id", "left_semi"), text_col, id_col, carry=["unit_id"], **options)
-    (numbers.hint("rebalance", F.col("unit_id")).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
-     .partitionBy("unit_id").parquet(sink))
-    done = (numbers.sparkSession.read.option("mergeSchema", False).schema(numbers.schema).parquet(sink)
-            .join(units, "unit_id", "left_semi").groupBy("unit_id")
+    at = F.lit(datetime.now(timezone.utc)).cast("timestamp")
+    rows = texts.withColumn("unit_id", F.col(unit_col).cast("string"))
+    before = read_ledger(spark, ledger)
+    todo = pending(rows.select("unit_id").where("unit_id IS NOT NULL").distinct(), before)
+    _drop_partitions(spark, sink, todo)
+    numbers = extract(rows.join(todo, "unit_id", "left_semi"), text_col, id_col, carry=["unit_id"], **options)
+    none = F.lit(0).cast("bigint")
+    try:
+        (numbers.hint("rebalance", F.col("unit_id")).write.mode("append").option("compression", "zstd")
+         .partitionBy("unit_id").parquet(sink))
+    except Exception as problem:
+        tried = before.where("status = 'failed'").groupBy("unit_id").agg(F.max("retries").alias("last"))
+        record(spark, todo.join(tried, "unit_id", "left").select(
+            "unit_id", F.lit("failed").alias("status"), none.alias("articles"), none.alias("numbers"),
+            F.coalesce(F.col("last") + 1, F.lit(0)).alias("retries"), F.lit(str(problem)[:1000]).alias("error"), at.alias("at")), ledger)
+        raise
+    done = (spark.read.schema(numbers.schema).parquet(sink).join(todo, "unit_id", "left_semi").groupBy("unit_id")
             .agg(F.count_distinct("article_id").alias("articles"), F.count(F.lit(1)).alias("numbers")))
-    entries = durable(todo.join(done, "unit_id", "left").select(
-        "unit_id", F.lit("completed").alias("status"),
-        F.coalesce("articles", F.lit(0)).alias("articles"), F.coalesce("numbers", F.lit(0)).alias("numbers"),
-        F.lit(0).alias("retries"), F.lit(None).cast("string").alias("error"), F.current_timestamp().alias("at")))
-    record(spark, entries, ledger)
-    return entries
+    record(spark, todo.join(done, "unit_id", "left").select(
+        "unit_id", F.lit("completed").alias("status"), F.coalesce("articles", none).alias("articles"),
+        F.coalesce("numbers", none).alias("numbers"), F.lit(0).alias("retries"), F.lit(None).cast("string").alias("error"),
+        at.alias("at")), ledger)
+    return read_ledger(spark, ledger).where((F.col("at") == at) & (F.col("status") == "completed"))

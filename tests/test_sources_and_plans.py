@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 import digitscope as ds
 from digitscope.__main__ import main
-from digitscope.operators.bounds import broadcast_if_small
 from digitscope.operators.grouping import union_parts
 from digitscope.operators.lookups import keep_ids, pending, tag_units, with_category_info
 from digitscope.plans.report import analyze
@@ -129,8 +128,6 @@ def test_lookups(spark):
     ids = spark.createDataFrame([(3,), (3,), (5,), (99,)], "article_id bigint")
     assert [r.article_id for r in keep_ids(df, ids).orderBy("article_id").collect()] == [3, 5]
     assert keep_ids(df, None).count() == 10 and keep_ids(df, ids.limit(0)).count() == 10
-    big = broadcast_if_small(df, 5)
-    assert big is df
     planned = spark.range(10).withColumnRenamed("id", "unit_id")
     ledger = spark.createDataFrame([(0, "completed"), (1, "failed")], "unit_id bigint, status string")
     assert pending(planned, ledger).count() == 9

@@ -1,8 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
 import digitscope as ds
 from digitscope.plans.extract import extract_articles
-from digitscope.streaming.ingest import backfill, ingest, ledger_totals, read_ledger, stream_pages, stream_table
+from digitscope.streaming.ingest import backfill, failed, ingest, ledger_totals, read_ledger, stream_pages, stream_table
 
 
 def rows_of(df):
@@ -49,3 +50,22 @@ def test_backfill_continues_where_it_stopped(spark, small, tmp_path):
     totals = ledger_totals(read_ledger(spark, ledger)).first()
     assert totals.completed_units == docs.select("source").distinct().count() and totals.failed_units == 0
     assert totals.numbers == whole.count()
+
+
+def test_backfill_records_failures_and_replaces_what_they_left(spark, tmp_path):
+    sink, ledger = str(tmp_path / "numbers"), str(tmp_path / "ledger")
+    rows = [(1, "a", "in 1999"), (2, "b/x", "in 2001 and 7"), (3, None, "5"), (4, "c", "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, unit string, text string")
+    broken = docs.withColumn("text", F.when(F.col("doc_id") == 2, F.raise_error(F.lit("no such page"))).otherwise(F.col("text")))
+    for _ in range(2):
+        with pytest.raises(Exception, match="no such page"):
+            backfill(broken, "unit", "text", "doc_id", sink, ledger)
+    assert {(r.unit_id, r.retries) for r in failed(read_ledger(spark, ledger)).collect()} == {("a", 1), ("b/x", 1), ("c", 1)}
+    # An attempt that broke off after writing: its rows are replaced, also where nothing comes in their place.
+    left = ds.extract(docs.where("unit IS NOT NULL").withColumn("text", F.lit("8 9 10")), "text", "doc_id", carry=["unit"]).withColumnRenamed("unit", "unit_id")
+    left.write.mode("append").partitionBy("unit_id").parquet(sink)
+    done = {r.unit_id: (r.articles, r.numbers) for r in backfill(docs, "unit", "text", "doc_id", sink, ledger).collect()}
+    assert done == {"a": (1, 1), "b/x": (1, 2), "c": (0, 0)}
+    assert sorted(r.number for r in spark.read.parquet(sink).collect()) == [7.0, 1999.0, 2001.0]
+    totals = ledger_totals(read_ledger(spark, ledger)).first()
+    assert (totals.completed_units, totals.failed_units, totals.numbers) == (3, 0, 3)

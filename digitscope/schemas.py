@@ -33,6 +33,10 @@ CATEGORY = _schema(
     ("mad_from", T.DoubleType()),
     ("mad_to", T.DoubleType()),
     ("expected_conformity", T.StringType()),
+    ("description", T.StringType()),
+    ("examples", T.ArrayType(T.StringType())),
+    ("notes", T.StringType()),
+    ("group_description", T.StringType()),
 )
 
 UNIT = _schema(("unit", T.StringType()), ("measure", T.StringType()))

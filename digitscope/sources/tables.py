@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from digitscope.rules.categories import BAND_BOUNDS, CATEGORIES, GROUPS
+from digitscope.rules.categories import BAND_BOUNDS, CATEGORIES, GROUP_DESCRIPTIONS, GROUPS
 from digitscope.rules.units import unit_rows
 from digitscope.schemas import CATEGORY, NUMBERS, UNIT
 
@@ -35,11 +35,11 @@ def read_parts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def category_dimension(spark: SparkSession) -> DataFrame:
-    """The 59 number categories with group, declared band and its bounds."""
+    """The 59 number categories with group, declared band and its bounds, description, examples and notes."""
     groups = dict(GROUPS)
     rows = [
-        (name, group, band, example, *BAND_BOUNDS[band], groups[group])
-        for name, group, band, example in CATEGORIES
+        (name, group, band, examples[0], *BAND_BOUNDS[band], groups[group], description, list(examples), notes, GROUP_DESCRIPTIONS[group])
+        for name, group, band, description, examples, notes in CATEGORIES
     ]
     return spark.createDataFrame(rows, CATEGORY)
 
@@ -51,8 +51,10 @@ def unit_dimension(spark: SparkSession, units_only: bool = False) -> DataFrame:
 
 def units_with_measures(spark: SparkSession) -> DataFrame:
     """One row per unit with the sorted array of its measures."""
-    return unit_dimension(spark, units_only=True).groupBy("unit").agg(
-        F.sort_array(F.collect_set("measure")).alias("measures"))
+    measures: dict[str, set[str]] = {}
+    for unit, measure in unit_rows(units_only=True):
+        measures.setdefault(unit, set()).add(measure)
+    return spark.createDataFrame([(u, sorted(m)) for u, m in measures.items()], "unit string, measures array<string>")
 
 
 def all_units(spark: SparkSession) -> DataFrame:

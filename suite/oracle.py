@@ -208,7 +208,7 @@ def _conformity() -> str:
     bounds = ", ".join(
         f"('{name}', '{group}', '{band}', {'NULL' if BAND_BOUNDS[band][0] is None else BAND_BOUNDS[band][0]}::DOUBLE, "
         f"{'NULL' if BAND_BOUNDS[band][1] is None else BAND_BOUNDS[band][1]}::DOUBLE)"
-        for name, group, band, _ in CATEGORIES)
+        for name, group, band, *_ in CATEGORIES)
     return f"dim(number_category, category_group, expected_mad, lo, hi) AS (VALUES {bounds})"
 
 

@@ -241,6 +241,11 @@ def oracle_sql() -> dict[str, str]:
         "index_parse": f"WITH {INDEX} SELECT * FROM entries",
         "xml_articles": "SELECT page_id AS article_id, url AS title, md5(html) AS text_md5 FROM pages "
                         "WHERE page_id % 3 = 0 AND page_id % 5 <> 4",
+        "dump_articles": "SELECT page_id AS article_id, url AS title, md5(html) AS text_md5 FROM pages WHERE page_id % 3 = 0 AND page_id % 5 <> 4",
+        "numbers_written": f"WITH {DOC_NUMBERS} SELECT doc_id AS article_id, lang AS domain, number, {_category('number', 'context')} AS number_category, "
+                           f"{_first('number')} AS first_digit, {_second('number')} AS second_digit FROM nums",
+        "counts_json": f"""WITH {DOC_DIGITS}, c AS (SELECT domain, first_digit, count(*) AS n FROM digits WHERE first_digit > 0 GROUP BY ALL)
+            SELECT '{{"' || domain || '":{{' || string_agg('"' || first_digit || '":' || n, ',' ORDER BY first_digit) || '}}}}' AS counts FROM c GROUP BY domain""",
         "numbers_from_documents": f"WITH {DOC_NUMBERS} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start_pos) - 1 AS INTEGER) AS position, number FROM nums",
         "numbers_from_conversations": "WITH told AS (SELECT conv_id, turn, (turn * 7 + 1) || ' of ' || length(text) || '.5: ' || text AS text FROM conversations), "
                                       f"{_numbers('told', 'text', 'conv_id', 'turn')} SELECT conv_id, turn, number FROM nums",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import digitscope as ds
@@ -13,8 +16,9 @@ from digitscope.operators.ranks import value_stats
 from digitscope.operators.sampling import keep_smallest, sample
 from digitscope.plans.preview import preview_articles, preview_digits, preview_totals
 from digitscope.sources.index import parse_index
-from digitscope.sources.pages import articles, parse_pages
-from digitscope.sources.tables import all_units, category_dimension, read_table, units_with_measures
+from digitscope.sources.pages import articles, parse_pages, read_pages
+from digitscope.sources.sinks import write_counts_json, write_numbers
+from digitscope.sources.tables import all_units, category_dimension, read_numbers, read_table, units_with_measures
 from digitscope.streaming.ingest import failed, ledger_totals
 from suite.inputs import DIGIT_HEADS, KINDS, SENTENCES, UNIT_PHRASES, WIKITEXT
 
@@ -93,7 +97,16 @@ def index_parse(spark, sf):
     return _index(spark, sf)
 
 
-def xml_articles(spark, sf):
+def _run_folder(spark: SparkSession) -> str:
+    """A fresh folder that all executors share; local sessions without one get their own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and spark.sparkContext.master.startswith("local["):
+        base = tempfile.mkdtemp(prefix="digitscope-suite-")
+    return f"{base}/{uuid.uuid4().hex}"
+
+
+def _xml_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as XML that lacks its closing tag, as the splittable scan delivers them."""
     pages = read_table(spark, f"{sf}/pages.parquet", heavy=True)
 
     def escaped(c: str) -> Column:
@@ -105,10 +118,35 @@ def xml_articles(spark, sf):
     record = F.concat(F.lit("<siteinfo/>\n <page>\n  <title>"), escaped("url"), F.lit("</title>\n  <ns>"),
                       (page % 3).cast("string"), F.lit("</ns>\n  <id>"), article,
                       F.lit("</id>\n  <revision><text>"), escaped("html"), F.lit("</text></revision>\n"))
-    out = articles(parse_pages(pages.select(record.alias("value"))))
+    return pages.select(record.alias("value"))
+
+
+def xml_articles(spark, sf):
+    out = articles(parse_pages(_xml_records(spark, sf)))
     return out.select("article_id", "title", F.md5("text").alias("text_md5"))
 
 
+def dump_articles(spark, sf):
+    """The same pages written as dump files and read by the splittable scan."""
+    folder = _run_folder(spark)
+    _xml_records(spark, sf).write.option("lineSep", "</page>").text(folder)
+    return articles(read_pages(spark, folder, main_only=True)).select("article_id", "title", F.md5("text").alias("text_md5"))
+
+
+def numbers_written(spark, sf):
+    """The numbers table written by domain and read back."""
+    folder = _run_folder(spark)
+    write_numbers(_document_numbers(spark, sf), folder)
+    return read_numbers(spark, folder)
+
+
+def counts_json(spark, sf):
+    """Digit counts of each domain as nested JSON, written and read back."""
+    folder = _run_folder(spark)
+    write_counts_json(_document_numbers(spark, sf, categorize=False), folder)
+    return spark.read.text(folder).select(F.col("value").alias("counts"))
+
+
 # -- text ------------------------------------------------------------------------------------------
 
 def numbers_from_documents(spark, sf):
@@ -457,7 +495,7 @@ def unit_union(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    has_numbers, index_parse, xml_articles, numbers_from_documents, numbers_from_conversations, number_contexts,
+    has_numbers, index_parse, xml_articles, dump_articles, numbers_written, counts_json, numbers_from_documents, numbers_from_conversations, number_contexts,
     number_categories, measured_categories, declared_categories,
     document_declared_categories, year_heuristic, numbers_table, strip_html, html_numbers,
     strip_wikitext, strip_wikitext_deep, infobox_type, domain_of_text, domain_label, rule_label, domain_summary, digits_lineitem,

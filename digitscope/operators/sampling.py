@@ -61,18 +61,22 @@ def _keys(df: DataFrame, column: str) -> Iterator[Column]:
 def _nth(rows: DataFrame, key: Column, rank: int) -> tuple[int, int, int]:
     """The key at a 0-based rank, and the numbers of rows below and equal to it.
 
-    Each job counts at most 2^16 values of the next sixteen bits.
+    One job finds the range of the key; each further one counts at most 2^16 values of its next sixteen bits.
     """
-    prefix, below = 0, 0
-    for shift in range(64 - _BITS, -1, -_BITS):
-        part = F.shiftright(key, shift)
+    low, high, equal = rows.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
+    bits, below = (high - low).bit_length(), 0
+    if bits > 62:
+        low, bits = 0, 64                                # as it is: the sign is in the first bits
+    prefix = 0
+    for shift in range((bits - 1) // _BITS * _BITS, -1, -_BITS):
+        part = F.shiftright(key - F.lit(low).cast("bigint"), shift)
         ordered = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         found = (rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
                  .withColumn("upto", F.sum("n").over(ordered)).where(F.col("upto") > rank - below).orderBy("part").first())
         prefix, equal = found["part"], found["n"]
         below += found["upto"] - equal
         rows = rows.where(part == prefix)
-    return prefix, below, equal
+    return prefix + low, below, equal
 
 
 def keep_smallest(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:

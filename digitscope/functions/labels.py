@@ -79,16 +79,16 @@ def number_category(number_text: Column, context: Column, rules=OBSERVED_RULES,
 
     The first rule decides whose pattern is found and of whose triggers one occurs, provided the
     number itself is in the context; a rule without triggers needs any trigger at all. Otherwise
-    the year heuristic applies. Plain substring tests come before the pattern, which most contexts
-    then never meet. The rules are evaluated inside a lambda, so that the lower-cased context is
+    the year heuristic applies, at once where no trigger occurs at all. Plain substring tests come before the
+    pattern, which most contexts then never meet. The rules are evaluated inside a lambda, so that the lower-cased context is
     computed once and the long list stays out of the generated code of the surrounding stage.
     """
     def decide(ctx: Column, low: Column):
         for category, pattern, words in rules:
             found = ctx.rlike(unicode_regex(pattern))
-            yield category, _contains_any(low, words) & found if words else found & _contains_any(low, triggers)
+            yield category, _contains_any(low, words) & found if words else found
 
-    return _decide(number_text, context, context, decide)
+    return _decide(number_text, context, context, decide, lambda low: _contains_any(low, triggers))
 
 
 def declared_category(number_text: Column, context: Column, rules=DECLARED_RULES) -> Column:
@@ -100,12 +100,16 @@ def declared_category(number_text: Column, context: Column, rules=DECLARED_RULES
     return _decide(number_text, context, F.replace(context, F.lit(","), F.lit("")), decide)
 
 
-def _decide(number_text: Column, context: Column, searched: Column, decide) -> Column:
-    """First category of ``decide`` that applies, if the number is in ``searched``; else the year heuristic."""
+def _decide(number_text: Column, context: Column, searched: Column, decide, needed=None) -> Column:
+    """First category of ``decide`` that applies, if the number is in ``searched``; else the year heuristic.
+
+    Nothing but the heuristic is tried where ``needed`` does not hold for the lower-cased context.
+    """
     number_text = number_text.cast("string")
 
     def body(bound: Column) -> Column:
-        out = F.when(~bound["present"], bound["fallback"])
+        known = bound["present"] & needed(bound["low"]) if needed else bound["present"]
+        out = F.when(~known, bound["fallback"])
         for category, hit in decide(bound["ctx"], bound["low"]):
             out = out.when(hit, F.lit(category))
         return out.otherwise(bound["fallback"])

@@ -6,14 +6,14 @@ weight, and only what the whole family cannot use goes back to their parent's si
 tokens once in each epoch. Every epoch of a leaf is a seeded order of its documents; whole epochs are taken
 first, then the prefix of the next one that fills the budget.
 
-Prefixes are found without sorting a leaf: tokens are summed in bins of the order's hash, the bin in which the
-budget ends is summed up by itself, and documents are then taken by comparing their hash with the leaf's last one.
+Prefixes are found without sorting a leaf: tokens are summed in 256 bins of the order's hash, the bin in which the
+budget ends is divided again, three times in all, and the last bin is summed up by itself. Documents are then
+taken by comparing their hash with the leaf's last one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -23,8 +23,8 @@ from digitscope.llm.shared import stored
 OTHERS = "*"
 # Nodes of a tree at most; tables with a row for each are broadcast.
 NODES = 100_000
-# Bits of the order's hash, and of its bins.
-BITS, BIN_BITS = 60, 14
+# Bits of the order's hash, bits that one level of bins divides, and levels.
+BITS, BIN_BITS, LEVELS = 60, 8, 3
 
 
 def share(budget: int, children: Sequence[tuple[int, int]]) -> list[int]:
@@ -101,6 +101,13 @@ def place(seed: int, epoch: Column, identity: Column) -> Column:
     return F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("bigint")
 
 
+def _starts(rows: DataFrame, at: Column) -> DataFrame:
+    """``leaf, at, remain, start``: tokens of a leaf that stand before each value of ``at``, besides those ``before`` all rows."""
+    earlier = Window.partitionBy("leaf").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.groupBy("leaf", at.alias("at")).agg(F.sum("tokens").alias("n"), F.first("remain").alias("remain"), F.first("before").alias("before")).select(
+        "leaf", "at", "remain", (F.col("before") + F.coalesce(F.sum("n").over(earlier), F.lit(0))).alias("start"))
+
+
 def mix(docs: DataFrame, weights: Mapping[tuple[str, ...], int], keys: Sequence[str], tokens: Column, budget: int | float,
         epochs: int = 1, seed: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents of the mix, once for each ``epoch`` (from 0) they are taken in, with ``tokens`` and ``leaf``.
@@ -128,16 +135,14 @@ def mix(docs: DataFrame, weights: Mapping[tuple[str, ...], int], keys: Sequence[
     plan = F.broadcast(docs.sparkSession.createDataFrame(plan, "leaf int, whole int, remain bigint"))
 
     hashed = rows.join(plan.where("remain > 0"), "leaf").withColumn("place", place(seed, F.col("whole"), F.col("identity"))) \
-        .select("leaf", "remain", "place", "tokens", F.shiftright("place", BITS - BIN_BITS).alias("bin"))
-    before = Window.partitionBy("leaf").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = hashed.groupBy("leaf", "bin").agg(F.sum("tokens").alias("n"), F.first("remain").alias("remain")).select(
-        "leaf", "bin", "remain", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ends = stored(bins.where("before < remain").groupBy("leaf").agg(F.max(F.struct("bin", "before")).alias("b")).select("leaf", "b.*"))
-    before = Window.partitionBy("leaf").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    last = stored(hashed.join(F.broadcast(ends), ["leaf", "bin"]).groupBy("leaf", "place").agg(
-        F.sum("tokens").alias("n"), F.first("remain").alias("remain"), F.first("before").alias("before")).select(
-        "leaf", "place", "remain", (F.col("before") + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("start"))
-        .where("start < remain").groupBy("leaf").agg(F.max("place").alias("last")))
+        .select("leaf", "remain", "place", "tokens", F.lit(0).cast("bigint").alias("before"))
+    inside = hashed
+    for level in range(1, LEVELS + 1):
+        at = F.shiftright("place", BITS - level * BIN_BITS)
+        starts = _starts(inside, at).where("start < remain")
+        ends = stored(starts.groupBy("leaf").agg(F.max(F.struct("at", "start")).alias("e")).select("leaf", F.col("e.at").alias("end"), F.col("e.start").alias("before")))
+        inside = hashed.drop("before").join(F.broadcast(ends), "leaf").where(at == F.col("end")).drop("end")
+    last = stored(_starts(inside, F.col("place")).where("start < remain").groupBy("leaf").agg(F.max("at").alias("last")))
 
     own = place(seed, F.col("whole"), identity)
     taken = F.concat(F.when(F.col("whole") > 0, F.sequence(F.lit(0), F.col("whole") - 1)).otherwise(F.array().cast("array<int>")),

@@ -147,4 +147,5 @@ def mix(docs: DataFrame, weights: Mapping[tuple[str, ...], int], keys: Sequence[
     own = place(seed, F.col("whole"), identity)
     taken = F.concat(F.when(F.col("whole") > 0, F.sequence(F.lit(0), F.col("whole") - 1)).otherwise(F.array().cast("array<int>")),
                      F.when(own <= F.col("last"), F.array("whole")).otherwise(F.array().cast("array<int>")))
-    return placed.join(plan.join(F.broadcast(last), "leaf", "left"), "leaf").select(*kept, "tokens", "leaf", F.explode(taken).alias("epoch"))
+    ends = F.broadcast(plan.join(F.broadcast(last), "leaf", "left"))  # a row per leaf of the tree at most
+    return placed.join(ends, "leaf").select(*kept, "tokens", "leaf", F.explode(taken).alias("epoch"))

@@ -48,6 +48,14 @@ BASE = (
     Rule("access", "AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", "[0-9a-f]{32,}", 0, 32),
 )
+# A private key reaches from its BEGIN line to its END line. Where END is missing it covers the headers, the base64
+# characters and line breaks that follow, and after blanks long runs (over 20 characters, 400 runs) and a padded last one.
+_B64 = "[A-Za-z0-9+/]"
+PEM = ("-----BEGIN [A-Z ]*PRIVATE KEY-----(?:"
+       "[^-]*(?:-{1,4}[^-]+){0,40}-----END [A-Z ]*PRIVATE KEY-----|"
+       r"(?:[ \t\r\n]*[A-Z][A-Za-z]+-[A-Z][A-Za-z]+:[ \t]*[A-Za-z0-9,-]+){0,4}"
+       r"[A-Za-z0-9+/=\r\n\\]*"
+       rf"(?:[ \t]+{_B64 * 20}[A-Za-z0-9+/=\r\n\\]+){{0,400}}(?:[ \t]+{_B64}*={{1,2}})?)")
 # Forms of well-known credentials.
 MORE = (
     Rule("github", "gh[pousr]_[A-Za-z0-9]+", 0, 40),
@@ -55,7 +63,7 @@ MORE = (
     Rule("google", "AIza[A-Za-z0-9_-]+", 0, 39),
     Rule("stripe", "[sr]k_live_[A-Za-z0-9]+", 0, 24),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", PEM),
 )
 RULES = BASE + MORE
 

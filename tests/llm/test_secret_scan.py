@@ -84,3 +84,23 @@ def test_query_against_sql(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").repartition(1).write.parquet(f"{tmp_path}/documents.parquet")
     for r in queries.op8_trigram_secrets(spark, str(tmp_path)).collect():
         assert r.spans == ",".join(f"{k}:{a}:{b}" for a, _, k, b in slow_spans(TEXTS[r.doc_id]))
+
+
+def test_no_body_of_a_private_key_is_left(spark, tmp_path):
+    lines = ["".join(chr(65 + (i * j) % 26) + str(i % 10) for j in range(32)) for i in range(1, 26)] + ["Qz9="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n"
+    bodies = ["\n".join(lines), head + "\n".join(lines), "\\n".join(lines), "\n    ".join(lines), " ".join(lines)]
+    texts = [f"before {begin}\n{b}\n{end} after, all" for b in bodies] + [f"before {begin}\n{b} , after, all" for b in bodies]
+    texts += [f"{begin} is a header, no key", f"{begin}\n" + (lines[0] + " ") * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    masked = {r.doc_id: r.text for r in scan.masked(docs).collect()}
+    for i in range(10):
+        assert not any(line in masked[i] for line in lines) and "KEY" not in masked[i] and "DEK" not in masked[i]
+        assert masked[i].startswith("before [secret]") and masked[i].endswith("after, all")
+    assert masked[10] == "[secret] is a header, no key"
+    docs.repartition(1).write.parquet(f"{tmp_path}/documents.parquet")
+    frame = queries.op8_trigram_secrets(spark, str(tmp_path))
+    assert differences(frame, connect(str(tmp_path)), queries.ORACLE["op8_trigram_secrets"]) == []
+    for r in frame.collect():
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for a, _, k, b in slow_spans(texts[r.doc_id]))

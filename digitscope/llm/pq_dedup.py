@@ -93,13 +93,13 @@ def valid(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _classes(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """Distinct valid vectors of the most frequent length, numbered: ``c, embedding, n, first``; and that length."""
+def _classes(vectors: DataFrame) -> tuple[DataFrame, list[int]]:
+    """Distinct valid vectors, numbered: ``c, embedding, n, first``; and the lengths that more than one of them has."""
     good = vectors.where(valid(F.col("embedding")))
-    common = good.groupBy(F.size("embedding").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    width = common["width"] if common else 0
-    return stored(good.where(F.size("embedding") == width).groupBy("embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
-                  .select(F.monotonically_increasing_id().alias("c"), "embedding", "n", "first")), width
+    classes = stored(good.groupBy("embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
+                     .select(F.monotonically_increasing_id().alias("c"), "embedding", "n", "first"))
+    widths = classes.groupBy(F.size("embedding").alias("width")).count().where("count > 1").orderBy("width").collect()
+    return classes, [r["width"] for r in widths]
 
 
 def _found(classes: DataFrame, width: int, least: float) -> DataFrame:
@@ -238,13 +238,15 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, vec_id: str = "vec_
     reachable by links, itself included) and ``kept`` (it is that vector).
 
     Equal vectors are one class with a count; links are searched between classes and counted for all their
-    members. Vectors that are null, empty, zero, not finite throughout or of another length than most
+    members, with a search for each length of vectors. Vectors that are null, empty, zero or not finite throughout
     link with nothing. Null ids take part and get the smallest other id of their component; repeated rows are vectors of
     their own.
     """
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("embedding"))
-    classes, width = _classes(rows)
-    found = _found(classes, width, least)
+    classes, widths = _classes(rows)
+    found = rows.sparkSession.createDataFrame([], "a bigint, b bigint, add bigint")
+    for width in widths:
+        found = found.union(_found(classes.where(F.size("embedding") == width), width, least))
     added = found.where("add IS NOT NULL").groupBy(F.col("a").alias("c")).agg(F.sum("add").alias("add"))
     roots = components(found.where("b IS NOT NULL").select("a", "b"))
     member = stored(classes.join(roots, classes["c"] == roots["node"], "left").join(added, "c", "left").select(

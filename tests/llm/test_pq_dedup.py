@@ -89,3 +89,19 @@ def test_query_recall(spark):
     want = {r.vec_id: n for r, n in zip(table, ((x @ x.T) >= 0.95).sum(1) - 1)}
     got = {r.vec_id: r.n_links for r in queries.op6_product_quantisation(spark, folder).collect()}
     assert got == want
+
+
+def test_vectors_of_every_length_link(spark):
+    pick = np.random.default_rng(9)
+    eight = [(i, v) for i, v in corpus()[:60]]
+    five = [(1000 + i, np.float32(pick.normal(size=5)).tolist()) for i in range(20)]
+    five += [(1100 + i, v) for i, (_, v) in enumerate(five[:10])] + [(1200 + i, np.float32(np.array(v) * 1.5 + 0.01).tolist()) for i, (_, v) in enumerate(five[:10])]
+    other = [(2000, [1.0, 2.0]), (2001, [1.0, 2.0]), (2002, [1.0])]
+    frame = spark.createDataFrame(eight + five + other, "vec_id long, embedding array<float>").repartition(5)
+    got = {r.vec_id: (r.n_links, r.component) for r in pq.near_duplicates(frame).collect()}
+    assert [got[i] for i in (2000, 2001, 2002)] == [(1, 2000), (1, 2000), (0, 2002)]
+    assert [(i, *got[i]) for i, _ in eight] == [r[:3] for r in sorted(slow(eight))]
+    for i, v in five:
+        x = np.array([w for _, w in five], np.float64)
+        cosine = x @ np.array(v, np.float64) / np.linalg.norm(x, axis=1) / np.linalg.norm(np.array(v, np.float64))
+        assert got[i][0] == (cosine >= 0.95).sum() - 1

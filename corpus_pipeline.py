@@ -23,7 +23,7 @@ def toxic_out(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of texts whose five-word shingles are similar to 0.8 or more, by SimHash."""
+    """One document of each group of texts whose five-word shingles are similar to 0.8 or more; SimHash and MinHash propose links, exact Jaccard decides."""
     return simhash.representatives(docs, words=5, similarity=0.8)
 
 

@@ -167,3 +167,50 @@ def test_query(spark, data):
     want = [(d.doc_id, f"{p:016x}", docs[r].doc_id) for d, p, r in zip(docs, prints, roots)]
     got = [tuple(r) for r in queries.op4_simhash(spark, data).orderBy("doc_id").collect()]
     assert got == want and len({r[2] for r in got}) < len(got)
+
+
+def shingles(text, words=5):
+    found = text.lower().split()
+    return {tuple(found[i:i + words]) for i in range(max(1, len(found) - words + 1))}
+
+
+def jaccard(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def test_pairs_at_the_similarity_and_below_it(spark):
+    """Pairs at 0.80-0.82 lose a document and pairs at 0.6-0.79 none, short texts and repeated lines included."""
+    pick = random.Random(21)
+    rows, near = [], 0
+
+    def word():
+        return "".join(pick.choice("abcdefghij") for _ in range(7))
+
+    while len(rows) < 1200:
+        n = pick.choice([8, 9, 10, 12, 13, 49, 49, 60, 120, 300])
+        one = [word() for _ in range(n)]
+        two = list(one)
+        for i in pick.sample(range(n), pick.randint(1, max(1, n // 18))):
+            two[i] = word()
+        two = (two if n > 13 or pick.random() < 0.3 else one + [word() for _ in range(pick.randint(1, 2))])
+        one, two = " ".join(one), " ".join(two)
+        if 0.8 <= jaccard(one, two) <= 0.82 or 0.6 <= jaccard(one, two) < 0.8:
+            near += jaccard(one, two) >= 0.8
+            rows += [(len(rows), one), (len(rows) + 1, two)]
+    line = " ".join(word() for _ in range(10))
+    for _ in range(20):
+        rows.append((len(rows), (line + "\n") * 50 + " ".join(word() for _ in range(104))))
+    want = [i for i, t in rows if i >= 1200 or i % 2 == 0 or jaccard(rows[i - 1][1], t) < 0.8]
+    assert 100 < near < 500
+    got = sorted(r.doc_id for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == want
+
+
+def test_keys_at_the_similarity():
+    pick = np.random.default_rng(22)
+    for size in (9, 90, 900):
+        for _ in range(300):
+            x = np.unique(pick.integers(0, 1 << 64, size // 9 * 10, np.uint64))
+            a, b = x[:size // 9 * 9], x[size // 9:]
+            assert set(simhash.keys(a)) & set(simhash.keys(b))

@@ -121,10 +121,14 @@ def mix(docs: DataFrame, weights: Mapping[tuple[str, ...], int], keys: Sequence[
     ``epoch``, ``tokens`` or ``leaf`` are replaced.
     """
     _checked(weights, len(keys))
-    kept = [c for c in docs.columns if c not in ("epoch", "tokens", "leaf")]
-    identity = F.coalesce(F.col(doc_id).cast("string"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    placed = leaves(docs.select(*kept, F.coalesce(tokens, F.lit(0)).cast("bigint").alias("tokens")), weights, keys).where(F.col("leaf").isNotNull())
-    rows = stored(placed.select("leaf", "tokens", identity.alias("identity")))
+    kept = [f"doc.`{c}`" for c in docs.columns if c not in ("epoch", "tokens", "leaf")]
+    own = F.coalesce(F.col(doc_id).cast("string"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    # The caller's columns travel in one struct, so that none of their names can clash.
+    named = [f"key{i}" for i in range(len(keys))]
+    placed = leaves(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.coalesce(tokens, F.lit(0)).cast("bigint").alias("tokens"),
+                                own.alias("identity"), *[F.col(k).alias(n) for k, n in zip(keys, named)]), weights, named).where(F.col("leaf").isNotNull())
+    identity = F.col("identity")
+    rows = stored(placed.select("leaf", "tokens", "identity"))
     names = sorted(weights)
     supply = {names[r[0]]: r[1] for r in rows.groupBy("leaf").agg(F.sum("tokens")).collect()}
     if isinstance(budget, float):

@@ -239,5 +239,6 @@ def redacted(text: Column, found: Column, mark: str = "[secret]") -> Column:
 
 def masked(docs: DataFrame, rules: Sequence[Rule] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All documents with the secrets of ``text`` replaced by a mark; the columns stay as they are."""
-    found = scan(docs, rules, doc_id, text)
-    return found.withColumn(text, redacted(F.col(text), F.col("spans"))).select(*docs.columns)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    found = scan(whole, rules, "id", "text")
+    return found.select(*[redacted(F.col("text"), F.col("spans")).alias(c) if c == text else F.col(f"d.`{c}`") for c in docs.columns])

@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from digitscope.llm import bpe, chat, fingerprint, mixing, pq_dedup, secret_scan, sharding, simhash, toxicity, warc
+from digitscope.llm import bpe, chat, fingerprint, mixing, pq_dedup, secret_scan, sharding, simhash, token_files, toxicity, warc
 from digitscope.llm.shared import work_folder
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -213,6 +214,12 @@ def op10_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
         fingerprint.likeness(F.col("sign"), F.col("next_sign")).alias("near_next"))
 
 
+def op11_bit_planes(spark: SparkSession, folder: str) -> DataFrame:
+    files = work_folder(spark)
+    token_files.write(_table(spark, folder, "documents"), files, WORD_BPE, end=1)
+    return token_files.documents(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_karmarkar_karp": op1_karmarkar_karp,
     "op2_hierarchical_mix": op2_hierarchical_mix,
@@ -224,6 +231,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_trigram_secrets": op8_trigram_secrets,
     "op9_reply_trees": op9_reply_trees,
     "op10_order_minhash": op10_order_minhash,
+    "op11_bit_planes": op11_bit_planes,
 }
 
 ORACLE: dict[str, str] = {

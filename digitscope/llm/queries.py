@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from digitscope.llm import bpe, chat, fingerprint, mixing, pq_dedup, secret_scan, sharding, simhash, token_files, toxicity, warc
+from digitscope.llm import bpe, chat, collocations, fingerprint, mixing, pq_dedup, secret_scan, sharding, simhash, token_files, toxicity, warc
 from digitscope.llm.shared import work_folder
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -220,6 +220,28 @@ def op11_bit_planes(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.documents(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_quotient_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(_table(spark, folder, "documents"), least=30, longest=4, covered=80, top=2000)
+
+
+_OP12_SQL = r"""
+    WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    cut AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM cut GROUP BY lang),
+    grams AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM cut, (VALUES (1), (2), (3), (4)) AS sizes(k) WHERE len(w) >= k),
+    f AS (SELECT lang, w[i:i + k - 1] AS p, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30),
+    inner_ AS (SELECT lang, p, a, k, unnest(range(1, len(p) - k + 2)) AS i FROM f, (VALUES (2), (3)) AS sizes(k) WHERE len(p) > k),
+    longer AS (SELECT lang, p[i:i + k - 1] AS p, max(a) AS most FROM inner_ GROUP BY ALL),
+    kept AS (SELECT f.* FROM f LEFT JOIN longer USING (lang, p) WHERE len(p) > 1 AND (most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a)),
+    parts AS (SELECT lang, p, a, unnest(range(1, len(p))) AS k FROM kept),
+    scored AS (SELECT x.lang, x.p, x.a, x.k, h.a AS l, t.a AS r, (2000000::HUGEINT * x.a // (h.a::HUGEINT + t.a))::BIGINT AS score
+               FROM parts x JOIN f h ON h.lang = x.lang AND h.p = x.p[1:x.k] JOIN f t ON t.lang = x.lang AND t.p = x.p[x.k + 1:]),
+    lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank FROM lowest)
+    SELECT lang, rank, array_to_string(p, ' ') AS phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_karmarkar_karp": op1_karmarkar_karp,
     "op2_hierarchical_mix": op2_hierarchical_mix,
@@ -232,6 +254,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_reply_trees": op9_reply_trees,
     "op10_order_minhash": op10_order_minhash,
     "op11_bit_planes": op11_bit_planes,
+    "op12_quotient_filter": op12_quotient_filter,
 }
 
 ORACLE: dict[str, str] = {
@@ -239,4 +262,5 @@ ORACLE: dict[str, str] = {
     "op7_warc_index": _OP7_SQL,
     "op8_trigram_secrets": _op8_sql(),
     "op9_reply_trees": _OP9_SQL,
+    "op12_quotient_filter": _OP12_SQL,
 }

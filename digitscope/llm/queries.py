@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from digitscope.llm import bpe, chat, collocations, fingerprint, mixing, pq_dedup, secret_scan, sharding, simhash, token_files, toxicity, warc
+from digitscope.llm import bpe, chat, collocations, fingerprint, mixing, pq_dedup, prefix_trie, secret_scan, sharding, simhash, token_files, toxicity, warc
 from digitscope.llm.shared import work_folder
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -242,6 +242,39 @@ _OP12_SQL = r"""
     SELECT lang, rank, array_to_string(p, ' ') AS phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000"""
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    found = prefix_trie.sequences(_table(spark, folder, "conversations"))
+    return prefix_trie.trie(prefix_trie.grafted(found, family=5, most=9))
+
+
+# DuckDB has no CRC-32: a table of the 256 bytes' remainders, by the rule of the reflected polynomial, and one step for each digit.
+_OP13_SQL = r"""
+    WITH RECURSIVE steps(b, k, v) AS (SELECT i::BIGINT, 0, i::BIGINT FROM range(256) AS t(i) UNION ALL
+        SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE k < 8),
+    bytes AS (SELECT b, v FROM steps WHERE k = 8),
+    ids AS (SELECT DISTINCT conv_id, conv_id::VARCHAR AS s FROM conversations WHERE conv_id IS NOT NULL),
+    crc(conv_id, s, i, v) AS (SELECT conv_id, s, 0, 4294967295::BIGINT FROM ids UNION ALL
+        SELECT conv_id, s, i + 1, xor(crc.v >> 8, bytes.v) FROM crc JOIN bytes ON bytes.b = xor(crc.v & 255, ascii(s[i + 1])::BIGINT) WHERE i < length(s)),
+    h AS (SELECT conv_id, xor(v, 4294967295) % 9 AS h FROM crc WHERE i = length(s)),
+    turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+              FROM conversations WHERE conv_id IS NOT NULL),
+    known AS (SELECT role, text, row_number() OVER (ORDER BY role, text) AS id FROM (SELECT DISTINCT role, text FROM turns)),
+    lists AS (SELECT conv_id, list(id ORDER BY pos) AS t FROM turns JOIN known USING (role, text) GROUP BY conv_id),
+    built AS (SELECT x.conv_id, list_concat(coalesce(b.t, [])[1:h], x.t[h + 1:]) AS t FROM lists x JOIN h USING (conv_id) LEFT JOIN lists b ON b.conv_id = x.conv_id - x.conv_id % 5),
+    members AS (SELECT conv_id, t[1:d] AS p, d, d = len(t) AS ends FROM (SELECT conv_id, t, unnest(range(len(t) + 1)) AS d FROM built)),
+    nodes AS (SELECT p, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends) AS ended
+              FROM members GROUP BY p),
+    family AS (SELECT p[1:depth - 1] AS p, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+    figures AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * coalesce(strlen(known.text), 0) AS saved
+             FROM nodes LEFT JOIN family USING (p) LEFT JOIN known ON known.id = p[depth]),
+    under AS (SELECT p[1:d] AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+              FROM (SELECT p, n_children, saved, unnest(range(depth + 1)) AS d FROM figures) GROUP BY ALL)
+    SELECT f.conv_id, f.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens,
+           sha256(coalesce(f.ended, '')) AS ends_sha256
+    FROM figures f JOIN under ON under.p = f.p LEFT JOIN nodes up ON f.depth > 0 AND up.p = f.p[1:f.depth - 1]"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_karmarkar_karp": op1_karmarkar_karp,
     "op2_hierarchical_mix": op2_hierarchical_mix,
@@ -255,6 +288,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_order_minhash": op10_order_minhash,
     "op11_bit_planes": op11_bit_planes,
     "op12_quotient_filter": op12_quotient_filter,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE: dict[str, str] = {
@@ -263,4 +297,5 @@ ORACLE: dict[str, str] = {
     "op8_trigram_secrets": _op8_sql(),
     "op9_reply_trees": _OP9_SQL,
     "op12_quotient_filter": _OP12_SQL,
+    "op13_prefix_trie": _OP13_SQL,
 }

@@ -14,7 +14,7 @@ from digitscope.session import get_session
 from digitscope.sources.index import read_index
 from digitscope.sources.pages import read_pages
 from digitscope.sources.sinks import write_counts_json
-from digitscope.sources.tables import read_numbers
+from digitscope.sources.tables import read_numbers, read_split
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -26,6 +26,7 @@ def _parser() -> argparse.ArgumentParser:
     process.add_argument("--index")
     process.add_argument("--output", required=True)
     process.add_argument("--ledger", help="folder of finished units; a run that has one continues where the last one stopped")
+    process.add_argument("--rejected", action="store_true", help="with a ledger: keep rejected pages with their reasons, as partitions beside the numbers")
     process.add_argument("--summary", help="folder for the digit counts as JSON")
     size = process.add_mutually_exclusive_group()
     size.add_argument("--sample-rate", type=float)
@@ -50,15 +51,16 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "process":
         chosen = (args.index, args.sample_rate, args.sample_count, args.sample_seed, args.consecutive)
         if args.ledger:
-            backfill_numbers(spark, args.dump, args.output, args.ledger, *chosen)
+            backfill_numbers(spark, args.dump, args.output, args.ledger, *chosen, rejected=args.rejected)
         else:
             build_numbers(spark, args.dump, args.output, *chosen)
         if args.summary:
-            write_counts_json(read_numbers(spark, args.output), args.summary)
+            split = args.ledger and args.rejected
+            write_counts_json(read_split(spark, args.output)[0] if split else read_numbers(spark, args.output), args.summary)
     elif args.command == "preview":
         entries = read_index(spark, args.index)
         ids = sample(entries, count=count_up_to(entries, args.count), consecutive=True).select("article_id")
-        numbers = extract_articles(read_pages(spark, args.dump, main_only=True), ids).persist()
+        numbers = extract_articles(read_pages(spark, args.dump, main_only=True, ids=ids)).persist()
         preview_totals(numbers).show()
         preview_digits(numbers).show()
     else:

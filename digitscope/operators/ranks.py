@@ -1,9 +1,9 @@
-"""Exact order statistics without sorting a group in one task, as one lazy plan.
+"""Exact order statistics by radix selection, without sorting a group in one task, as one lazy plan.
 
-Values are counted in logarithmic bins, an order-preserving rounding that gives a few thousand
-bins per group whatever the data. The bins locate each wanted rank; the rows of that bin are
-counted in finer bins, and the distinct values of the finer bin give the answer. Every level is one
-aggregation with partial counts; nothing is collected, stored or switched by size.
+The 64-bit pattern of a double, with the order of negative ones reversed, orders as the doubles do. Its first 16 bits
+are counted per group; the counts say in which of at most 65,536 bins a wanted rank lies; the rows of that bin are counted by the next
+16 bits, and so on, four times in all, until the bin is one value. Every level is one aggregation with partial counts, and no window
+holds more than 65,536 rows however close the values are; nothing is collected, stored or switched by size.
 """
 
 from __future__ import annotations
@@ -12,18 +12,21 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Bins per factor of e: about a thousand per decade, and a thousand times more at the second step.
-_BINS = (500, 500_000)
-# Larger than any bin number, so that bins of positive and negative values stay apart.
-_OFFSET = 10 ** 15
+# Bits of a pattern that are counted on a level, and levels.
+BITS, LEVELS = 16, 4
 
-_VALUE, _COUNT, _BIN, _RANK, _NAME = "_value", "_count", "_bin", "_rank", "_name"
+_VALUE, _COUNT, _BIN, _RANK, _NAME, _KEY = "_value", "_count", "_bin", "_rank", "_name", "_key"
 
 
-def _bin(value: Column, per_e: int) -> Column:
-    """Number of the bin of a value; never reverses an order, because the logarithm never does."""
-    size = F.least(F.floor(F.ln(F.abs(value)) * per_e), F.lit(_OFFSET - 1)) + _OFFSET
-    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0))
+def ordered_bits(value: Column) -> Column:
+    """The pattern of a double as a bigint that orders as the doubles do; negative and positive zero are the same."""
+    bits = F.call_function("java_method", F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.abs(value)).cast("bigint")
+    return F.when(value < 0, -bits).otherwise(bits)
+
+
+def _bin(level: int) -> Column:
+    """The bin of a pattern on a level: its first ``(level + 1) * BITS`` bits."""
+    return F.shiftright(_KEY, 64 - (level + 1) * BITS)
 
 
 def _locate(bins: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
@@ -49,28 +52,28 @@ def order_statistics(df: DataFrame, value: str, positions: Mapping[str, Callable
     """
     by = list(by)
     rows = df.select(*by, F.col(value).cast("double").alias(_VALUE)).where(is_value(F.col(_VALUE)))
-    bins = rows.groupBy(*by, _bin(F.col(_VALUE), _BINS[0]).alias(_BIN)).agg(F.count(F.lit(1)).alias(_COUNT))
+    rows = rows.select(*by, _VALUE, ordered_bits(F.col(_VALUE)).alias(_KEY))
+    bins = rows.groupBy(*by, _bin(0).alias(_BIN)).agg(F.count(F.lit(1)).alias(_COUNT), F.min(_VALUE).alias(_VALUE))
     wanted = F.array(*[
         F.struct(F.lit(name).alias(_NAME), rank(F.col("n")).cast("bigint").alias(_RANK))
         for name, rank in positions.items()
     ])
     sized = bins.withColumn("n", F.sum(_COUNT).over(Window.partitionBy(*by))).select("*", F.inline(wanted))
     found = _locate(sized, [*by, _NAME], _BIN)
-    finer = _rows_of(rows, found, by, 0).groupBy(*by, _NAME, "n", _RANK, _bin(F.col(_VALUE), _BINS[1]).alias(_BIN)).agg(
-        F.count(F.lit(1)).alias(_COUNT))
-    found = _locate(finer, [*by, _NAME], _BIN)
-    values = _rows_of(rows, found, by, 1).groupBy(*by, _NAME, "n", _RANK, _VALUE).agg(F.count(F.lit(1)).alias(_COUNT))
-    return (_locate(values, [*by, _NAME], _VALUE)
-            .select(*by, F.col(_NAME).alias("name"), "n", F.col(_VALUE).alias("value")))
+    for level in range(1, LEVELS):
+        finer = _rows_of(rows, found, by, level - 1).groupBy(*by, _NAME, "n", _RANK, _bin(level).alias(_BIN)).agg(
+            F.count(F.lit(1)).alias(_COUNT), F.min(_VALUE).alias(_VALUE))
+        found = _locate(finer, [*by, _NAME], _BIN)
+    return found.select(*by, F.col(_NAME).alias("name"), "n", F.col(_VALUE).alias("value"))
 
 
 def _rows_of(rows: DataFrame, found: DataFrame, by: Sequence[str], level: int) -> DataFrame:
     """Rows that fall into a located bin, with the rank wanted there."""
-    left, right = rows.withColumn(_BIN, _bin(F.col(_VALUE), _BINS[level])).alias("l"), found.drop(_COUNT).alias("r")
+    left, right = rows.withColumn(_BIN, _bin(level)).alias("l"), found.drop(_COUNT, _VALUE).alias("r")
     same = F.col(f"l.{_BIN}") == F.col(f"r.{_BIN}")
     for key in by:
         same = same & F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
-    kept = [F.col(f"l.{c}") for c in [*by, _VALUE]] + [F.col(f"r.{c}") for c in (_NAME, "n", _RANK)]
+    kept = [F.col(f"l.{c}") for c in [*by, _VALUE, _KEY]] + [F.col(f"r.{c}") for c in (_NAME, "n", _RANK)]
     return left.join(right, same).select(*kept)
 
 

@@ -25,6 +25,12 @@ PAGE = _schema(
     ("revision", _schema(("text", _schema(("_VALUE", T.StringType()))))),
 )
 
+# A page with the raw record where it is no XML.
+PAGE_OR_BROKEN = _schema(*[(f.name, f.dataType) for f in PAGE], ("broken", T.StringType()))
+
+# What a rejected page leaves: the unit it belongs to, why, and the digest of its raw record.
+REJECTED = _schema(("unit_id", T.StringType()), ("reason", T.StringType()), ("digest", T.StringType()))
+
 CATEGORY = _schema(
     ("number_category", T.StringType()),
     ("category_group", T.StringType()),
@@ -49,4 +55,5 @@ LEDGER = _schema(
     ("retries", T.IntegerType()),
     ("error", T.StringType()),
     ("at", T.TimestampType()),
+    ("rejected", T.LongType()),
 )

@@ -29,6 +29,12 @@ def write_numbers(numbers: DataFrame, path: str, mode: str = "overwrite", by_dom
     (writer.partitionBy("domain") if by_domain else writer).parquet(path)
 
 
+def write_split(found: DataFrame, path: str, mode: str = "append", by: str = "unit_id") -> None:
+    """Write numbers and rejected rows (``reason`` not null) of one scan in one job, as partitions ``kind`` and ``by`` of one folder."""
+    rows = found.withColumn("kind", F.when(F.col("reason").isNull(), F.lit("numbers")).otherwise(F.lit("rejected")))
+    rows.hint("rebalance", F.col("kind"), F.col(by)).write.mode(mode).option("compression", "zstd").partitionBy("kind", by).parquet(path)
+
+
 def write_counts_json(numbers: DataFrame, path: str, by: str = "domain") -> None:
     """One JSON line per group: ``{"<group>": {"<digit>": count, ...}}``."""
     nested = F.to_json(F.create_map(F.col(by), F.col("digit_counts")))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from digitscope.rules.categories import BAND_BOUNDS, CATEGORIES, GROUP_DESCRIPTIONS, GROUPS
 from digitscope.rules.units import unit_rows
-from digitscope.schemas import CATEGORY, NUMBERS, UNIT
+from digitscope.schemas import CATEGORY, NUMBERS, REJECTED, UNIT
 
 
 def read_table(spark: SparkSession, path: str, *columns: str, heavy: bool = False) -> DataFrame:
@@ -34,6 +34,13 @@ def read_parts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(NUMBERS).option("ignoreCorruptFiles", True).parquet(path).select(*NUMBERS.names)
 
 
+def read_split(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Numbers (with ``unit_id``) and rejected rows of a folder that ``write_split`` wrote; only the partitions asked for are read."""
+    kinds = T.StructType([*NUMBERS, *REJECTED, T.StructField("kind", T.StringType())])
+    rows = spark.read.schema(kinds).parquet(path)
+    return (rows.where("kind = 'numbers'").select(*NUMBERS.names, "unit_id"), rows.where("kind = 'rejected'").select(*REJECTED.names))
+
+
 def category_dimension(spark: SparkSession) -> DataFrame:
     """The 59 number categories with group, declared band and its bounds, description, examples and notes."""
     groups = dict(GROUPS)

@@ -233,6 +233,17 @@ def _candidate(extra: int) -> str:
     return f"regexp_replace(regexp_extract(after, {_q(pattern)}, 1), '\\.+$', '')"
 
 
+# The faulty dump as it is built, and the first reason to reject a page.
+_ESCAPED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+FAULTY = f"""made AS (SELECT page_id AS p, '<page>' || chr(10) || '<title>' || {_ESCAPED.format('url')} || '</title>' || CASE WHEN page_id % 7 = 2 THEN '' ELSE '<ns>' || page_id % 4 % 3 || '</ns>' END
+        || CASE WHEN page_id % 11 = 5 THEN '' ELSE '<id> ' || CASE WHEN page_id % 19 = 3 THEN 'x' WHEN page_id % 19 = 4 THEN '99999999999999999999' ELSE page_id::VARCHAR END || ' </id>' END
+        || '<revision><id>5</id>' || CASE WHEN page_id % 13 = 6 THEN '' ELSE '<text>' || {_ESCAPED.format('html')} || '</text>' END
+        || CASE WHEN page_id % 17 = 8 THEN '<b>' ELSE '</revision>' END || '</page>' AS page FROM pages),
+    judged AS (SELECT page, reason, CASE WHEN p % 11 <> 5 AND p % 19 NOT IN (3, 4) THEN (p // 100)::VARCHAR END AS unit FROM (SELECT *, CASE
+        WHEN p % 7 <> 2 AND p % 4 % 3 <> 0 THEN 'other_namespace' WHEN p % 17 = 8 THEN 'bad_xml' WHEN p % 7 = 2 THEN 'no_namespace'
+        WHEN p % 11 = 5 THEN 'no_id' WHEN p % 19 IN (3, 4) THEN 'bad_id' WHEN p % 13 = 6 THEN 'no_text' END AS reason FROM made))"""
+
+
 def oracle_sql() -> dict[str, str]:
     ks_table = [p for _, p in sorted(equal_size_ks_pvalues().items())]
     nine = range(1, 10)
@@ -242,6 +253,17 @@ def oracle_sql() -> dict[str, str]:
         "xml_articles": "SELECT page_id AS article_id, url AS title, md5(html) AS text_md5 FROM pages "
                         "WHERE page_id % 3 = 0 AND page_id % 5 <> 4",
         "dump_articles": "SELECT page_id AS article_id, url AS title, md5(html) AS text_md5 FROM pages WHERE page_id % 3 = 0 AND page_id % 5 <> 4",
+        "rejected_pages": f"WITH {FAULTY} SELECT coalesce(unit, 'no id') AS unit_id, reason, sha256(page) AS digest FROM judged WHERE reason IS NOT NULL",
+        "rejected_by_reason": f"WITH {FAULTY} SELECT reason, count(*) AS pages FROM judged WHERE reason IS NOT NULL GROUP BY reason",
+        "units_completed": f"""WITH {DOC_NUMBERS}, per AS (SELECT documents.source, count(DISTINCT doc_id) AS articles, count(*) AS numbers FROM nums JOIN documents USING (doc_id) GROUP BY documents.source)
+            SELECT source AS unit_id, CASE WHEN source = 'src3' THEN 'failed' ELSE 'completed' END AS status, CASE WHEN source = 'src3' THEN 0 ELSE coalesce(articles, 0) END AS articles,
+                   CASE WHEN source = 'src3' THEN 0 ELSE coalesce(numbers, 0) END AS numbers, 0::INTEGER AS retries
+            FROM (SELECT DISTINCT source FROM documents) LEFT JOIN per USING (source)""",
+        "sampled_dump": "SELECT page_id AS article_id, url AS title, md5(html) AS text_md5 FROM pages WHERE page_id % 3 = 0 AND page_id % 5 <> 4 AND page_id % 9 = 0",
+        "group_value_stats_close": """WITH v AS (SELECT event_type, epoch_us(ts) AS value FROM events),
+            o AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM v)
+            SELECT event_type, CAST(floor((max(value::DOUBLE) FILTER (i = (n - 1) // 2) + max(value::DOUBLE) FILTER (i = n // 2)) / 2) AS BIGINT) AS median,
+                   max(value) FILTER (i = least(floor(n * 0.95::DOUBLE), n - 1)) AS p95, max(value) AS max, count(*) AS count FROM o GROUP BY event_type""",
         "numbers_written": f"WITH {DOC_NUMBERS} SELECT doc_id AS article_id, lang AS domain, number, {_category('number', 'context')} AS number_category, "
                            f"{_first('number')} AS first_digit, {_second('number')} AS second_digit FROM nums",
         "counts_json": f"""WITH {DOC_DIGITS}, c AS (SELECT domain, first_digit, count(*) AS n FROM digits WHERE first_digit > 0 GROUP BY ALL)

@@ -16,10 +16,10 @@ from digitscope.operators.ranks import value_stats
 from digitscope.operators.sampling import keep_smallest, sample
 from digitscope.plans.preview import preview_articles, preview_digits, preview_totals
 from digitscope.sources.index import parse_index
-from digitscope.sources.pages import articles, parse_pages, read_pages
-from digitscope.sources.sinks import write_counts_json, write_numbers
-from digitscope.sources.tables import all_units, category_dimension, read_numbers, read_table, units_with_measures
-from digitscope.streaming.ingest import failed, ledger_totals
+from digitscope.sources.pages import articles, judge_pages, parse_pages, read_pages
+from digitscope.sources.sinks import write_counts_json, write_numbers, write_split
+from digitscope.sources.tables import all_units, category_dimension, read_numbers, read_split, read_table, units_with_measures
+from digitscope.streaming.ingest import backfill, failed, ledger_totals, read_ledger, rejected_totals
 from suite.inputs import DIGIT_HEADS, KINDS, SENTENCES, UNIT_PHRASES, WIKITEXT
 
 
@@ -99,8 +99,10 @@ def index_parse(spark, sf):
 
 def _run_folder(spark: SparkSession) -> str:
     """A fresh folder that all executors share; local sessions without one get their own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None and spark.sparkContext.master.startswith("local["):
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="digitscope-suite-")
     return f"{base}/{uuid.uuid4().hex}"
 
@@ -133,6 +135,59 @@ def dump_articles(spark, sf):
     return articles(read_pages(spark, folder, main_only=True)).select("article_id", "title", F.md5("text").alias("text_md5"))
 
 
+def _faulty_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of which some are no XML, or lack namespace, id or text, or have an id that is no number or too large."""
+    def escaped(c: str) -> Column:
+        out = F.replace(F.col(c), F.lit("&"), F.lit("&amp;"))
+        return F.replace(F.replace(out, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+    page = F.col("page_id")
+    own = F.when(page % 19 == 3, "x").when(page % 19 == 4, "99999999999999999999").otherwise(page.cast("string"))
+    parts = [F.lit("\n<title>"), escaped("url"), F.lit("</title>"),
+             F.when(page % 7 == 2, "").otherwise(F.concat(F.lit("<ns>"), (page % 4 % 3).cast("string"), F.lit("</ns>"))),
+             F.when(page % 11 == 5, "").otherwise(F.concat(F.lit("<id> "), own, F.lit(" </id>"))),
+             F.lit("<revision><id>5</id>"),
+             F.when(page % 13 == 6, "").otherwise(F.concat(F.lit("<text>"), escaped("html"), F.lit("</text>"))),
+             F.when(page % 17 == 8, "<b>").otherwise("</revision>")]
+    pages = read_table(spark, f"{sf}/pages.parquet", "page_id", "url", "html", heavy=True)
+    return pages.select(F.concat(F.lit("<siteinfo/>\n<page>"), *parts).alias("value"))
+
+
+def rejected_pages(spark, sf):
+    """Pages of a faulty dump that are no articles, written by one scan with the numbers of the others, and read back."""
+    folder = _run_folder(spark)
+    judged = judge_pages(_faulty_records(spark, sf)).withColumn("unit_id", F.coalesce(F.expr("article_id div 100").cast("string"), F.lit("no id")))
+    found = ds.extract(judged, "text", "article_id", categorize=False, carry=["unit_id", "reason", "digest"], reason="reason")
+    write_split(found, folder)
+    return read_split(spark, folder)[1]
+
+
+def rejected_by_reason(spark, sf):
+    judged = judge_pages(_faulty_records(spark, sf)).withColumn("unit_id", F.lit("all"))
+    return rejected_totals(judged.where("reason IS NOT NULL")).select("reason", "pages")
+
+
+def units_completed(spark, sf):
+    """Ledger after a backfill by source in which one source cannot be read: it fails alone."""
+    folder = _run_folder(spark)
+    docs = _documents(spark, sf, "doc_id", "source", "text")
+    broken = docs.withColumn("text", F.when(F.col("source") == "src3", F.raise_error(F.lit("cannot be read"))).otherwise(F.col("text")))
+    try:
+        backfill(broken, "source", "text", "doc_id", f"{folder}/numbers", f"{folder}/ledger", categorize=False)
+    except Exception as problem:
+        if "cannot be read" not in str(problem):
+            raise
+    return read_ledger(spark, f"{folder}/ledger").select("unit_id", "status", "articles", "numbers", "retries")
+
+
+def sampled_dump(spark, sf):
+    """Articles of a dump whose ids are listed, chosen before anything is parsed."""
+    folder = _run_folder(spark)
+    _xml_records(spark, sf).write.option("lineSep", "</page>").text(folder)
+    ids = read_table(spark, f"{sf}/pages.parquet", "page_id").where("page_id % 9 = 0").select(F.col("page_id").alias("article_id"))
+    return articles(read_pages(spark, folder, main_only=True, ids=ids)).select("article_id", "title", F.md5("text").alias("text_md5"))
+
+
 def numbers_written(spark, sf):
     """The numbers table written by domain and read back."""
     folder = _run_folder(spark)
@@ -377,6 +432,13 @@ def group_value_stats_sparse(spark, sf):
     return _round(value_stats(few, "value", ["event_type"]), "mean", "median", "p95", "max")
 
 
+def group_value_stats_close(spark, sf):
+    """Microseconds since 1970: large values that lie close together."""
+    events = read_table(spark, f"{sf}/events.parquet", "event_type", "ts")
+    return value_stats(events.select("event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("value")), "value", ["event_type"]).select(
+        "event_type", F.col("median").cast("bigint").alias("median"), F.col("p95").cast("bigint").alias("p95"), "max", "count")
+
+
 def category_conformity(spark, sf):
     rows = _measurements(spark, sf).select(
         ds.number_category(F.col("number_text"), F.col("context")).alias("number_category"),
@@ -503,6 +565,6 @@ QUERIES = {f.__name__: f for f in (
     frequencies_one_group, chi_square, mad, mad_band, ks, cumulative_frequencies, summary, summary_orders,
     summary_parts, summary_overall, comparison, deviation_matrix, deviation_matrix_clamped, distinct_groups,
     corpus_totals, preview_summary, preview_distribution, group_value_stats, group_value_stats_sparse, category_conformity,
-    category_info, sample_first_n, sample_hashed, sample_by_rate, first_n_large_ids, first_n_text_ids, grouped_ids, semi_join_sample,
+    rejected_pages, rejected_by_reason, units_completed, sampled_dump, group_value_stats_close, category_info, sample_first_n, sample_hashed, sample_by_rate, first_n_large_ids, first_n_text_ids, grouped_ids, semi_join_sample,
     pending_anti_join, ledger_summary, failed_units, union_of_parts, unit_tag, unit_tag_phrases, unit_union,
 )}

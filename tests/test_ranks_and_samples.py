@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import digitscope as ds
 from digitscope.operators import sampling
 from digitscope.operators.grouping import group_by_offset
+from digitscope.operators.ranks import BITS, LEVELS, ordered_bits
 
 
 def grouped_values():
@@ -34,6 +35,25 @@ def test_value_stats_are_exact(spark):
         assert row.mean == pytest.approx(statistics.mean(values))
 
 
+def test_bits_order_as_doubles_do(spark):
+    rng = random.Random(8)
+    values = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, float("inf"), float("-inf"), 1.0, 1.0000000000000002, -1.0]
+    values += [rng.uniform(-1, 1) * 10 ** rng.randint(-300, 300) for _ in range(500)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", ordered_bits(F.col("v")).alias("b")).collect()
+    assert [r.v for r in sorted(rows, key=lambda r: r.b)] == sorted(values) and rows[0].b == rows[1].b == 0
+
+
+def test_close_values_never_meet_in_a_large_window(spark):
+    """Microseconds of one hour, all distinct: every bin of a level is one of 65,536."""
+    n = 3_000_000
+    start = 1_700_000_000_000_000
+    df = spark.range(n).select(F.lit("g").alias("g"), (F.lit(start) + F.col("id") * 1200).cast("double").alias("v"))
+    (r,) = ds.value_stats(df, "v", ["g"]).collect()
+    assert (r.median, r.p95, r["count"]) == (start + 1200 * (n - 1) / 2, start + 1200 * int(n * 0.95), n)
+    bits = df.select(ordered_bits(F.col("v")).alias("b"))
+    assert BITS == 16 and LEVELS == 4 and bits.select(F.shiftright("b", 48)).distinct().count() <= 65536
+
+
 def test_value_stats_ignore_nulls(spark):
     rows = [("a", v) for v in (5.0, 6.0, 7.0, 8.0, 9.0, None, None, None, None)] + [("b", v) for v in (-5.0, -6.0, -7.0, None, None, None, None)]
     rows += [("c", None), ("c", float("nan")), ("d", float("nan")), ("d", -1.0)]

@@ -151,10 +151,33 @@ def op8_trigram_secrets(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+# Private keys, with expressions of their own: a mark, headers or long runs each with the blanks after it, and a last run.
+_KEYS_SQL = r"""
+    marks AS (SELECT n, text, string_split_regex(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') AS gaps, regexp_extract_all(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') AS found
+              FROM d WHERE contains(text, 'PRIVATE KEY-----')),
+    begun AS (SELECT n, i, found[i] AS mark, gaps[i + 1] AS after, list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda f: length(f))), 0) AS a
+              FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM marks)),
+    cut AS (SELECT *, a + length(mark) AS b, regexp_extract(after, '-----END [A-Z ]*PRIVATE KEY-----') AS ended FROM begun),
+    body AS (SELECT *, CASE WHEN ended = '' THEN after ELSE left(after, strpos(after, ended) - 1) END AS body FROM cut),
+    flat AS (SELECT *, regexp_replace(body, '[\\][nrt]', '  ', 'g') AS f FROM body),
+    rest AS (SELECT *, regexp_replace(f, '(?m)^[ \t]*[A-Z][A-Za-z]+-[A-Z][A-Za-z]+:[^\n]*$', '', 'g') AS r,
+                    rtrim(regexp_extract(f, '^\s*(?:(?:[A-Z][A-Za-z]+-[A-Z][A-Za-z]+:[ \t][^\s]+|[A-Z][A-Za-z]+-[A-Z][A-Za-z]+:|[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9+/]+={1,2})(?:\s+|$))*(?:[A-Za-z0-9+/]+(?:\r?\n|  |$))?'), ' ' || chr(9) || chr(10) || chr(13)) AS taken,
+                    rtrim(regexp_extract(f, '^\s*(?:(?:[A-Z][A-Za-z]+-[A-Z][A-Za-z]+:[ \t][^\s]+|[A-Z][A-Za-z]+-[A-Z][A-Za-z]+:|[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9+/]+={1,2})(?:\s+|$))*'), ' ' || chr(9) || chr(10) || chr(13)) AS plain FROM flat),
+    liked AS (SELECT *, CASE WHEN regexp_matches(taken, '[A-Za-z0-9+/]{16}(?:\r\n|\n|  )[A-Za-z0-9+/]+$') THEN taken ELSE plain END AS k FROM rest),
+    keys AS (SELECT n, CASE WHEN ended <> '' AND (regexp_full_match(r, '\s*') OR regexp_matches(r, '(?:^|\s)[A-Za-z0-9+/]{16,}={0,2}(?:\s|$)')
+                                  AND regexp_full_match(r, '\s*(?:(?:[A-Z][A-Za-z]+-[A-Z][A-Za-z]+:[ \t][^\s]+|[A-Z][A-Za-z]+-[A-Z][A-Za-z]+:|[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9+/]+={1,2})(?:\s+|$))*(?:[A-Za-z0-9+/]+={0,2}\s*)?'))
+                            THEN [{'a': a, 'b': b + length(body) + length(ended)}]
+                            ELSE [{'a': a, 'b': b + CASE WHEN regexp_matches(k, '(?:^|\s)[A-Za-z0-9+/]{16,}={0,2}(?:\s|$)') THEN length(k) ELSE 0 END}]
+                                 || CASE WHEN ended <> '' THEN [{'a': b + length(body), 'b': b + length(body) + length(ended)}] ELSE [] END END AS spans FROM liked)"""
+
+
 def _op8_sql() -> str:
     """Matches and the gaps between them, cut by DuckDB's own expressions, give the offsets."""
     each = []
     for rank, rule in enumerate(secret_scan.RULES):
+        if rule.end:
+            each.append(f"SELECT n, {rank} AS rank, '{rule.kind}' AS kind, s.a AS start, s.b AS stop FROM keys, unnest(spans) AS t(s)")
+            continue
         pattern = rule.pattern.replace("'", "''")
         each.append(f"""
             SELECT n, {rank} AS rank, '{rule.kind}' AS kind, pos + before AS start, pos + before + length(found) AS stop
@@ -168,7 +191,7 @@ def _op8_sql() -> str:
             WHERE found IS NOT NULL AND length(value) >= {rule.least}""")
     listed = "coalesce(string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, rank)"
     return f"""
-        WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents), s AS ({" UNION ALL ".join(each)}),
+        WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents), {_KEYS_SQL}, s AS ({" UNION ALL ".join(each)}),
         g AS (SELECT n, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
                      count(*) FILTER (kind = 'hex') AS n_hex, {listed} FILTER (rank < {len(secret_scan.BASE)}), '') AS base, {listed}, '') AS spans
               FROM s GROUP BY n)

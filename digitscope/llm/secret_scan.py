@@ -31,13 +31,15 @@ def either(words: str) -> str:
 class Rule:
     """A kind of secret. Matches whose ``group`` has fewer than ``least`` characters are dropped.
 
-    The pattern must mean the same in Java and in Python, and must not match the empty string.
+    The pattern must mean the same in Java and in Python, and must not match the empty string. A rule with ``end`` is one for keys
+    between two marks (``pattern`` and ``end``); its spans hold their contents.
     """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
+    end: str | None = None
 
 
 # The base kinds. A run of 32 or more hex digits is the only match of the run, so the
@@ -48,14 +50,16 @@ BASE = (
     Rule("access", "AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", "[0-9a-f]{32,}", 0, 32),
 )
-# A private key reaches from its BEGIN line to its END line. Where END is missing it covers the headers, the base64
-# characters and line breaks that follow, and after blanks long runs (over 20 characters, 400 runs) and a padded last one.
+# A private key: what stands between its marks is headers and long runs of base64, the last of which may be short. Without such contents, or
+# without END, the marks are covered with what follows BEGIN up to the first word that is neither. Escaped line ends count as blanks.
+PEM_BEGIN, PEM_END = "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----END [A-Z ]*PRIVATE KEY-----"
 _B64 = "[A-Za-z0-9+/]"
-PEM = ("-----BEGIN [A-Z ]*PRIVATE KEY-----(?:"
-       "[^-]*(?:-{1,4}[^-]+){0,40}-----END [A-Z ]*PRIVATE KEY-----|"
-       r"(?:[ \t\r\n]*[A-Z][A-Za-z]+-[A-Z][A-Za-z]+:[ \t]*[A-Za-z0-9,-]+){0,4}"
-       r"[A-Za-z0-9+/=\r\n\\]*"
-       rf"(?:[ \t]+{_B64 * 20}[A-Za-z0-9+/=\r\n\\]+){{0,400}}(?:[ \t]+{_B64}*={{1,2}})?)")
+_LONG = _B64 + r"{16,}={0,2}(?!\S)"
+_KEYLIKE = rf"{_LONG}|{_B64}+={{1,2}}(?!\S)|[A-Z][A-Za-z]+-[A-Z][A-Za-z]+:(?!\S)"
+# A word that is no part of a key, nor the value of a header. A short last line after a long one is a part.
+_OTHER = rf"(?<!\S)(?<![A-Za-z]:[ \t])(?!{_KEYLIKE}|(?<={_B64}{{16}}(?:\r\n|\n|  )){_B64}+(?:\r?\n|  |\z))\S"
+_OTHER_INSIDE = rf"(?<!\S)(?<![A-Za-z]:[ \t])(?!{_KEYLIKE}|{_B64}+={{0,2}}\s*\z)\S"
+_HEADER_LINES = r"(?m)^[ \t]*[A-Z][A-Za-z]+-[A-Z][A-Za-z]+:[^\n]*$"
 # Forms of well-known credentials.
 MORE = (
     Rule("github", "gh[pousr]_[A-Za-z0-9]+", 0, 40),
@@ -63,7 +67,7 @@ MORE = (
     Rule("google", "AIza[A-Za-z0-9_-]+", 0, 39),
     Rule("stripe", "[sr]k_live_[A-Za-z0-9]+", 0, 24),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
-    Rule("pem", PEM),
+    Rule("pem", PEM_BEGIN, end=PEM_END),
 )
 RULES = BASE + MORE
 
@@ -170,6 +174,8 @@ def candidates(index: DataFrame, rules: Sequence[Rule], key: str) -> DataFrame:
 
 def spans(text: Column, rule: Rule, order: int) -> Column:
     """Matches of a rule as ``array<struct<start, rank, kind, end>>``; code points, the end exclusive."""
+    if rule.end:
+        return _enclosed(text, rule, order)
     pattern = F.lit(rule.pattern)
     cut = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("found"),
                    (F.regexp_extract_all(text, pattern, F.lit(rule.group))).alias("value"),
@@ -186,6 +192,40 @@ def spans(text: Column, rule: Rule, order: int) -> Column:
     return let(cut, lambda c: F.when(F.size(c["found"]) > 0, placed(c)).otherwise(F.array().cast(SPANS)))
 
 
+def _enclosed(text: Column, rule: Rule, order: int) -> Column:
+    """Spans of keys between marks. Each BEGIN is paired with the first END before the next BEGIN; all steps are linear in the text."""
+    def size(c: Column) -> Column:
+        return F.length(c).cast("bigint")
+
+    def span(start: Column, end: Column) -> Column:
+        return F.array(F.struct(start.alias("start"), F.lit(order).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end")))
+
+    def one(mark: Column, start: Column, after: Column) -> Column:
+        stop = start + size(mark)
+        parts = F.struct(F.get(F.split(after, rule.end, 2), F.lit(0)).alias("body"), F.regexp_extract(after, rule.end, 0).alias("end"))
+
+        def judged(p: Column) -> Column:
+            flat = F.regexp_replace(p["body"], r"\\[nrt]", "  ")  # as long as before
+            closed = p["end"] != ""
+            rest = F.regexp_replace(flat, _HEADER_LINES, "")
+            whole = closed & ~rest.rlike(_OTHER_INSIDE) & (rest.rlike(_LONG) | (F.trim(F.regexp_replace(rest, r"\s", "")) == ""))
+            like = F.regexp_replace(F.get(F.split(flat, _OTHER, 2), F.lit(0)), r"\s+\z", "")
+            kept = F.when(like.rlike(_LONG), size(like)).otherwise(0)
+            last = stop + size(p["body"])
+            return F.when(whole, span(start, last + size(p["end"]))).when(closed, F.concat(span(start, stop + kept), span(last, last + size(p["end"])))).otherwise(
+                span(start, stop + kept))
+
+        return let(parts, judged)
+
+    cut = F.struct(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)).alias("found"), F.split(text, rule.pattern, -1).alias("gaps"))
+
+    def placed(c: Column) -> Column:
+        lengths = F.flatten(F.zip_with(c["gaps"], c["found"], lambda g, f: F.array(size(g), F.coalesce(size(f), F.lit(0).cast("bigint")))))
+        return let(running_sum(lengths), lambda ends: F.flatten(F.transform(c["found"], lambda f, i: one(f, F.get(ends, i * 2), F.get(c["gaps"], i + 1)))))
+
+    return let(cut, lambda c: F.when(F.size(c["found"]) > 0, placed(c)).otherwise(F.array().cast(SPANS)))
+
+
 SPANS = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
 
 

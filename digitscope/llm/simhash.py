@@ -4,11 +4,6 @@ Candidates: the 64 bits are cut into blocks, of which two fingerprints within th
 ``radius``. Every choice of so many blocks makes a table keyed by their bits; enough blocks are taken that
 a key holds some hundred fingerprints on average, and no pair within the radius is missed.
 
-Similarities of shingle sets far below one need a wide radius, at which fingerprints neither find all pairs nor
-only right ones. ``representatives`` therefore takes wider fingerprints (several words mixed from each hash) and bands
-of bits only to propose links, proposes all further pairs that share one of 40 keys of MinHash values, and
-decides each by the exact Jaccard similarity of the shingle sets.
-
 Comparison: the fingerprints of neighbouring keys form a block, whose bit planes are stored vertically, 64
 fingerprints to a word. A query's differing bits are added to the counters of 64 fingerprints at once by
 carry-save adders; cells (one query, 64 fingerprints) are abandoned once all their counters exceed the
@@ -18,14 +13,13 @@ spanning forest, not all its pairs.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from digitscope.llm.components import components, join_labels
 from digitscope.llm.shared import parts, slices, stored
@@ -35,12 +29,6 @@ SEED = 42
 PER_KEY, TILE, BLOCK = 2048, 8192, 512
 # Cells that are counted together, and shingles that are hashed together.
 CELLS, STEP = 1 << 15, 1 << 16
-# Words of a wide fingerprint, and bits of the bands that its candidates share.
-WIDTH, BAND = 4, 12
-# Keys of a shingle set and smallest hashes in each: a pair of similarity s shares none with probability (1 - s^4)^40,
-# 7e-10 at 0.8. The functions are h -> (h ^ FLIP[i]) * ODD[i]; so many hashes are taken at a time.
-KEYS, ROWS, HASHES = 40, 4, 4096
-FLIP, ODD = np.random.default_rng(SEED).integers(0, 1 << 64, (2, KEYS * ROWS, 1), np.uint64) | np.array([[[0]], [[1]]], np.uint64)
 
 
 def _shingle_hashes(text: str | None, words: int) -> list[np.ndarray]:
@@ -58,23 +46,6 @@ def _shingle_hashes(text: str | None, words: int) -> list[np.ndarray]:
             for at in range(0, len(starts), STEP)]
 
 
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """The distinct hashes of the text's word shingles, in order."""
-    found = _shingle_hashes(text, words)
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-
-
-def keys(shingles: np.ndarray) -> list[int]:
-    """The keys of a shingle set as signed integers; none of an empty set."""
-    if not len(shingles):
-        return []
-    least = np.full(KEYS * ROWS, ~np.uint64(0))
-    for at in range(0, len(shingles), HASHES):
-        np.minimum(least, ((shingles[None, at:at + HASHES] ^ FLIP) * ODD).min(1), out=least)
-    row = least.reshape(KEYS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(row[i].tobytes(), i) for i in range(KEYS)], np.uint64).view(np.int64).tolist()
-
-
 def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
     """The hashes for a word of the fingerprint: themselves for the first, else scrambled with its number."""
     if word == 0:
@@ -191,11 +162,6 @@ def _masks(total: int, radius: int) -> list[int]:
     return [sum(some) for some in combinations(own, blocks - radius)]
 
 
-def _bands(width: int) -> list[tuple[int, int]]:
-    """Word and mask of every band of ``BAND`` bits."""
-    return [(w, ((1 << BAND) - 1) << at) for w in range(width) for at in range(0, 64 - BAND + 1, BAND)]
-
-
 def links(prints: DataFrame, radius: int, tables: list[tuple[int, int]] | None = None) -> DataFrame:
     """Links ``(a, b)`` between nodes whose fingerprints share a key and are within ``radius`` bits of each other.
 
@@ -262,6 +228,18 @@ def _grouped(prints: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame
     return prints.join(classes, "node")
 
 
+def _check(radius: int) -> None:
+    if not 0 <= radius <= 8:
+        raise ValueError("the radius must be 0 to 8")
+
+
+def _linked(rows: DataFrame, words: int, radius: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For rows of ``id`` and ``text``: their fingerprints, the distinct ones, and the links between these."""
+    prints = stored(fingerprints(rows, words=words)).withColumnRenamed("w0", "node")
+    nodes = stored(prints.groupBy("node").agg(F.min("id").alias("first")))
+    return prints, nodes, links(nodes.select("node", F.col("node").alias("w0")), radius)
+
+
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """One row per document: ``doc_id``, ``fingerprint`` (bigint), ``component`` (smallest id reachable by links).
 
@@ -270,120 +248,31 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: i
     the smallest other id of their group, or null. All pairs of different fingerprints within the radius
     count; equal ones are one node, however many there are.
     """
-    if not 0 <= radius <= 8:
-        raise ValueError("the radius must be 0 to 8")
-    prints = stored(fingerprints(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), words=words)).withColumnRenamed("w0", "node")
-    nodes = stored(prints.groupBy("node").agg(F.min("id").alias("first")))
-    found = _grouped(prints, nodes, links(nodes.select("node", F.col("node").alias("w0")), radius))
+    _check(radius)
+    found = _grouped(*_linked(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), words, radius))
     return found.select(F.col("id").alias(doc_id), F.col("node").alias("fingerprint"), "component")
 
 
-def wide_radius(similarity: float, width: int) -> int:
-    """Bits in which fingerprints of shingle sets of that Jaccard similarity differ, one deviation above the mean."""
-    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(64 * width * apart + (64 * width * apart * (1 - apart)) ** 0.5)
-
-
-def _sets(rows: DataFrame, words: int, width: int) -> DataFrame:
-    """``id, node`` (hash of the set of shingles), ``size, keys`` and the words of its wide fingerprint. Map-only."""
-    names = ["id", "node", "size", "keys", *_words(width)]
-    schema = rows.select("id", *[F.lit(None).cast(t).alias(n) for n, t in zip(names[1:], ["bigint", "bigint", "array<bigint>"] + ["bigint"] * width)]).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                sets = [shingle_set(t, words) for t in part.column("text").to_pylist()]
-                node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
-                prints = np.array([_majority([x[at:at + STEP] for at in range(0, len(x), STEP)], width) for x in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(node), pa.array([len(x) for x in sets], pa.int64()), pa.array([keys(x) for x in sets], pa.list_(pa.int64())),
-                     *(pa.array(prints[:, w]) for w in range(width))], names)
-
-    return rows.select("id", "text").mapInArrow(run, schema)
-
-
-def _binary(rows: DataFrame, words: int) -> DataFrame:
-    """``node`` and the bytes of its shingle set, for rows of ``node`` and ``text``. Map-only."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                sets = [shingle_set(t, words).tobytes() for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "set"])
-
-    return rows.select("node", "text").mapInArrow(run, "node bigint, set binary")
-
-
-def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``(a, b)`` of nodes whose shingle sets (``node, set``) have at least that Jaccard similarity."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("left"), batch.column("right")):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common / (len(x) + len(y) - common) >= similarity)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("left")), "a") \
-        .join(sets.select(F.col("node").alias("b"), F.col("set").alias("right")), "b")
-    return stored(both.select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint"))
-
-
-def set_links(rows: DataFrame, nodes: DataFrame, words: int, similarity: float, width: int) -> DataFrame:
-    """Links ``(a, b)`` that connect all nodes of shingle sets of the similarity; each link has it.
-
-    First the links that fingerprints propose, and in each key those to one node of it, are verified; they
-    connect most groups with few comparisons. Then all pairs of a key that are not yet connected are.
-    """
-    key = Window.partitionBy("key")
-    keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
-    keyed = stored(keyed.withColumn("lo", F.min("node").over(key)).withColumn("hi", F.max("node").over(key)).where("lo < hi").select("key", "node", "size"))
-    asked = stored(keyed.select("node").distinct())
-    some = nodes.join(asked, "node")
-    texts = rows.select(F.col("id.id").alias("_id"), F.col("id.h").alias("_h"), "text")
-    who = some.select("node", "first")
-    texts = texts.join(who, (F.col("_h") == F.col("first.h")) & F.col("_id").eqNullSafe(F.col("first.id")))
-    sets = stored(_binary(texts, words).groupBy("node").agg(F.first("set").alias("set")))
-    alike = F.least("a_size", "b_size") / F.greatest("a_size", "b_size") >= similarity
-
-    centre = F.min_by(F.struct("node", "size"), F.xxhash64("key", "node")).over(key)
-    stars = keyed.withColumn("c", centre).select(
-        F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"), F.col("size").alias("a_size"), F.col("c.size").alias("b_size"))
-    stars = stars.where(alike & (F.col("a") < F.col("b"))).select("a", "b")
-    wide = links(some.select("node", *_words(width)), wide_radius(similarity, width), _bands(width))
-    first = similar(stored(stars.union(wide.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()), sets, similarity)
-
-    roots = components(first).withColumnRenamed("node", "of")
-    rooted = keyed.join(roots, keyed["node"] == roots["of"], "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    apart = stored(rooted.withColumn("lo", F.min("root").over(key)).withColumn("hi", F.max("root").over(key)).where("lo < hi").select("key", "node", "size", "root"))
-    left, right = (apart.select("key", *[F.col(c).alias(f"{side}{c}") for c in ("node", "size", "root")]) for side in ("a_", "b_"))
-    pairs = left.join(right, "key").where((F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & alike)
-    return first.union(similar(stored(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()), sets, similarity))
-
-
-def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8,
-                    width: int = WIDTH) -> DataFrame:
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """The rows of ``docs`` with one document left of each group of near-duplicates, that of the smallest id.
 
-    Groups are connected by links between texts whose sets of ``words``-word shingles have at least the given Jaccard
-    similarity, which is computed for each link. A pair of just 0.8 is not compared with probability 7e-10.
-    Texts without words are one group. Ids may be null (they come last) or repeated; repeated rows are copies, of
-    which one stays.
+    Groups are those of ``groups``: fingerprints within ``radius`` bits, closed over chains; texts without words have
+    fingerprint zero and are one group with whatever lies near it. Ids may be null (they come last) or repeated; of
+    rows with equal id and text one stays. All columns are kept as they are, whatever their names.
     """
-    hashed = F.xxhash64(text).alias("h")
-    rows = docs.select(F.struct(F.col(doc_id).isNull().alias("null"), F.col(doc_id).alias("id"), hashed).alias("id"), F.col(text).alias("text"))
-    prints = stored(_sets(rows, words, width))
-    nodes = stored(prints.groupBy("node").agg(F.min("id").alias("first"), *[F.first(c).alias(c) for c in ("size", "keys", *_words(width))]))
-    kept = _grouped(prints.select("id", "node"), nodes.select("node", "first"), set_links(rows, nodes, words, similarity, width)).where("id = component")
-    kept = stored(kept.groupBy(F.col("id.id").alias("_id"), F.col("id.h").alias("_h")).agg(F.count("*").alias("_n")))
-    keyed = docs.withColumn("_key", F.xxhash64(text))
+    _check(radius)
+    rows = docs.select(F.struct(F.col(doc_id).isNull().alias("null"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("h")).alias("id"), F.col(text).alias("text"))
+    found = _grouped(*_linked(rows, words, radius)).where("id = component")
+    kept = stored(found.groupBy("id").agg(F.count("*").alias("n")))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
 
     def chosen(which: DataFrame) -> DataFrame:
-        return keyed.join(which, (F.col("_key") == F.col("_h")) & keyed[doc_id].eqNullSafe(which["_id"]), "left_semi")
+        same = (F.xxhash64(f"d.`{text}`") == F.col("id.h")) & F.col(f"d.`{doc_id}`").eqNullSafe(F.col("id.id"))
+        return whole.join(which, same, "left_semi")
 
-    once = chosen(kept.where("_n = 1")).drop("_key")
-    if not kept.where("_n > 1").limit(1).count():
+    once = chosen(kept.where("n = 1")).select("d.*")
+    if not kept.where("n > 1").limit(1).count():
         return once
     # Repeated rows: one of each, combined before the shuffle.
-    again = chosen(kept.where("_n > 1")).groupBy(doc_id, "_key").agg(F.min(F.struct(*docs.columns)).alias("d")).select("d.*")
-    return once.unionByName(again)
+    again = chosen(kept.where("n > 1")).groupBy(F.col(f"d.`{doc_id}`").alias("id"), F.xxhash64(f"d.`{text}`").alias("h")).agg(F.min("d").alias("d"))
+    return once.unionByName(again.select("d.*"))

@@ -4,16 +4,28 @@ import re
 
 import public_tokenizers
 import tiktoken
+import xxhash
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
-from digitscope.llm import mixing, queries, secret_scan, simhash, toxicity
+from test_secret_scan import slow_key_spans
+
+from digitscope.llm import mixing, queries, secret_scan, toxicity
+
+
+def slow_print(text):
+    """SimHash of four-word shingles, told anew: XXH64 with seed 42, majority of each bit."""
+    found = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    grams = [" ".join(found[i:i + 4]) for i in range(len(found) - 3)] or [" ".join(found)] * bool(found)
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
 def slow_near_duplicates_out(docs):
-    radius, bands = simhash.wide_radius(0.8, 4), simhash._bands(4)
+    """One document of each group connected by fingerprints at four or fewer differing bits."""
     docs = sorted(docs, key=lambda d: d["doc_id"])
-    prints = [simhash.fingerprint(d["text"], 5, 4) for d in docs]
+    prints = [slow_print(d["text"]) for d in docs]
     root = list(range(len(docs)))
 
     def find(i):
@@ -23,7 +35,7 @@ def slow_near_duplicates_out(docs):
 
     for i in range(len(docs)):
         for j in range(i):
-            if sum(bin(x ^ y).count("1") for x, y in zip(prints[i], prints[j])) <= radius and any(prints[i][w] & m == prints[j][w] & m for w, m in bands):
+            if bin(prints[i] ^ prints[j]).count("1") <= 4:
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     return [d for i, d in enumerate(docs) if find(i) == i]
@@ -34,6 +46,9 @@ def slow_secrets_out(docs):
     for d in docs:
         text, covered = d["text"] or "", set()
         for rule in secret_scan.RULES:
+            if rule.end:
+                covered.update(slow_key_spans(text))
+                continue
             for m in re.finditer(rule.pattern, text):
                 if len(m.group(rule.group)) >= rule.least:
                     covered.add((m.start(), m.end()))
@@ -95,3 +110,17 @@ def test_stages_on_odd_rows(spark):
     (r,) = pipeline.secrets_out(spark, docs.where("doc_id = 2").limit(1), folder).collect()
     assert r.text == "a [secret]" and r.n_chars == 10
     assert len(pipeline.STAGES) == 5
+
+
+def test_stages_with_the_names_that_operators_use_inside(spark):
+    """Columns named like the operators' own come out of every stage as they went in."""
+    names = ["_score", "score", "spans", "remain", "whole", "last", "leaf", "epoch", "tokens", "_domain", "domain", "_up", "_name", "_any", "_named", "_other",
+             "_key", "_h", "_id", "id", "key", "kinds", "d", "doc", "n", "h", "node", "w0", "identity", "key0", "label", "a.b"]
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(60)
+    wide = docs.select("*", *[F.concat(F.lit(f"{n} "), F.col("doc_id")).alias(n) for n in names])
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, wide, folder)
+        assert out.columns == wide.columns, name
+        rows = out.collect()
+        assert len(rows) > 10 and all(list(r)[5:] == [f"{n} {r.doc_id}" for n in names] for r in rows), name

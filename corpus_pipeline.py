@@ -19,24 +19,26 @@ MIXED = 0.9
 def toxic_out(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents whose toxicity score is below one half; the classifier learns from the labelled ones among them."""
     model = toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
-    return toxicity.score(docs, model, name="_score").where("_score < 0.5").select(*docs.columns)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col("text").alias("text"))
+    return toxicity.score(whole, model).where("score < 0.5").select("d.*")
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of texts whose five-word shingles are similar to 0.8 or more; SimHash and MinHash propose links, exact Jaccard decides."""
-    return simhash.representatives(docs, words=5, similarity=0.8)
+    """One document of each group of SimHash near-duplicates: four-word shingles, at most four differing bits."""
+    return simhash.representatives(docs, words=4, radius=4)
 
 
 def secrets_out(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """All documents, their secrets masked; ``n_chars`` follows the text."""
     masked = secret_scan.masked(docs)
-    return masked.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    length = F.when(F.col("text").isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return masked.withColumn("n_chars", length)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents taken in one epoch to fill nine tenths of all words by the weights of domains, languages and sources."""
-    with_domain = docs.withColumn("_domain", queries.domain(F.col("source")))
-    return mixing.mix(with_domain, queries.WEIGHTS, ("_domain", "lang", "source"), queries.words(F.col("text")), MIXED).select(*docs.columns)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), "doc_id", "text", "lang", "source", queries.domain(F.col("source")).alias("domain"))
+    return mixing.mix(whole, queries.WEIGHTS, ("domain", "lang", "source"), queries.words(F.col("text")), MIXED).select("d.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -92,11 +92,13 @@ def test_file_round_trip_and_index(kind):
             token_files.File(broken)
 
 
-def test_documents_on_odd_rows(spark, library):
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_documents_on_odd_rows(spark, library, monkeypatch, most):
+    monkeypatch.setattr(token_files, "BROADCAST", most)
     rows = [(5, None), (None, "no id here"), (3, ""), (-4, "first of all"), (1 << 40, "z " * 30_000), (9, "tie one")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "2 as hash", "3 as copy", "4 as value", "5 as start")
     folder = work_folder(spark)
-    token_files.write(docs, folder, VOCABULARY, block=64)
+    token_files.write(docs, folder, VOCABULARY, block=64, kind="bit")
     assert result(token_files.documents(spark, folder)) == brute_force(library, rows)
     index = token_files.chunk_index(spark, folder).collect()
     assert sum(r.n_ids for r in index) == sum(r[2] for r in brute_force(library, rows)) and all(len(r.plane_bytes) == 32 for r in index)

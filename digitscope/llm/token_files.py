@@ -34,9 +34,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from digitscope.llm.shared import parts, slices, stored
 
 # Ids in a block, and in a file before it ends with the next document.
-BLOCK, FILE_IDS = 1 << 16, 1 << 22
+BLOCK, FILE_IDS = 1 << 16, 1 << 21
 # Runs of text that a worker remembers, words that are encoded in one call, and bytes of text that are cut together.
-REMEMBERED, TOGETHER, TEXTS = 1 << 19, 512, 12_000_000
+REMEMBERED, TOGETHER, TEXTS = 1 << 19, 512, 3_000_000
 # Parts whose totals are summed up in one window, and files whose places are broadcast at most (16 bytes each, some 50 MB as a table).
 SUMMED, BROADCAST = 1024, 1 << 20
 

@@ -1,55 +1,80 @@
 """Order MinHash fingerprints of documents, in DataFrame functions only.
 
-A text's units are its runs of characters that are not white space, in pieces of up to ``UNIT`` characters;
-its k-mers are ``K`` units long and numbered by occurrence, so that repeats count. The ``KEPT`` numbered
-k-mers of the smallest hashes are taken in text order, and every ``TUPLE`` neighbours among them are hashed
-together. The set of these hashes changes with each edit near a kept k-mer and with each change of order.
+A text's k-mers are its ``K`` code points from every position on (a shorter text is one k-mer), numbered by
+occurrence, so that repeats count. The ``KEPT`` numbered k-mers of the smallest hashes are taken in text order, and
+every ``TUPLE`` neighbours among them are hashed together. An edit of one code point changes ``K`` k-mers at most, and the set
+of these hashes changes with each edit near a kept k-mer and with each change of order.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from digitscope.functions.lets import let, running_sum
+from digitscope.functions.lets import let
 from digitscope.llm.shared import parts
 
-UNIT, K, KEPT, TUPLE = 8, 3, 64, 3
+K, KEPT, TUPLE = 8, 64, 3
+# Bits of a position; above them stand 32 bits of a k-mer's hash, so that a plain sort of numbers groups equal k-mers in text order.
+PLACE = 31
 
 
-def _numbered(hashes: Column) -> Column:
-    """Hashes of (k-mer, how many equal ones came before), in text order."""
-    by_hash = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+def _kmers(text: Column) -> Column:
+    """(32 bits of the hash, position) of every k-mer of a text that is not empty, as one number each."""
+    def joined(c: Column) -> Column:
+        fours = F.transform(c, lambda x, i: F.xxhash64(x, *[F.get(c, i + j) for j in range(1, K // 2)]))
+        return let(fours, lambda f: F.transform(F.sequence(F.lit(0), F.greatest(F.size(f) - K, F.lit(0))), lambda i: F.shiftleft(
+            F.shiftrightunsigned(F.xxhash64(F.get(f, i), F.get(f, i + K // 2)), 32), PLACE).bitwiseOR(i.cast("bigint"))))
 
-    def number(s: Column) -> Column:
-        first = F.transform(s, lambda x, i: F.when((i == 0) | (x["h"] != F.get(s, i - 1)["h"]), i))
-        runs = F.struct(F.filter(first, lambda i: i.isNotNull()).alias("starts"),
-                        running_sum(F.transform(first, lambda i: F.when(i.isNull(), F.lit(0)).otherwise(F.lit(1)).cast("bigint"))).alias("run"))
-        return let(runs, lambda r: F.transform(F.sort_array(F.transform(s, lambda x, i: F.struct(
-            x["i"].alias("i"), F.xxhash64(x["h"], (i - F.get(r["starts"], F.get(r["run"], i).cast("int") - 1))).alias("h")))), lambda x: x["h"]))
+    return let(F.split(text, "", -1), joined)
 
-    none_twice = F.size(F.array_distinct(hashes)) == F.size(hashes)
-    return F.when(none_twice, F.transform(hashes, lambda h: F.xxhash64(h, F.lit(0)))).otherwise(let(by_hash, number))
 
+def _numbered(kmers: Column) -> Column:
+    """For the sorted k-mers hashes of (k-mer, how many equal ones came before), in the same order."""
+    def starts(s: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: ~F.shiftright(F.get(s, i), PLACE).eqNullSafe(F.shiftright(F.get(s, i - 1), PLACE)))
 
-def signature(text: Column) -> Column:
-    """Sorted distinct tuple hashes (32 bits each, ``array<bigint>``) of the whole text; none without units."""
-    units = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"\S{{1,{UNIT}}}"), F.lit(0))
-    none = F.array().cast("array<bigint>")
+    def number(s: Column, first: Column) -> Column:
+        def run(at: Column, j: Column) -> Column:
+            h, more = F.shiftright(F.get(s, at), PLACE), F.coalesce(F.get(first, j + 1), F.size(s)) - at - 1
+            return F.when(more == 0, F.array(F.xxhash64(h, F.lit(0)))).otherwise(F.transform(F.sequence(F.lit(0), more), lambda k: F.xxhash64(h, k)))
+
+        return F.flatten(F.transform(first, run))
+
+    return let(starts(kmers), lambda first: number(kmers, first))
+
+
+def _smallest(hashes: Column) -> Column:
+    """Places of the ``KEPT`` smallest hashes and of those equal to the largest of them.
 
-    def kmers(u: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(u) - K, F.lit(0))),
-                           lambda i: F.xxhash64(*[F.get(u, i + j) for j in range(K)]))
+    Hashes are spread evenly, so twice as many lie below a bound known beforehand; all are sorted only where too few do.
+    """
+    count = F.size(hashes)
+    bound = F.when(count <= 4 * KEPT, F.lit((1 << 63) - 1)).otherwise(
+        (F.lit(2.0 * KEPT * 2 ** 64) / count - 2.0 ** 63).cast("bigint"))
+    every = F.sequence(F.lit(0), count - 1)
+
+    def least(places: Column) -> Column:
+        found = F.sort_array(F.transform(places, lambda i: F.get(hashes, i)))
+        last = F.get(found, F.least(F.size(places), F.lit(KEPT)) - 1)
+        return let(last, lambda b: F.filter(places, lambda i: F.get(hashes, i) <= b))
+
+    below = let(bound, lambda b: F.filter(every, lambda i: F.get(hashes, i) <= b))
+    return let(below, lambda places: least(F.when(F.size(places) >= KEPT, places).otherwise(every)))
 
-    def kept(numbered: Column) -> Column:
-        bound = F.get(F.sort_array(numbered), F.least(F.size(numbered), F.lit(KEPT)) - 1)
-        return let(bound, lambda b: F.filter(numbered, lambda h: h <= b))
+
+def signature(text: Column) -> Column:
+    """Sorted distinct tuple hashes (32 bits each, ``array<bigint>``) of the whole text; none for null and empty texts."""
+    def kept(s: Column, hashes: Column) -> Column:
+        mask = F.lit((1 << PLACE) - 1).cast("bigint")
+        there = F.transform(_smallest(hashes), lambda i: F.struct(F.get(s, i).bitwiseAND(mask).alias("at"), F.get(hashes, i).alias("h")))
+        return F.transform(F.sort_array(there), lambda x: x["h"])
 
     def tuples(k: Column) -> Column:
         return F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(k) - TUPLE, F.lit(0))), lambda i:
             F.shiftrightunsigned(F.xxhash64(*[F.get(k, i + j) for j in range(TUPLE)]), 32))))
 
-    return let(units, lambda u: F.when(F.size(u) == 0, none).otherwise(
-        let(kmers(u), lambda h: let(_numbered(h), lambda n: let(kept(n), tuples)))))
+    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<bigint>")).otherwise(
+        let(F.sort_array(_kmers(text)), lambda s: let(_numbered(s), lambda n: let(kept(s, n), tuples))))
 
 
 def likeness(a: Column, b: Column) -> Column:

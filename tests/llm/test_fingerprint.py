@@ -1,6 +1,5 @@
 import hashlib
 import random
-import re
 
 import xxhash
 from pyspark.sql import functions as F
@@ -26,12 +25,14 @@ class Long(int):
 
 
 def slow_signature(text):
-    units = re.findall(r"[^ \t\n\x0b\f\r]{1,8}", text or "")
-    if not units:
+    """By every run of K code points; K-mers are told apart by 32 bits, as documented."""
+    text, half = text or "", omh.K // 2
+    if not text:
         return []
-    kmers = [chain(units[i:i + omh.K]) for i in range(max(len(units) - omh.K, 0) + 1)]
     seen, numbered = {}, []
-    for h in kmers:
+    for i in range(max(len(text) - omh.K, 0) + 1):
+        two = [chain(list(text[i + j:i + j + half])) for j in (0, half) if text[i + j:]]
+        h = chain([Long(x) for x in two]) >> 32
         numbered.append(signed(chain([Long(h), seen.get(h, 0)])))
         seen[h] = seen.get(h, 0) + 1
     bound = sorted(numbered)[:omh.KEPT][-1]
@@ -68,6 +69,18 @@ def test_nearer_texts_are_liker(spark):
     assert like[0] == 1 and like[1] > 0.85 and like[2] > like[3] > like[4] and like[4] < 0.05
 
 
+def test_edits_in_runs_without_blanks(spark):
+    pick = random.Random(11)
+    run = "".join(pick.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(4000))
+    spaced = " ".join(run[i:i + 9] for i in range(0, 4000, 9))
+    texts = [run, "q" + run, run[:2000] + "q" + run[2000:], run[:1000] + run[1001:], spaced, spaced.replace(" ", "\n\n")]
+    got = [r.s for r in spark.createDataFrame(list(enumerate(texts)), "i int, text string").orderBy("i").select(omh.signature(F.col("text")).alias("s")).collect()]
+    assert got == [slow_signature(t) for t in texts]
+    inserted = [slow_likeness(got[0], slow_signature(run[:i] + "q" + run[i:])) for i in range(0, 4001, 100)]
+    assert sum(inserted) / len(inserted) >= 0.9 and min(inserted) > 0.7
+    assert slow_likeness(got[4], got[5]) < 0.5
+
+
 def slow_rows(rows):
     """The whole query by hand; rows of (id, text)."""
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed(chain([r[1] or ""]))))

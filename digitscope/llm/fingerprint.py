@@ -1,80 +1,76 @@
-"""Order MinHash fingerprints of documents, in DataFrame functions only.
+"""Order MinHash fingerprints of documents.
 
 A text's k-mers are its ``K`` code points from every position on (a shorter text is one k-mer), numbered by
 occurrence, so that repeats count. The ``KEPT`` numbered k-mers of the smallest hashes are taken in text order, and
 every ``TUPLE`` neighbours among them are hashed together. An edit of one code point changes ``K`` k-mers at most, and the set
 of these hashes changes with each edit near a kept k-mer and with each change of order.
+
+Signatures are an Arrow function, one vectorised pass over each text: array functions cost several times as much as the
+operator may (figures in the README). All else is DataFrame functions.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, LongType
 
-from digitscope.functions.lets import let
 from digitscope.llm.shared import parts
 
 K, KEPT, TUPLE = 8, 64, 3
-# Bits of a position; above them stand 32 bits of a k-mer's hash, so that a plain sort of numbers groups equal k-mers in text order.
-PLACE = 31
-
-
-def _kmers(text: Column) -> Column:
-    """(32 bits of the hash, position) of every k-mer of a text that is not empty, as one number each."""
-    def joined(c: Column) -> Column:
-        fours = F.transform(c, lambda x, i: F.xxhash64(x, *[F.get(c, i + j) for j in range(1, K // 2)]))
-        return let(fours, lambda f: F.transform(F.sequence(F.lit(0), F.greatest(F.size(f) - K, F.lit(0))), lambda i: F.shiftleft(
-            F.shiftrightunsigned(F.xxhash64(F.get(f, i), F.get(f, i + K // 2)), 32), PLACE).bitwiseOR(i.cast("bigint"))))
-
-    return let(F.split(text, "", -1), joined)
-
-
-def _numbered(kmers: Column) -> Column:
-    """For the sorted k-mers hashes of (k-mer, how many equal ones came before), in the same order."""
-    def starts(s: Column) -> Column:
-        return F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: ~F.shiftright(F.get(s, i), PLACE).eqNullSafe(F.shiftright(F.get(s, i - 1), PLACE)))
-
-    def number(s: Column, first: Column) -> Column:
-        def run(at: Column, j: Column) -> Column:
-            h, more = F.shiftright(F.get(s, at), PLACE), F.coalesce(F.get(first, j + 1), F.size(s)) - at - 1
-            return F.when(more == 0, F.array(F.xxhash64(h, F.lit(0)))).otherwise(F.transform(F.sequence(F.lit(0), more), lambda k: F.xxhash64(h, k)))
-
-        return F.flatten(F.transform(first, run))
-
-    return let(starts(kmers), lambda first: number(kmers, first))
-
-
-def _smallest(hashes: Column) -> Column:
-    """Places of the ``KEPT`` smallest hashes and of those equal to the largest of them.
-
-    Hashes are spread evenly, so twice as many lie below a bound known beforehand; all are sorted only where too few do.
-    """
-    count = F.size(hashes)
-    bound = F.when(count <= 4 * KEPT, F.lit((1 << 63) - 1)).otherwise(
-        (F.lit(2.0 * KEPT * 2 ** 64) / count - 2.0 ** 63).cast("bigint"))
-    every = F.sequence(F.lit(0), count - 1)
-
-    def least(places: Column) -> Column:
-        found = F.sort_array(F.transform(places, lambda i: F.get(hashes, i)))
-        last = F.get(found, F.least(F.size(places), F.lit(KEPT)) - 1)
-        return let(last, lambda b: F.filter(places, lambda i: F.get(hashes, i) <= b))
-
-    below = let(bound, lambda b: F.filter(every, lambda i: F.get(hashes, i) <= b))
-    return let(below, lambda places: least(F.when(F.size(places) >= KEPT, places).otherwise(every)))
+# Odd multiplier that joins two hashes, and what stands for code points after the end of a text shorter than a k-mer.
+JOIN, PAST = np.uint64(0x9E3779B97F4A7C15), 0xFFFFFFFF
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Bijective scrambling of 64 bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _kmers(text: str) -> np.ndarray:
+    """Hashes of the k-mers, by joining neighbours, pairs and fours."""
+    h = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    if len(h) < K:
+        h = np.append(h, np.full(K - len(h), PAST, np.uint64))
+    width = 1
+    while width < K:
+        h = _mixed(h[:-width] * JOIN + h[width:])
+        width *= 2
+    return h
+
+
+def _signature(text: str) -> np.ndarray:
+    if not text:
+        return np.zeros(0, np.int64)
+    kmers = _kmers(text)
+    order = np.argsort(kmers, kind="stable")
+    s, at = kmers[order], np.arange(len(kmers))
+    start = np.maximum.accumulate(np.where(np.append(True, s[1:] != s[:-1]), at, 0))
+    numbered = _mixed(s + (at - start).astype(np.uint64) * JOIN)
+    if len(numbered) > KEPT:
+        few = np.flatnonzero(numbered <= np.partition(numbered, KEPT - 1)[KEPT - 1])
+        order, numbered = order[few], numbered[few]
+    kept = numbered[np.argsort(order)]
+    many = max(len(kept) - TUPLE, 0) + 1
+    joined = np.zeros(many, np.uint64)
+    for j in range(min(TUPLE, len(kept))):
+        joined = _mixed(joined * JOIN + kept[j:j + many])
+    return np.unique(joined >> np.uint64(32)).astype(np.int64)
+
+
+@F.arrow_udf(ArrayType(LongType()))
+def _signatures(texts: pa.Array) -> pa.Array:
+    found = [_signature(t.as_py()) for t in texts]
+    ends = np.cumsum([0, *(len(f) for f in found)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
 
 
 def signature(text: Column) -> Column:
     """Sorted distinct tuple hashes (32 bits each, ``array<bigint>``) of the whole text; none for null and empty texts."""
-    def kept(s: Column, hashes: Column) -> Column:
-        mask = F.lit((1 << PLACE) - 1).cast("bigint")
-        there = F.transform(_smallest(hashes), lambda i: F.struct(F.get(s, i).bitwiseAND(mask).alias("at"), F.get(hashes, i).alias("h")))
-        return F.transform(F.sort_array(there), lambda x: x["h"])
-
-    def tuples(k: Column) -> Column:
-        return F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(k) - TUPLE, F.lit(0))), lambda i:
-            F.shiftrightunsigned(F.xxhash64(*[F.get(k, i + j) for j in range(TUPLE)]), 32))))
-
-    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<bigint>")).otherwise(
-        let(F.sort_array(_kmers(text)), lambda s: let(_numbered(s), lambda n: let(kept(s, n), tuples))))
+    return _signatures(F.coalesce(text, F.lit("")))
 
 
 def likeness(a: Column, b: Column) -> Column:

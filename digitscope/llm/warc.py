@@ -22,8 +22,10 @@ from digitscope.llm.shared import parts, stored
 
 # Payloads of fewer bytes are always stored.
 LEAST_REVISIT = 1000
-# Records of an archive file, and captures that one task merges.
-FILE_RECORDS, MERGED = 1000, 200_000
+# Records of an archive file and bytes of their URLs and payloads at most (a larger record stands alone), and captures that one task merges.
+FILE_RECORDS, FILE_BYTES, MERGED = 1000, 1 << 27, 200_000
+# Seconds over which default timestamps are spread: years of four digits for any page id.
+SPAN = 1 << 31
 # Separators and the profile of revisits by digest.
 LINE, END = "\r\n", "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -113,14 +115,29 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
 
     Among equal payloads of at least 1000 bytes the largest page id is the response and the others revisit
     it. A null html is an empty payload and a null url an empty one; a null id is always a response, and rows
-    repeated with the largest id all are. ``time`` gives the capture's timestamp; by default one second per page id.
+    repeated with the largest id all are. ``time`` gives the capture's timestamp; by default one second per page id,
+    round a circle of ``SPAN`` seconds.
+
+    A file is read back as one value, so it holds at most ``FILE_RECORDS`` records and about ``FILE_BYTES`` bytes: records go
+    by size into files of 1000, 100, 10 records or one, each size in a write of its own where the table has such records.
     """
-    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce(F.col(page_id), F.lit(0))) if time is None else time
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.coalesce(F.col(page_id).cast("bigint"), F.lit(0)), F.lit(SPAN))) if time is None else time
     rows = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("payload"),
                         F.date_format(F.coalesce(at, F.timestamp_seconds(F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"))
     revisits = _revisits(rows)
     rows = rows.withColumn("same", F.sha2("payload", 256)).join(revisits, ["page_id", "same"], "left")
-    rows.select(_record(rows).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(folder)
+    size = F.octet_length("payload") + F.octet_length(F.coalesce("url", F.lit("")))
+    largest = pages.select(F.octet_length(F.coalesce(F.col(html), F.lit(""))).alias("payload"), F.octet_length(F.coalesce(F.col(url), F.lit(""))).alias("url")) \
+        .agg(F.max(F.col("payload").cast("bigint") + F.col("url"))).first()[0] or 0
+    records, least = FILE_RECORDS, -1
+    while records:
+        most = FILE_BYTES // records if records > 1 else largest
+        chosen = rows if least < 0 and largest <= most else rows.where((size > least) & (size <= most))
+        chosen.select(_record(rows).alias("value")).write.mode("error" if least < 0 else "append") \
+            .option("lineSep", END).option("maxRecordsPerFile", records).text(folder)
+        if largest <= most:
+            break
+        records, least = max(1, records // 10), most
 
 
 def _page(name: bytes) -> int | None:

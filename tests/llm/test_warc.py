@@ -59,6 +59,41 @@ def test_round_trip(spark, tmp_path, monkeypatch):
     assert warc.history(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    monkeypatch.setattr(warc, "FILE_RECORDS", 100)
+    data = [(i, "http://a.b/", "x" * (i * 7)) for i in range(100)] + [(200 + i, "http://c.d/", "y" * (300 * i)) for i in range(1, 30)] + [(300, "u" * 30_000, None)]
+    warc.write(spark.createDataFrame(data, "page_id long, url string, html string").coalesce(1), f"{tmp_path}/w")
+    got = warc.history(spark, f"{tmp_path}/w").collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in got) == sorted((p, len(h or "")) for p, _, h in data)
+    sizes = {}
+    for r in got:
+        sizes.setdefault(r.file, []).append(r.payload_bytes + len(r.url))
+    assert all(sum(s) <= 20_000 or len(s) == 1 for s in sizes.values()) and any(len(s) > 1 for s in sizes.values())
+    assert max(len(s) for s in sizes.values()) <= 100
+
+
+def test_any_page_id(spark, tmp_path):
+    ids = [2 ** 60, -(2 ** 60), 2 ** 63 - 1, -1, 0, 9 * 10 ** 12, 26 * 10 ** 10]
+    warc.write(spark.createDataFrame([(i, "http://a.b/", "x") for i in ids], "page_id long, url string, html string"), f"{tmp_path}/w")
+    got = warc.history(spark, f"{tmp_path}/w").collect()
+    assert sorted(r.page_id for r in got) == sorted(ids) and all(len(r.timestamp) == 20 for r in got)
+    assert [r.timestamp for r in got] == sorted(r.timestamp for r in got)
+
+
+def test_query_on_repeated_payloads(spark, tmp_path):
+    data = [(i, f"http://h{i % 3}.org/", ("large " * 400) + str(i % 4)) for i in range(60)] + [(100 + i, "http://h.org/", "small") for i in range(5)]
+    data += [(200 + i, "http://h.org/", "é" * size) for i, size in enumerate((499, 500, 500, 499))]
+    spark.createDataFrame(data, "page_id long, url string, html string").repartition(4).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in queries.op7_warc_index(spark, str(tmp_path)).collect()}
+    last = {h: max(p for p, _, x in data if x == h) for _, _, h in data}
+    for page, _, html in data:
+        again = len(html.encode()) >= 1000 and page < last[html]
+        assert (got[page].record_type, got[page].refers_to) == (("revisit", last[html]) if again else ("response", None))
+        assert got[page].payload_digest == hashlib.sha1(html.encode()).hexdigest() and got[page].payload_bytes == len(html.encode())
+    assert sum(r.record_type == "revisit" for r in got.values()) == 57
+
+
 def test_damage_is_noticed():
     record = (b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Date: d\r\nWARC-Target-URI: u\r\n"
               b"WARC-Payload-Digest: sha1:0\r\nContent-Length: 41\r\n\r\nHTTP/1.1 200 OK\r\nContent-Length: 1\r\n\r\nabc\r\n\r\n")

@@ -1,7 +1,8 @@
 """Toxicity classifier on the words of a text, regularised by counterfactuals.
 
 Logistic regression on the presence of words and of word beginnings. For every labelled text that mentions an identity term, the
-term is swapped for the other terms of its group and for none; the squared change of the text's logit is
+term is swapped for the other terms of its group and for none; into a seeded part of all labelled texts the terms of
+a group are inserted, so that terms are held neutral which no labelled text names. The squared change of the text's logit is
 added to the loss. Mentions of a group then carry no score of their own, and texts that only name a group
 are not rejected.
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,10 +26,12 @@ from digitscope.llm.shared import slices, stored
 
 # Labelled rows that are used at most, words of the model at most, and labelled rows a word stands in at least.
 SAMPLE, WORDS, LEAST = 20_000, 4096, 8
+# Part of the labelled texts that get the terms of a group.
+INSERTED = 0.25
 # Letters of a word's beginning.
 BEGINNING = 5
 
-# Groups of terms that are swapped with each other.
+# Groups of terms that are swapped with each other, in English, German, French and Spanish.
 IDENTITY = (
     ("women", "men"),
     ("woman", "man"),
@@ -40,6 +44,33 @@ IDENTITY = (
     ("immigrants", "refugees", "citizens"),
     ("disabled", "deaf", "blind"),
     ("young", "old", "elderly"),
+    ("frauen", "männer"),
+    ("frau", "mann"),
+    ("mädchen", "jungen"),
+    ("christ", "muslim", "jude", "hindu", "buddhist", "atheist"),
+    ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "latinos"),
+    ("schwul", "lesbisch", "heterosexuell", "transgender"),
+    ("einwanderer", "flüchtling", "bürger"),
+    ("behindert", "gehörlos", "blind"),
+    ("femmes", "hommes"),
+    ("femme", "homme"),
+    ("filles", "garçons"),
+    ("chrétien", "musulman", "juif", "hindou", "bouddhiste", "athée"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "latinos"),
+    ("gay", "lesbienne", "hétérosexuel", "transgenre"),
+    ("immigré", "réfugié", "citoyen"),
+    ("handicapé", "sourd", "aveugle"),
+    ("mujeres", "hombres"),
+    ("mujer", "hombre"),
+    ("niñas", "niños"),
+    ("cristiano", "musulmán", "judío", "hindú", "budista", "ateo"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "latinos"),
+    ("gay", "lesbiana", "heterosexual", "transgénero"),
+    ("inmigrante", "refugiado", "ciudadano"),
+    ("discapacitado", "sordo", "ciego"),
 )
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
@@ -57,10 +88,11 @@ def features(words: set[str]) -> set[str]:
 
 @dataclass
 class Model:
-    """Weights of words and of the constant; a text's logit is their sum."""
+    """Weights of words and of the constant; a text's logit is their sum. ``pairs`` counts the counterfactuals of the fit."""
 
     bias: float
     weights: dict[str, float] = field(default_factory=dict)
+    pairs: int = 0
 
     def score(self, text: str | None) -> float:
         logit = self.bias + sum(self.weights.get(w, 0.0) for w in sorted(features(words_of(text)) & self.weights.keys()))
@@ -83,6 +115,20 @@ def swaps(words: set[str], groups=IDENTITY) -> list[tuple[set[str], set[str]]]:
     return out
 
 
+def inserted(text: str, groups=IDENTITY, share: float = INSERTED) -> list[tuple[set[str], set[str]]]:
+    """Counterfactuals of a text that gains a term, for each term of one group; for the ``share`` of texts that their hash draws.
+
+    Each is the pair of features that go (none) and features that come, as ``swaps`` gives them.
+    """
+    draw, groups = zlib.crc32(text.encode()), tuple(groups)
+    if not groups or draw % 1000 >= 1000 * share:
+        return []
+    words = words_of(text)
+    before = features(words)
+    more = [features(words | {term}) - before for term in groups[draw // 1000 % len(groups)]]
+    return [(set(), come) for come in more if come]
+
+
 def fit(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]], size: int,
         ridge: float = 0.3, penalty: float = 10.0, steps: int = 25) -> np.ndarray:
     """Weights (``size`` words, then the constant) by Newton's method.
@@ -138,9 +184,11 @@ def fit(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int],
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
-          sample: int = SAMPLE, ridge: float = 0.3, penalty: float = 10.0, groups=IDENTITY) -> Model:
+          sample: int = SAMPLE, ridge: float = 0.3, penalty: float = 10.0, groups=IDENTITY, share: float = INSERTED) -> Model:
     """Fit a model on at most ``sample`` labelled rows, those of the smallest hashes of their id.
 
+    Terms of ``groups`` are inserted into the ``share`` of these texts.
+
     A repeated id is toxic if one of its labels is, and takes its smallest text; null labels and ids are
     left out; without labelled rows the model scores every text 0. Words of the sample are counted
     by Spark; word numbers of the sample's rows come to the driver, at most ``sample`` times ``WORDS``.
@@ -176,7 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 for t in part.column("text").to_pylist():
                     words = words_of(t)
                     rows.append(sorted(number[w] for w in features(words) if w in number))
-                    other = swaps(words, groups)
+                    other = swaps(words, groups) + inserted(t or "", groups, share)
                     gone.append([sorted(number[w] for w in a if w in number) for a, _ in other])
                     come.append([sorted(number[w] for w in b if w in number) for _, b in other])
                 deep = pa.list_(pa.list_(pa.int32()))
@@ -188,7 +236,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         .orderBy("id").toArrow()
     pairs = [(a, b) for gone, come in zip(rows["gone"].to_pylist(), rows["come"].to_pylist(), strict=True) for a, b in zip(gone, come, strict=True)]
     weights = fit(rows["words"].to_pylist(), rows["label"].to_numpy().astype(float), pairs, len(vocabulary), ridge, penalty)
-    return Model(float(weights[-1]), {w: float(weights[i]) for w, i in number.items() if weights[i]})
+    return Model(float(weights[-1]), {w: float(weights[i]) for w, i in number.items() if weights[i]}, len(pairs))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:

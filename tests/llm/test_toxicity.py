@@ -1,6 +1,8 @@
+import math
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from digitscope.llm import queries, toxicity
 
@@ -49,6 +51,60 @@ def test_counterfactuals_lower_the_score_of_neutral_mentions(spark):
     assert fair.score("word1 you moron word5") > 0.5 > fair.score(neutral)
 
 
+def test_terms_are_inserted_into_a_seeded_part():
+    texts = [f"text {i} without terms" for i in range(2000)]
+    found = [toxicity.inserted(t) for t in texts]
+    assert 0.2 < sum(map(bool, found)) / 2000 < 0.3 and found == [toxicity.inserted(t) for t in texts]
+    terms = {w for g in toxicity.IDENTITY for w in g}
+    assert {w for pairs in found for gone, come in pairs for w in come if not w.endswith("-")} == terms
+    assert all(not gone and come for pairs in found for gone, come in pairs)
+    assert toxicity.inserted("a", share=0.0) == [] and toxicity.inserted("a", groups=()) == []
+    assert len(toxicity.inserted("women, men", groups=(("women", "men", "girls"),), share=1.0)) == 1
+
+
+def test_neutral_mentions_on_held_out_rows_in_four_languages(spark):
+    """A plain model takes group names for insults, as toxic rows hold most of them; the penalty must undo that."""
+    pick = random.Random(23)
+    names = ("muslims", "juden", "femmes", "inmigrante")
+    plain = [f"wort{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+
+    def row(i):
+        toxic = i % 3 == 0
+        words = pick.sample(plain, 10) + (["moron"] if toxic and pick.random() < 0.7 else [])
+        return i, " ".join(words + ([pick.choice(names)] if pick.random() < (0.8 if toxic else 0.05) else [])), int(toxic)
+
+    frame = spark.createDataFrame([row(i) for i in range(1500)], "doc_id long, text string, toxic int")
+    held = [" ".join(pick.sample(plain, 10) + [name]) for name in names for _ in range(50)]
+    wrong, clean = {}, {}
+    for penalty in (0.0, 30.0):
+        model = toxicity.train(frame, frame.select("doc_id", "toxic"), penalty=penalty)
+        assert model.pairs > 1000
+        wrong[penalty] = sum(model.score(t) >= 0.5 for t in held) / len(held)
+        clean[penalty] = sum(model.score(" ".join(pick.sample(plain, 10) + ["moron"])) >= 0.5 for _ in range(50)) / 50
+    assert wrong[0.0] > 0.5 and wrong[30.0] < 0.05 and clean[30.0] > 0.95
+
+
+def test_scores_against_a_plain_scorer(spark, data):
+    """Whole texts scored one letter at a time, by the trained weights."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    labels = spark.read.parquet(f"{data}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    model = toxicity.train(docs, labels)
+    assert model.pairs > 0
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in queries.op5_toxicity(spark, data).collect():
+        words, word = set(), ""
+        for ch in (texts[r.doc_id] or "").lower() + " ":
+            if (ch.isalnum() or ch == "_") and not ch.isdecimal() and ch != "_":
+                word += ch
+            elif word:
+                words.add(word)
+                word = ""
+        seen = words | {w[:5] + "-" for w in words if len(w) > 5}
+        logit = model.bias + math.fsum(model.weights.get(w, 0.0) for w in seen)
+        want = 1 / (1 + math.exp(-logit))
+        assert abs(r.score - want) < 1e-9 and r.predicted == int(r.score >= 0.5)
+
+
 def test_fit_reaches_the_minimum():
     pick = np.random.default_rng(1)
     rows = [sorted(pick.choice(6, 3, replace=False).tolist()) for _ in range(80)]

@@ -93,7 +93,8 @@ def beside_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     their text; a lone document is its own next one.
 
     Ids are numbers. The rows are cut into ranges of ids, each sorted by itself, and ranges exchange only
-    their first rows; a repeated or null id is cut further by the hash. Texts are shuffled once.
+    their first rows; a repeated or null id is cut further by the hash. Texts are shuffled once, with their signatures: a
+    window after an Arrow function would shuffle them again.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     count = 2 * parts(docs.sparkSession)
@@ -118,10 +119,9 @@ def beside_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     own = Window.partitionBy("cut", "sub").orderBy(F.desc_nulls_last("doc_id"), "h")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    out = rows.withColumn("next", F.lead("text").over(own)).withColumn("at", F.row_number().over(own)) \
+    out = rows.withColumn("sign", signature(F.col("text"))) \
+        .select("*", F.lead("text").over(own).alias("next"), F.lead("sign").over(own).alias("next_sign")) \
         .join(border, ["cut", "sub"], "left").withColumn("next", F.coalesce("next", "border"))
     out = out.withColumn("edited", F.concat(F.substr("text", F.lit(1), n - half), F.substr("next", F.lit(1), half)))
-    out = out.withColumn("sign", signature(F.col("text"))).withColumn("edited_sign", signature(F.col("edited")))
-    again = Window.partitionBy("cut", "sub").orderBy("at")
-    return out.select(F.col("doc_id").alias(doc_id), "text", "sign", "next", "edited", "edited_sign",
-                      F.coalesce(F.lead("sign").over(again), "border_sign").alias("next_sign"))
+    return out.select(F.col("doc_id").alias(doc_id), "text", "sign", "next", "edited", signature(F.col("edited")).alias("edited_sign"),
+                      F.coalesce("next_sign", "border_sign").alias("next_sign"))

@@ -1,5 +1,7 @@
 import bz2
 import json
+import random
+import re
 from html import escape
 
 import pytest
@@ -170,3 +172,40 @@ def test_extraction_is_a_map_only_plan(spark, small):
     assert "source" not in scan and "n_chars" not in scan
     digits = ds.digit_counts(numbers, ["domain"])._jdf.queryExecution().executedPlan().toString()
     assert "magnitude" not in digits                     # the unused category is pruned with its rules
+
+
+def slow_unit(after, known):
+    """Longest known run of words after a number, tried one by one."""
+    run = re.match(r"[\s\xa0]?([^\s\xa0,;:!?()\[\]]+(?: [^\s\xa0,;:!?()\[\]]+)*)", after or "", re.ASCII)
+    words = run.group(1).split(" ") if run else []
+    return next((u for n in range(len(words), 0, -1) if (u := " ".join(words[:n]).rstrip(".")) in known), None)
+
+
+def test_units_of_a_large_vocabulary(spark):
+    rng = random.Random(5)
+    words = ["a", "b", "c.d", "square", "mile", "m²", "...", "ft."]
+    known = {" ".join(rng.choice(words) for _ in range(rng.randint(1, 6))) for _ in range(300)}
+    known |= {"a..b", "a b ", " a", "a  b", "", "a,b"}
+    texts = ["".join(rng.choice(["", " ", "\xa0", "\t"]) if i == 0 else rng.choice([" "] * 9 + ["  ", ".", ". ", ", ", " ("]) + rng.choice(words)
+                     for i in range(rng.randint(1, 9))) for _ in range(3000)] + [None, "", " ", ".", "x" * 50_000, " a" * 20_000]
+    units = spark.createDataFrame([(u, [m]) for u in known for m in ("length", "area")], "unit string, measures array<string>")
+    many = spark.range(200_000).select(F.concat(F.lit("w"), F.col("id") % 20_000, F.lit(" of "), "id").alias("unit"), F.array(F.lit("many")).alias("measures"))
+    texts += [f" w{i % 20_000} of {i}. So" for i in range(0, 200_000, 997)] + ["w5 of 6"]
+    known = {u for u in known if u and not u.endswith(".")} | {f"w{i % 20_000} of {i}" for i in range(200_000)}
+    # Columns named like the operator's own are kept.
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, after string").withColumns({c: F.lit(c) for c in ("row", "run", "sign", "key", "phrases", "found")})
+    tagged = tag_units(df, "after", units.unionByName(many))
+    assert tagged.columns == [*df.columns, "unit", "measures"]
+    got = {r.id: r for r in tagged.collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        assert got[i].unit == slow_unit(text, known), text
+        assert got[i].measures == (None if got[i].unit is None else ["many"] if got[i].unit.startswith("w") else ["area", "length"]), text
+        assert (got[i].run, got[i].found) == ("run", "found")
+    plan = tagged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "strategy=broadcast" not in plan
+    small = tag_units(df, "after", units)
+    assert "strategy=broadcast" in small._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.id: r.unit for r in small.collect()} == {i: None if u.startswith("w") else u for i, r in got.items() for u in [r.unit or "w"]}
+    empty = tag_units(df, "after", units.limit(0), before="sign")
+    assert empty.where("unit IS NOT NULL").count() == 0 and empty.count() == len(texts)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark.sql import functions as F
+
 from digitscope.operators.bounds import count_up_to
 from digitscope.operators.sampling import sample
 from digitscope.plans.extract import backfill_numbers, build_numbers, extract_articles
@@ -51,9 +53,11 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "process":
         chosen = (args.index, args.sample_rate, args.sample_count, args.sample_seed, args.consecutive)
         if args.ledger:
-            backfill_numbers(spark, args.dump, args.output, args.ledger, *chosen, rejected=args.rejected)
+            entries = backfill_numbers(spark, args.dump, args.output, args.ledger, *chosen, rejected=args.rejected)
+            totals = entries.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("articles", "numbers", "rejected")]).first().asDict()
         else:
-            build_numbers(spark, args.dump, args.output, *chosen)
+            totals = build_numbers(spark, args.dump, args.output, *chosen)
+        print(", ".join(f"{name}: {n}" for name, n in totals.items()))
         if args.summary:
             split = args.ledger and args.rejected
             write_counts_json(read_split(spark, args.output)[0] if split else read_numbers(spark, args.output), args.summary)

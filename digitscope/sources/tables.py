@@ -30,10 +30,45 @@ def read_numbers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_parts(spark: SparkSession, path: str) -> DataFrame:
-    """All readable part files of a numbers table; unreadable ones are skipped."""
+    """All readable part files of a numbers table; unreadable ones are skipped, and ``audit_parts`` tells which."""
     return spark.read.schema(NUMBERS).option("ignoreCorruptFiles", True).parquet(path).select(*NUMBERS.names)
 
 
+def audit_parts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The readable rows of a numbers table and, for each part file that gave fewer than it should, what it lacks.
+
+    The second table has ``file``, ``bytes``, ``reason``, ``rows`` (as its footer says, null without a footer) and ``rows_read``. Reasons:
+    ``too_short`` (no room for a footer), ``no_magic`` (head or tail is not Parquet's), ``bad_footer`` (it claims to be longer than the
+    file), ``unreadable`` (larger than ``binaryFile`` can show), ``no_rows`` (a sound frame in which no row is found: an empty part, or a
+    damaged footer) and ``rows_lost`` (reading broke off in the middle). The files are listed as a table, the claims need footers only, and
+    the content is looked at only for files without any row. Files that start with ``_`` or ``.`` are no parts. A bare ``count()`` of the
+    rows takes the footers' word as well; whatever reads a column gets the rows that can be read.
+    """
+    def parts() -> DataFrame:
+        return spark.read.schema(NUMBERS).option("ignoreCorruptFiles", True).parquet(path)
+
+    file = F.col("_metadata.file_path").alias("file")
+    claimed = parts().select(file).groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
+    # The hash makes the reader decode every column.
+    read = parts().select(file, F.xxhash64(*NUMBERS.names).alias("hash")).groupBy("file").agg(F.count("hash").alias("rows_read"))
+    found = claimed.join(read, "file", "left").withColumn("rows_read", F.coalesce("rows_read", F.lit(0).cast("bigint")))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    limit = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+    listed = files.select(file, F.col("length").alias("bytes"))
+    lost = found.where("rows_read < rows").join(listed, "file").select("file", "bytes", F.lit("rows_lost").alias("reason"), "rows", "rows_read")
+
+    absent = listed.join(found.select("file"), "file", "left_anti")
+    tail = F.col("content").substr(F.length("content") - 7, F.lit(8))
+    size = F.conv(F.concat(*[F.substring(F.hex(tail), i, 2) for i in (7, 5, 3, 1)]), 16, 10).cast("bigint")
+    magic = F.lit("PAR1").cast("binary")
+    frame = (F.when(F.substring("content", 1, 4) != magic, F.lit("no_magic")).when(F.substring(tail, 5, 4) != magic, F.lit("no_magic"))
+             .when(size > F.col("length") - 12, F.lit("bad_footer")).otherwise(F.lit("no_rows")))
+    looked = files.where(F.col("length").between(12, limit)).select(file, frame.alias("frame")).join(absent.select("file"), "file", "left_semi")
+    reason = F.when(F.col("bytes") < 12, F.lit("too_short")).when(F.col("bytes") > limit, F.lit("unreadable")).otherwise(F.col("frame"))
+    skipped = absent.join(looked, "file", "left").select("file", "bytes", reason.alias("reason"), F.lit(None).cast("bigint").alias("rows"), F.lit(0).cast("bigint").alias("rows_read"))
+    return read_parts(spark, path), lost.unionByName(skipped)
+
+
 def read_split(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Numbers (with ``unit_id``) and rejected rows of a folder that ``write_split`` wrote; only the partitions asked for are read."""
     kinds = T.StructType([*NUMBERS, *REJECTED, T.StructField("kind", T.StringType())])

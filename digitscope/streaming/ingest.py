@@ -6,7 +6,7 @@ in its checkpoint folder; a backfill keeps a ledger of completed units.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -43,6 +43,29 @@ def ingest(source: DataFrame, transform: Callable[[DataFrame], DataFrame], sink:
     return (writer.partitionBy("domain") if by_domain else writer).start()
 
 
+def follow(query: StreamingQuery, name: str, seconds: float = 1.0) -> Iterator[dict[str, int]]:
+    """Running totals of a stream whose transformation observes itself as ``name`` (``extract(..., live=name)``).
+
+    Yields the sums so far whenever batches were finished, at last those of the whole run, and ends with the query; a failure of the query
+    is raised. Reads the query's own progress, which Spark keeps for the last ``spark.sql.streaming.numRecentProgressUpdates`` (100) batches;
+    should more than that finish within ``seconds``, the run is longer than what can be seen, and a ``RuntimeError`` says so.
+    """
+    totals, last = {}, -1
+    while True:
+        ended = query.awaitTermination(seconds)
+        recent = [p for p in query.recentProgress if p.batchId > last and p.numInputRows]
+        if recent:
+            if last >= 0 and min(p.batchId for p in query.recentProgress) > last + 1:
+                raise RuntimeError("batches finished faster than they were followed")
+            for progress in recent:
+                for key, value in progress.observedMetrics[name].asDict().items():
+                    totals[key] = totals.get(key, 0) + value
+                last = progress.batchId
+            yield dict(totals)
+        if ended:
+            return
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """Ledger of processed units; empty before the first run."""
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -341,6 +341,10 @@ def oracle_sql() -> dict[str, str]:
         "distinct_groups": "SELECT count(DISTINCT source) AS groups FROM documents",
         "corpus_totals": f"WITH {DOC_NUMBERS} SELECT count(DISTINCT doc_id) AS articles, count(*) AS numbers, "
                          "round(count(*) / count(DISTINCT doc_id), 6) AS avg_numbers FROM nums",
+        "totals_observed": f"WITH {DOC_NUMBERS} SELECT count(DISTINCT doc_id) AS articles, count(*) AS numbers, CAST(0 AS BIGINT) AS rejected FROM nums",
+        "parts_audited": f"""WITH {DOC_NUMBERS}, n AS (SELECT *, coalesce(TRY_CAST(substr(source, 4, 9) AS INT) % 4 = 1, false) AS broken FROM nums)
+            SELECT lang AS part, 'read' AS reason, count(*) AS numbers FROM n WHERE NOT broken GROUP BY 1
+            UNION ALL SELECT DISTINCT source, 'no_magic', CAST(0 AS BIGINT) FROM n WHERE broken""",
         "preview_summary": f"WITH {_preview()} SELECT count(DISTINCT doc_id) AS articles, count(*) AS numbers, "
                            "count(DISTINCT lang) AS domains, round(count(*) / count(DISTINCT doc_id), 6) AS avg_numbers FROM nums",
         "preview_distribution": f"""WITH {_preview()}, digits AS (SELECT {_first('number')} AS first_digit FROM nums), {_dense('')}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 import digitscope as ds
 from digitscope.functions.labels import domain_of_type, first_match_label, year_or_generic
@@ -15,10 +15,11 @@ from digitscope.operators.lookups import keep_ids, pending, tag_units, with_cate
 from digitscope.operators.ranks import value_stats
 from digitscope.operators.sampling import keep_smallest, sample
 from digitscope.plans.preview import preview_articles, preview_digits, preview_totals
+from digitscope.schemas import NUMBERS
 from digitscope.sources.index import parse_index
 from digitscope.sources.pages import articles, judge_pages, parse_pages, read_pages
 from digitscope.sources.sinks import write_counts_json, write_numbers, write_split
-from digitscope.sources.tables import all_units, category_dimension, read_numbers, read_split, read_table, units_with_measures
+from digitscope.sources.tables import all_units, audit_parts, category_dimension, read_numbers, read_split, read_table, units_with_measures
 from digitscope.streaming.ingest import backfill, failed, ledger_totals, read_ledger, rejected_totals
 from suite.inputs import DIGIT_HEADS, KINDS, SENTENCES, UNIT_PHRASES, WIKITEXT
 
@@ -195,6 +196,28 @@ def numbers_written(spark, sf):
     return read_numbers(spark, folder)
 
 
+def totals_observed(spark, sf):
+    """Articles, numbers and rejected rows, counted while the numbers are written."""
+    live = Observation("totals")
+    docs = _documents(spark, sf, "doc_id", "lang", "text")
+    write_numbers(ds.extract(docs, "text", "doc_id", "lang", live=live), _run_folder(spark))
+    return spark.createDataFrame([live.get], "articles bigint, numbers bigint, rejected bigint")
+
+
+def parts_audited(spark, sf):
+    """Numbers in part files by source, every fourth source as text: the readable numbers by domain, and what the audit says of the others."""
+    folder = _run_folder(spark)
+    numbers = _document_numbers(spark, sf, categorize=False)
+    broken = F.coalesce(F.substring("source", 4, 9).try_cast("int") % 4 == 1, F.lit(False))
+    numbers.where(~broken).write.partitionBy("source").parquet(folder)
+    lines = F.to_csv(F.struct(*NUMBERS.names)).alias("value")
+    numbers.where(broken).select("source", lines).write.mode("append").partitionBy("source").text(folder)
+    rows, skipped = audit_parts(spark, folder)
+    by_source = F.regexp_extract("file", "source=([^/]*)/", 1)
+    return (rows.groupBy(F.col("domain").alias("part")).agg(F.lit("read").alias("reason"), F.count(F.lit(1)).alias("numbers"))
+            .unionByName(skipped.groupBy(by_source.alias("part"), "reason").agg(F.sum("rows_read").alias("numbers"))))
+
+
 def counts_json(spark, sf):
     """Digit counts of each domain as nested JSON, written and read back."""
     folder = _run_folder(spark)
@@ -565,6 +588,6 @@ QUERIES = {f.__name__: f for f in (
     frequencies_one_group, chi_square, mad, mad_band, ks, cumulative_frequencies, summary, summary_orders,
     summary_parts, summary_overall, comparison, deviation_matrix, deviation_matrix_clamped, distinct_groups,
     corpus_totals, preview_summary, preview_distribution, group_value_stats, group_value_stats_sparse, category_conformity,
-    rejected_pages, rejected_by_reason, units_completed, sampled_dump, group_value_stats_close, category_info, sample_first_n, sample_hashed, sample_by_rate, first_n_large_ids, first_n_text_ids, grouped_ids, semi_join_sample,
+    totals_observed, parts_audited, rejected_pages, rejected_by_reason, units_completed, sampled_dump, group_value_stats_close, category_info, sample_first_n, sample_hashed, sample_by_rate, first_n_large_ids, first_n_text_ids, grouped_ids, semi_join_sample,
     pending_anti_join, ledger_summary, failed_units, union_of_parts, unit_tag, unit_tag_phrases, unit_union,
 )}

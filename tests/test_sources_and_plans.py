@@ -5,7 +5,7 @@ import re
 from html import escape
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 import digitscope as ds
 from digitscope.__main__ import main
@@ -15,9 +15,9 @@ from digitscope.plans.report import analyze
 from digitscope.rules.units import UNITS, unit_rows
 from digitscope.schemas import NUMBERS
 from digitscope.sources.index import read_index
-from digitscope.sources.pages import articles, read_pages
+from digitscope.sources.pages import articles, read_judged, read_pages
 from digitscope.sources.sinks import write_counts_json, write_numbers
-from digitscope.sources.tables import all_units, category_dimension, read_numbers, read_parts, unit_dimension, units_with_measures
+from digitscope.sources.tables import all_units, audit_parts, category_dimension, read_numbers, read_parts, unit_dimension, units_with_measures
 
 ARTICLE = "{{Infobox settlement\n|name = Town {n}\n|area = 42.5}}\nTown {n} has {n}00 people & 5 km of roads, see [[1999]].\n"
 
@@ -209,3 +209,51 @@ def test_units_of_a_large_vocabulary(spark):
     assert {r.id: r.unit for r in small.collect()} == {i: None if u.startswith("w") else u for i, r in got.items() for u in [r.unit or "w"]}
     empty = tag_units(df, "after", units.limit(0), before="sign")
     assert empty.where("unit IS NOT NULL").count() == 0 and empty.count() == len(texts)
+
+
+def test_totals_are_observed_while_writing(spark, dump, tmp_path, capsys):
+    sink, path = str(tmp_path / "n"), str(dump / "dump.xml.bz2")
+    totals = ds.build_numbers(spark, path, sink)
+    counted = ds.corpus_totals(read_numbers(spark, sink)).first()
+    rejected = read_judged(spark, path).where("reason IS NOT NULL").count()
+    assert totals == {"articles": counted.articles, "numbers": counted.numbers, "rejected": rejected} and rejected > 0
+    line = ", ".join(f"{k}: {v}" for k, v in totals.items())
+    for n in (1, 2):
+        assert main(["process", "--dump", path, "--output", str(tmp_path / "m"), "--ledger", str(tmp_path / "l"), "--rejected"]) == 0
+        assert (line if n == 1 else "articles: 0, numbers: 0, rejected: 0") in capsys.readouterr().out
+    for categorize in (True, False):
+        df = spark.createDataFrame([(1, "no digit", None), (2, "0 and 0.5", None), (3, "7 of 1,234", None), (4, None, None), (5, "12", "bad")],
+                                   "id int, t string, reason string")
+        live = Observation()
+        rows = ds.extract(df, "t", "id", categorize=categorize, carry=["reason"], reason="reason", live=live).collect()
+        kept = [r for r in rows if r.reason is None]
+        assert live.get == {"articles": len({r.article_id for r in kept}), "numbers": len(kept), "rejected": 1}
+    live = Observation()
+    assert ds.extract(df.limit(0), "t", "id", live=live).count() == 0 and set(live.get.values()) == {0}
+
+
+def test_parts_audit(spark, tmp_path):
+    folder = tmp_path / "a b"
+    numbers = some_numbers(spark).repartition(4)
+    write_numbers(numbers, str(folder), by_domain=False)
+    assert audit_parts(spark, str(folder))[1].count() == 0
+    good, *_ = sorted(folder.glob("part-*"))
+    whole = good.read_bytes()
+    # The first data pages are damaged, the footer is not.
+    (folder / "part-pages.parquet").write_bytes(whole[:4] + bytes(len(whole) // 3) + whole[4 + len(whole) // 3:])
+    (folder / "part-cut.parquet").write_bytes(whole[:-20])
+    (folder / "part-text.parquet").write_bytes(b"some text that is no table")
+    (folder / "part-none.parquet").write_bytes(b"")
+    (folder / "part-long.parquet").write_bytes(b"PAR1" + b"\x00" * 8 + b"\xff\xff\xff\x7fPAR1")
+    (folder / "part-footer.parquet").write_bytes(b"PAR1" + b"\xff" * 40 + b"\x10\x00\x00\x00PAR1")
+    (folder / "_notes").write_bytes(b"not a part")
+    write_numbers(numbers.limit(0), str(folder), mode="append", by_domain=False)
+    rows, skipped = audit_parts(spark, str(folder))
+    read = len(rows.collect())
+    got = {r.file.rsplit("/", 1)[1].split(".")[0]: (r.reason, r.rows, r.rows_read) for r in skipped.collect()}
+    empty = [name for name in got if name.count("-") > 2]
+    assert len(empty) == 1 and got.pop(empty[0]) == ("no_rows", None, 0)
+    lost = got.pop("part-pages")
+    assert read == 199 + lost[2] and lost[0] == "rows_lost" and lost[2] < lost[1] == spark.read.parquet(str(good)).count()
+    assert got == {"part-cut": ("no_magic", None, 0), "part-text": ("no_magic", None, 0), "part-none": ("too_short", None, 0),
+                   "part-long": ("bad_footer", None, 0), "part-footer": ("no_rows", None, 0)}

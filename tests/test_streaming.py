@@ -8,7 +8,7 @@ import digitscope as ds
 from digitscope.plans.extract import backfill_numbers, extract_articles
 from digitscope.sources.pages import judge_pages, parse_pages, raw_id
 from digitscope.sources.tables import read_split
-from digitscope.streaming.ingest import backfill, failed, ingest, ledger_totals, read_ledger, rejected_totals, stream_pages, stream_table
+from digitscope.streaming.ingest import backfill, failed, follow, ingest, ledger_totals, read_ledger, rejected_totals, stream_pages, stream_table
 
 
 def rows_of(df):
@@ -159,3 +159,19 @@ def test_listed_pages_are_chosen_before_anything_is_parsed(spark):
     assert {r.id for r in pages.collect()} <= {"11", None} and pages.count() == 2
     judged = judge_pages(records, ids=ids).collect()
     assert {(r.article_id, r.reason) for r in judged} == {(11, None), (13, "other_namespace"), (15, "bad_xml"), (None, "no_id"), (None, "bad_id")}
+
+
+def test_running_totals_of_a_stream(spark, small, tmp_path):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    source, sink, place = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "checkpoint")
+
+    def transform(df):
+        return ds.extract(df, "text", "doc_id", "lang", categorize=False, live="totals")
+
+    docs.repartition(5).write.parquet(source)
+    seen = list(follow(ingest(stream_table(spark, source, docs.schema, files_per_batch=1), transform, sink, place), "totals", 0.2))
+    counted = ds.corpus_totals(spark.read.parquet(sink)).first()
+    assert seen[-1] == {"articles": counted.articles, "numbers": counted.numbers, "rejected": 0}
+    assert [s["numbers"] for s in seen] == sorted(s["numbers"] for s in seen) and counted.numbers > 0
+    # A second run without new files reports nothing.
+    assert list(follow(ingest(stream_table(spark, source, docs.schema), transform, sink, place), "totals", 0.2)) == []

@@ -243,7 +243,8 @@ def test_parts_audit(spark, tmp_path):
     (folder / "part-pages.parquet").write_bytes(whole[:4] + bytes(len(whole) // 3) + whole[4 + len(whole) // 3:])
     (folder / "part-cut.parquet").write_bytes(whole[:-20])
     (folder / "part-text.parquet").write_bytes(b"some text that is no table")
-    (folder / "part-none.parquet").write_bytes(b"")
+    (folder / "part-none.parquet").write_bytes(b"PAR1")
+    (folder / "part-zero.parquet").write_bytes(b"")
     (folder / "part-long.parquet").write_bytes(b"PAR1" + b"\x00" * 8 + b"\xff\xff\xff\x7fPAR1")
     (folder / "part-footer.parquet").write_bytes(b"PAR1" + b"\xff" * 40 + b"\x10\x00\x00\x00PAR1")
     (folder / "_notes").write_bytes(b"not a part")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from digitscope.rules.categories import BAND_BOUNDS, CATEGORIES, GROUP_DESCRIPTIONS, GROUPS
@@ -42,8 +44,8 @@ def audit_parts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     file), ``unreadable`` (larger than ``binaryFile`` can show), ``no_rows`` (a sound frame in which no row is found: an empty part, or a
     damaged footer) and ``rows_lost`` (reading broke off in the middle). The files are listed as a table, the claims need footers only, and
     the content is looked at only for files without any row. Files that start with ``_`` or ``.`` are no parts, and Spark does not list
-    files of zero bytes. A bare ``count()`` of the
-    rows takes the footers' word as well; whatever reads a column gets the rows that can be read.
+    files of zero bytes. Building the table runs one job, on the footers. A bare ``count()`` of the rows takes the footers' word as well;
+    whatever reads a column gets the rows that can be read.
     """
     def parts() -> DataFrame:
         return spark.read.schema(NUMBERS).option("ignoreCorruptFiles", True).parquet(path)
@@ -54,18 +56,21 @@ def audit_parts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     odd = F.xxhash64(*NUMBERS.names).bitwiseAND(F.lit(1)) == 1
     read = parts().select(file, odd.alias("odd")).groupBy("file").agg((F.count_if("odd") + F.count_if(~F.col("odd"))).alias("rows_read"))
     found = claimed.join(read, "file", "left").withColumn("rows_read", F.coalesce("rows_read", F.lit(0).cast("bigint")))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    binary = spark.read.format("binaryFile")
     limit = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
-    listed = files.select(file, F.col("length").alias("bytes"))
+    listed = binary.option("recursiveFileLookup", True).load(path).select(file, "path", F.col("length").alias("bytes"))
     lost = found.where("rows_read < rows").join(listed, "file").select("file", "bytes", F.lit("rows_lost").alias("reason"), "rows", "rows_read")
 
-    absent = listed.join(found.select("file"), "file", "left_anti")
+    absent = listed.join(claimed, "file", "left_anti")
+    # Their names are a part of the listing that the driver holds anyway.
+    framed = [re.sub(r"([\\*?\[\]{}])", r"\\\1", r.path) for r in absent.where(F.col("bytes").between(12, limit)).toLocalIterator()]
+    looked_at = binary.load(framed) if framed else binary.load(path).limit(0)
     tail = F.col("content").substr(F.length("content") - 7, F.lit(8))
     size = F.conv(F.concat(*[F.substring(F.hex(tail), i, 2) for i in (7, 5, 3, 1)]), 16, 10).cast("bigint")
     magic = F.lit("PAR1").cast("binary")
     frame = (F.when(F.substring("content", 1, 4) != magic, F.lit("no_magic")).when(F.substring(tail, 5, 4) != magic, F.lit("no_magic"))
              .when(size > F.col("length") - 12, F.lit("bad_footer")).otherwise(F.lit("no_rows")))
-    looked = files.where(F.col("length").between(12, limit)).select(file, frame.alias("frame")).join(absent.select("file"), "file", "left_semi")
+    looked = looked_at.select(file, frame.alias("frame"))
     reason = F.when(F.col("bytes") < 12, F.lit("too_short")).when(F.col("bytes") > limit, F.lit("unreadable")).otherwise(F.col("frame"))
     skipped = absent.join(looked, "file", "left").select("file", "bytes", reason.alias("reason"), F.lit(None).cast("bigint").alias("rows"), F.lit(0).cast("bigint").alias("rows_read"))
     return read_parts(spark, path), lost.unionByName(skipped)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from digitscope.operators.bounds import count_up_to
@@ -48,7 +49,18 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None) -> int:
+    """Run a command; an input that does not exist gives a message and status 1."""
     args = _parser().parse_args(argv)
+    try:
+        return _run(args)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        print(f"no such input: {(problem.getMessageParameters() or {}).get('path', problem)}", file=sys.stderr)
+        return 1
+
+
+def _run(args: argparse.Namespace) -> int:
     spark = get_session()
     if args.command == "process":
         chosen = (args.index, args.sample_rate, args.sample_count, args.sample_seed, args.consecutive)

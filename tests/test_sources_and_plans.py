@@ -258,3 +258,12 @@ def test_parts_audit(spark, tmp_path):
     assert read == 199 + lost[2] and lost[0] == "rows_lost" and lost[2] < lost[1] == spark.read.parquet(str(good)).count()
     assert got == {"part-cut%5B1%5D": ("no_magic", None, 0), "part-text": ("no_magic", None, 0), "part-none": ("too_short", None, 0),
                    "part-long": ("bad_footer", None, 0), "part-footer": ("no_rows", None, 0)}
+
+
+def test_missing_inputs_give_status_one(spark, tmp_path, capsys):
+    gone = str(tmp_path / "gone")
+    for command in (["analyze", "--data", gone, "--output", gone + "-r"], ["process", "--dump", gone, "--output", gone + "-n"],
+                    ["process", "--dump", gone, "--output", gone + "-n", "--ledger", gone + "-l"], ["preview", "--dump", gone, "--index", gone]):
+        assert main(command) == 1
+        assert "no such input" in capsys.readouterr().err
+    assert not list(tmp_path.iterdir())

@@ -6,17 +6,31 @@ any depth; marks without a partner are left as they are.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
 from digitscope.functions.labels import SPACE, domain_of_type
-from digitscope.functions.lets import let, literal_map
+from digitscope.functions.lets import escape, let, literal_map
 
-# An infobox template with a name; in the second form a comment or a nowiki span is skipped as a
+# An infobox template with a name; behind the second pattern a comment or a nowiki span is skipped as a
 # whole, so that templates in it do not count.
 INFOBOX = rf"\{{\{{\s*(?i:infobox){SPACE}*([^|{{}}\s\x1c-\x1f\x85\p{{Z}}][^|{{}}]*)"
-INFOBOX_OUTSIDE = r"(?s)<!--.*?-->|<nowiki>.*?</nowiki>|" + INFOBOX
+SKIPPED = r"(?s)<!--.*?-->|<nowiki>.*?</nowiki>|"
+
+# Templates of species, which stand for an infobox without its name.
+TAXON_BOXES = ("taxobox", "speciesbox", "automatic taxobox", "subspeciesbox")
+
+
+def infobox_pattern(boxes: Sequence[str] = ()) -> str:
+    """Pattern of an infobox template, or of one of the whole template names ``boxes``; its group is the type."""
+    if not boxes:
+        return INFOBOX
+    own = "|".join(escape(box).replace(" ", "[ _]+") for box in boxes)
+    start, name = INFOBOX.index("(?i:infobox)"), INFOBOX.index("([^|")
+    return rf"{INFOBOX[:start]}(?:{INFOBOX[start:name]}|(?=(?i:{own}){SPACE}*(?:[|{{}}]|\z))){INFOBOX[name:]}"
+
 
 # Tags whose content is not shown as text.
 HIDDEN_TAGS = "categorytree|ce|chem|gallery|graph|hiero|imagemap|inputbox|math|nowiki|pre|score|section|source|syntaxhighlight|templatedata|timeline"
@@ -101,30 +115,36 @@ def _drop_unclosed(text: Column, span: tuple[str, str]) -> Column:
         F.contains(t, F.lit(opener)), _with_closed_part(t, closer, drop, plain=True)).otherwise(t))
 
 
-def infobox_type(wikitext: Column) -> Column:
+def infobox_type(wikitext: Column, boxes: Sequence[str] = ()) -> Column:
     """Type named by the first infobox template that names one, trimmed and lower-cased, else null.
 
+    ``boxes`` lists names of other templates, such as ``TAXON_BOXES``, that count as an infobox whose type is the template's name.
+
     Usually nothing before that template is commented out and the search ends there; only otherwise
     the whole text is searched with comments skipped.
     """
+    pattern = infobox_pattern(boxes)
+
     def outside(t: Column) -> Column:
         whole = _drop_unclosed(_drop_unclosed(t, COMMENT), NOWIKI)
-        names = F.regexp_extract_all(whole, F.lit(INFOBOX_OUTSIDE), F.lit(1))
+        names = F.regexp_extract_all(whole, F.lit(SKIPPED + pattern), F.lit(1))
         return F.get(F.filter(names, lambda name: name != ""), F.lit(0))
 
     def first(b: Column) -> Column:
         t, before = b["t"], b["before"]
         hidden = F.contains(before, F.lit(COMMENT[0])) | F.contains(before, F.lit(NOWIKI[0]))
-        name = F.when(hidden, outside(t)).otherwise(F.regexp_extract(t, INFOBOX, 1))
-        return F.lower(F.btrim(name, F.lit(BLANKS)))
+        name = F.when(hidden, outside(t)).otherwise(F.regexp_extract(t, pattern, 1))
+        name = F.lower(F.btrim(name, F.lit(BLANKS)))
+        spaced = F.regexp_replace(name, "[ _]+", " ")
+        return F.when(spaced.isin(*[box.lower() for box in boxes]), spaced).otherwise(name) if boxes else name
 
-    return let(wikitext, lambda t: F.when(t.rlike(INFOBOX), let(
-        F.struct(t.alias("t"), F.regexp_extract(t, "(?s)^(.*?)" + INFOBOX, 1).alias("before")), first)))
+    return let(wikitext, lambda t: F.when(t.rlike(pattern), let(
+        F.struct(t.alias("t"), F.regexp_extract(t, "(?s)^(.*?)" + pattern, 1).alias("before")), first)))
 
 
-def domain_of_text(wikitext: Column) -> Column:
-    """Subject domain of an article from its infobox."""
-    return let(infobox_type(wikitext), domain_of_type)
+def domain_of_text(wikitext: Column, boxes: Sequence[str] = ()) -> Column:
+    """Subject domain of an article from its infobox, or from one of the templates ``boxes``."""
+    return let(infobox_type(wikitext, boxes), domain_of_type)
 
 
 def decode_entities(text: Column) -> Column:

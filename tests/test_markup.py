@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import digitscope as ds
-from digitscope.functions.markup import decode_entities
+from digitscope.functions.markup import TAXON_BOXES, decode_entities
 
 
 def value(spark, column):
@@ -20,6 +20,18 @@ def test_infobox_type(spark, text, kind):
     assert value(spark, ds.infobox_type(F.lit(text).cast("string"))) == kind
 
 
+@pytest.mark.parametrize("text, kind", [
+    ("{{Taxobox\n|a}}", "taxobox"), ("{{ Automatic_taxobox |a}}", "automatic taxobox"), ("{{Speciesbox}}", "speciesbox"), ("{{Taxobox list|a}}", None),
+    ("{{My taxobox|a}}", None), ("{{Infobox ship|a}} {{Taxobox|a}}", "ship"), ("{{Infobox}} {{Taxobox|a}}", "taxobox"),
+    ("<!-- {{Taxobox|a}} --> {{Infobox book}}", "book"), ("<!-- {{Infobox book}} -->{{taxobox", "taxobox"), (None, None),
+])
+def test_templates_that_stand_for_an_infobox(spark, text, kind):
+    assert value(spark, ds.infobox_type(F.lit(text).cast("string"), TAXON_BOXES)) == kind
+    if text and kind and "taxo" in kind:
+        assert value(spark, ds.domain_of_text(F.lit(text), TAXON_BOXES)) == "Biology"
+        assert value(spark, ds.domain_of_text(F.lit(text))) != "Biology"
+
+
 def test_strip_wikitext(spark):
     text = (
         "{{Infobox city|area={{convert|121.4|km2}}}}'''Town''' is in [[France]], see [[Paris|the capital]].\n"
